@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from millrace.llm import cooccurrence, lookalikes
+from millrace.llm import boilerplate, cooccurrence, exclude, lookalikes
 
-MODULES = (cooccurrence, lookalikes)
+MODULES = (boilerplate, cooccurrence, exclude, lookalikes)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
