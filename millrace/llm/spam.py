@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.plans.storage import materialise
 from millrace.sources import read_table
 
 #: A page is spam if keywords, links and tags are more than this share of its text.
@@ -34,6 +35,7 @@ _WORD = re.compile(r"[^\W\d_]+|\d+")
 _TAG = re.compile(r"(?<![\w&/])#[^\s#.,;|]{2,}")
 _PARTS = re.compile(r"[^\s|,/;·•、，][^|,/;·•、，]{0,40}[|,/;·•、，]")
 _LETTERS = re.compile(r"[^\W\d_]")
+_SPACELESS = re.compile("[぀-ヿ㐀-鿿]")
 
 
 def _units(text: str) -> list[str]:
@@ -52,34 +54,31 @@ def _units(text: str) -> list[str]:
 def repeats_itself(sentence: str) -> bool:
     """A sentence that only repeats a phrase: repeated pairs of words cover a third of it or more, or a word a quarter."""
     words = _WORD.findall(sentence)
-    letters = sum(map(len, words))
-    if letters < 6:
+    n = len(words)
+    if sum(map(len, words)) < 6:
         return False
-    if any(w[0] >= "぀" for w in words):  # no spaces between words: phrases are runs of letters
+    if _SPACELESS.search(sentence):  # phrases are runs of letters
         run = "".join(words)
-        if len(run) < 8:
+        grams = [run[i : i + 4] for i in range(len(run) - 3)]
+        once = len(set(grams))
+        if once == len(grams) or len(run) < 8:
             return False
-        n = 4
-        grams = Counter(run[i : i + n] for i in range(len(run) - n + 1))
-        twice = {g for g, c in grams.items() if c > 1}
-        if not twice:
-            return False
-        covered = [False] * len(run)
-        for i in range(len(run) - n + 1):
-            if run[i : i + n] in twice:
-                covered[i : i + n] = [True] * n
+        counts = Counter(grams)
+        covered = bytearray(len(run))
+        for i, g in enumerate(grams):
+            if counts[g] > 1:
+                covered[i : i + 4] = b"\1\1\1\1"
         return 5 * sum(covered) >= 2 * len(run)
-    if len(words) < 5:
+    if n < 5 or n - len(set(words)) < 2:
         return False
-    pairs = Counter(zip(words, words[1:], strict=False))
-    covered = set()
-    for i, pair in enumerate(zip(words, words[1:], strict=False)):
-        if pairs[pair] > 1:
-            covered |= {i, i + 1}
-    if 3 * len(covered) >= len(words):
-        return True
-    word, n = Counter(w for w in words if len(w) > 3).most_common(1)[0] if any(len(w) > 3 for w in words) else ("", 0)
-    return n >= 3 and 4 * n >= len(words)
+    pairs = list(zip(words, words[1:], strict=False))
+    if len(set(pairs)) < len(pairs):
+        counts = Counter(pairs)
+        covered = {k for i, pair in enumerate(pairs) if counts[pair] > 1 for k in (i, i + 1)}
+        if 3 * len(covered) >= n:
+            return True
+    most = max(Counter(w for w in words if len(w) > 3).values(), default=0)
+    return most >= 3 and 4 * most >= n
 
 
 def spam_share(text: str | None) -> float:
@@ -208,7 +207,9 @@ def curves(df: DataFrame, id_column: str, text: str, lang: str) -> DataFrame:
     vy = F.col("syy") - F.col("sy") ** 2 / F.col("sw")
     vxy = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("sw")
     slope = F.when(vx > 1e-9, vxy / vx).otherwise(0.0)
+    # Written once: the groups' medians and quartiles and the result all read it.
     fitted = totals.select("doc_id", "version", "lang", "length", "n_units", "share", slope.alias("slope"), F.sqrt(F.greatest(F.lit(0.0), vy - slope * vxy) / F.col("sw")).alias("residual"), F.array(*(F.col(f"o{b}") / F.col("n_units") for b in range(13))).alias("curve"))
+    fitted = materialise(fitted, "curves")
     # The usual curve of a language and length: medians by group, of a few groups whatever the corpus.
     group = ["lang", "length"]
     prose = F.col("share") <= PROSE
