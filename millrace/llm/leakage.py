@@ -55,7 +55,7 @@ _MASK = (1 << 64) - 1
 
 def tokens(text: str) -> list[str]:
     """Words in the one form, case folded; letters one by one in scripts without spaces."""
-    runs = _RUN.findall(transducer().apply(text).casefold())
+    runs = _RUN.findall(transducer().letters_of(text).casefold())
     if not _HAS_LETTER.search(text):
         return runs
     out: list[str] = []
@@ -77,6 +77,7 @@ class Index:
     items: dict[int, tuple[str, list[str], np.ndarray]]  # id: kind, tokens, template
     windows: dict[str, dict[int, list[tuple[int, int]]]]  # kind: hash: (item, position)
     hashes: dict[str, np.ndarray]
+    least: dict[str, int]  # kind: fewest words that are no placeholders in any of its windows
 
 
 class Vocabulary(dict):
@@ -125,14 +126,19 @@ def vocabulary_of(items: list[list[str]]) -> Vocabulary:
 
 def build_index(rows: list[tuple[int, str | None, str]], vocabulary: Vocabulary) -> Index:
     items, windows = {}, {"words": defaultdict(list), "letters": defaultdict(list)}
+    least = {kind: WINDOW[kind] for kind in WINDOW}
     for item, lang, text in rows:
         words = tokens(text)
         kind = kind_of(lang, words)
         codes = template(words, vocabulary)
         items[item] = (kind, words, codes)
-        for h, at in zip(*window_hashes(codes, WINDOW[kind], ANCHORS[kind]), strict=True):
-            windows[kind][int(h)].append((item, int(at)))
-    return Index(vocabulary, items, {k: dict(v) for k, v in windows.items()}, {k: np.array(sorted(v), dtype=np.uint64) for k, v in windows.items()})
+        size = WINDOW[kind]
+        for h, at in zip(*window_hashes(codes, size, ANCHORS[kind]), strict=True):
+            if kind == "words" or any(_ONLY_LETTERS(w) for w in words[at : at + size]):
+                windows[kind][int(h)].append((item, int(at)))
+                least[kind] = min(least[kind], int((codes[at : at + size] > NAME).sum()))
+    hashes = {k: np.array(sorted(v), dtype=np.uint64) for k, v in windows.items()}
+    return Index(vocabulary, items, {k: dict(v) for k, v in windows.items()}, hashes, least)
 
 
 def _common_letters(a: list[str], i: int, b: list[str], j: int, size: int) -> int:
@@ -176,9 +182,9 @@ def leaks(text: str, index: Index) -> dict[int, bool]:
     explained: set[int] = set()  # positions of windows that are a literal leak of some item
     for kind, size in WINDOW.items():
         known = index.hashes[kind]
-        if not len(known):
+        if not len(known) or (kind == "letters" and not _HAS_LETTER.search(text)):
             continue
-        hashes, at = window_hashes(codes, size, ANCHORS[kind])
+        hashes, at = window_hashes(codes, size, index.least[kind])
         if not len(hashes):
             continue
         k = np.searchsorted(known, hashes)
@@ -186,10 +192,7 @@ def leaks(text: str, index: Index) -> dict[int, bool]:
         for h, i in zip(hashes[known[k] == hashes].tolist(), at[known[k] == hashes].tolist(), strict=True):
             for item, j in index.windows[kind][h]:
                 own = index.items[item][1]
-                if kind == "words":
-                    literal = words[i : i + size] == own[j : j + size]
-                else:
-                    literal = _common_letters(words, i, own, j, size) >= LETTERS
+                literal = words[i : i + size] == own[j : j + size] and (kind == "words" or _common_letters(words, i, own, j, size) >= LETTERS)
                 if literal:
                     found[item] = True
                     explained.add(i)

@@ -134,6 +134,8 @@ class Transducer(dict):
         followers = {c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M"}
         followers |= {c for c, out in self.mapping.items() if not out} | set(FOLLOWERS)
         self.pattern = re.compile(rf"[{_classes(starts | followers)}][{_classes(followers)}]*")
+        # For readers of letters and digits alone, signs and spaces needn't be mapped.
+        self.lettered = frozenset(c for c in starts | followers if c in self.mapping and (not self.mapping[c] or any(o.isalnum() or o in "\u3099\u309a" for o in self.mapping[c])))
 
     def __missing__(self, cluster: str) -> str:
         output = unicodedata.normalize("NFC", "".join(self.mapping.get(c, c) for c in cluster))
@@ -141,6 +143,17 @@ class Transducer(dict):
             self[cluster] = output
         return output
 
+    def letters_of(self, text: str) -> str:
+        """``text`` with the one form's letters and digits; signs and spaces stay as they are.
+
+        Outputs are fixed points, so the few characters to change can be replaced one after another.
+        """
+        if text.isascii():
+            return text
+        for c in self.lettered.intersection(text):
+            text = text.replace(c, self.mapping[c])
+        return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+
     def apply(self, text: str) -> str:
         if text.isascii():
             return text
