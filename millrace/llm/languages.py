@@ -183,12 +183,13 @@ def fit(samples: list[tuple[str, list[str]]]) -> Model:
 
 
 def pieces(markdown: str) -> list[tuple[int, str]]:
-    """(number, text) of the prose pieces of a text in the one form; pieces are split at blank lines.
+    """(number, text) of the prose pieces of a text as stored, their letters in the one form; pieces are split at blank lines.
 
     Headings, code, formulas, images, front matter and bare placeholders are no prose; text beside
     them in a piece is. Inline code, addresses and tags are dropped from a piece.
     """
     out = []
+    form = transducer().letters_of
     fence, math_open, front = "", False, markdown.startswith("---\n")
     for number, piece in enumerate(markdown.split("\n\n")):
         if front:
@@ -212,7 +213,7 @@ def pieces(markdown: str) -> list[tuple[int, str]]:
             if bare.startswith("#") and bare.lstrip("#")[:1] in (" ", ""):
                 continue
             lines.append(line)
-        text = "\n".join(lines)
+        text = form("\n".join(lines))
         if "`" in text:
             text = _TICKS.sub(" ", text)
         if "](" in text or "://" in text or "www." in text:
@@ -243,7 +244,7 @@ def analyse(markdown: str, model: Model) -> Found:
     """The language of most prose pieces, by letters where two have as many, and the pieces wholly in another."""
     judged = []
     votes, letters, evidence = Counter(), Counter(), Counter()
-    for number, text in pieces(transducer().apply(markdown)):
+    for number, text in pieces(markdown):
         words = words_of(text)
         if not words or _is_filler(words):
             continue
@@ -275,12 +276,11 @@ def train(articles: DataFrame, labels: DataFrame, bound: int = LABELLED_DOCUMENT
     sample = articles.where(F.col("markdown").isNotNull()).limit(bound).toPandas()
     ids = articles.sparkSession.createDataFrame([(int(i),) for i in sample["article_id"].dropna()], "article_id long")
     known = {r["article_id"]: label_language(r["language"]) for r in labels.join(F.broadcast(ids), "article_id", "left_semi").select("article_id", "language").collect()}  # at most ``bound`` rows
-    apply = transducer().apply
     data = []
     for i, text in zip(sample["article_id"], sample["markdown"], strict=True):
         lang = known.get(i)
         if lang in LANGUAGES:
-            words = [w for _, piece in pieces(apply(text)) for w in words_of(piece)]
+            words = [w for _, piece in pieces(text) for w in words_of(piece)]
             if words and not _is_filler(words):
                 data.append((lang, words))
     return fit(data)
