@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Exotic spaces that become a plain one, and characters that are dropped.
@@ -67,22 +67,22 @@ def text_content(c: Column) -> Column:
     return reduce(lambda x, s: F.regexp_replace(x, *s), steps, c)
 
 
-def character_ratios(c: Column, threshold: float = 0.6) -> Column:
-    """Struct (language, confidence, englishRatio, chineseRatio) by classes of characters."""
-    text = text_content(c)
-    total = F.length(F.regexp_replace(text, r"[^A-Za-z0-9_\x{4e00}-\x{9fff}]", ""))
-    english = F.length(F.regexp_replace(text, "[^A-Za-z]", "")) / total
-    chinese = F.length(F.regexp_replace(text, r"[^\x{4e00}-\x{9fff}]", "")) / total
-    enough = F.coalesce(total >= 10, F.lit(False))
+def with_ratios(df: DataFrame, column: str, output: str, threshold: float = 0.6) -> DataFrame:
+    """``df`` with a struct (language, confidence, englishRatio, chineseRatio) by classes of characters.
+
+    In three steps, as each is used more than once by the next: the optimizer then keeps them apart.
+    """
+    counted = df.withColumn("__text", text_content(F.col(column)))
+    count = lambda kept: F.length(F.regexp_replace("__text", kept, ""))
+    counted = counted.withColumn("__n", F.struct(count(r"[^A-Za-z0-9_\x{4e00}-\x{9fff}]").alias("total"), count("[^A-Za-z]").alias("en"), count(r"[^\x{4e00}-\x{9fff}]").alias("zh")))
+    enough = F.coalesce(F.col("__n.total") >= 10, F.lit(False))
+    share = lambda part: F.when(enough, F.col(f"__n.{part}") / F.col("__n.total")).otherwise(0.0)
+    shares = counted.withColumn("__r", F.struct(share("en").alias("en"), share("zh").alias("zh")))
+    english, chinese = F.col("__r.en"), F.col("__r.zh")
     language = F.when(english >= threshold, "en").when(chinese >= threshold, "zh").when(english > chinese, "en").when(chinese > english, "zh").otherwise("unknown")
-    confidence = F.when(language == "en", english).when(language == "zh", chinese).otherwise(0.0)
-    zero = F.lit(0.0)
-    return F.struct(
-        F.when(enough, language).otherwise("unknown").alias("language"),
-        F.when(enough, confidence).otherwise(zero).alias("confidence"),
-        F.when(enough, english).otherwise(zero).alias("englishRatio"),
-        F.when(enough, chinese).otherwise(zero).alias("chineseRatio"),
-    )
+    confidence = F.when(english == chinese, 0.0).otherwise(F.when(english >= threshold, english).when(chinese >= threshold, chinese).otherwise(F.greatest(english, chinese)))
+    ratios = F.struct(language.alias("language"), confidence.alias("confidence"), english.alias("englishRatio"), chinese.alias("chineseRatio"))
+    return shares.withColumn(output, ratios).drop("__text", "__n", "__r")
 
 
 def should_translate(ratios: Column, threshold: float = 0.6) -> Column:
@@ -104,7 +104,7 @@ def trim_code(c: Column) -> Column:
 
 
 def base64_text(c: Column) -> Column:
-    return F.base64(F.encode(c, "UTF-8"))
+    return F.replace(F.base64(F.encode(c, "UTF-8")), F.lit("\r\n"), F.lit(""))
 
 
 def unbase64_text(c: Column) -> Column:
@@ -118,8 +118,9 @@ def json_escape(c: Column) -> Column:
 
 
 def duration_label(ms: Column) -> Column:
-    """999ms, 1.23s or 1.50m."""
-    return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).when(ms < 60000, F.format_string("%.2fs", ms / F.lit(1000.0))).otherwise(F.format_string("%.2fm", ms / F.lit(60000.0)))
+    """999ms, 1.23s or 1.50m; decimals are those of the binary value."""
+    fixed = lambda x: F.call_function("format_number", x, F.lit("0.00"))
+    return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).when(ms < 60000, F.concat(fixed(ms / F.lit(1000.0)), F.lit("s"))).otherwise(F.concat(fixed(ms / F.lit(60000.0)), F.lit("m")))
 
 
 def to_boolean(c: Column) -> Column:

@@ -108,13 +108,15 @@ def _query(*columns: str):
     return wrap
 
 
-UPDATED = F.coalesce("updatedAt", "updated", "lastmod")
+def last_update() -> Column:
+    """The date of the last change, by whichever field has it."""
+    return F.coalesce("updatedAt", "updated", "lastmod")
 
 
 def _date_display(posts: DataFrame) -> DataFrame:
     day = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit(""))
-    later = (UPDATED > F.col("date")) & (F.to_date(UPDATED) != F.to_date("date"))
-    return posts.select("slug", day(F.col("date")).alias("published_label"), F.when(later, day(UPDATED)).otherwise("").alias("updated_label"))
+    later = (last_update() > F.col("date")) & (F.to_date(last_update()) != F.to_date("date"))
+    return posts.select("slug", day(F.col("date")).alias("published_label"), F.when(later, day(last_update())).otherwise("").alias("updated_label"))
 
 
 def _unique_slugs(posts: DataFrame) -> DataFrame:
@@ -171,7 +173,7 @@ QUERIES = {
     "project_share": _query("slug", "title")(lambda p: p.select("slug", F.concat(F.lit("["), "title", F.lit("]("), post_url(F.col("slug"), F.lit("/")), F.lit(")")).alias("markdown"), F.concat("title", F.lit("\n"), post_url(F.col("slug"), F.lit("/"))).alias("plain"))),
     "project_posts_json": _query("slug", "title")(lambda p: p.select("slug", F.to_json(F.struct("slug", "title")).alias("json"))),
     "menu_active": _query("slug")(lambda p: p.select("slug", F.concat(F.lit("/"), "slug", F.lit("/")).alias("path")).select("path", F.col("path").startswith("/1").alias("active"))),
-    "date_updated": _query("slug", "updatedAt", "updated", "lastmod")(lambda p: p.select("slug", UPDATED.alias("updated"))),
+    "date_updated": _query("slug", "updatedAt", "updated", "lastmod")(lambda p: p.select("slug", last_update().alias("updated"))),
     "date_format": _query("slug", "date", "lastmod")(lambda p: p.select("slug", F.date_format("date", "yyyy-MM-dd").alias("day"), F.coalesce(F.date_format("lastmod", "yyyy-MM-dd"), F.lit("")).alias("lastmod_day"))),
     "date_display": _query("slug", "date", "updatedAt", "updated", "lastmod")(_date_display),
     "date_normalize": lambda s, d: read_table(s, d, "post", "id", "updated", "imported_at").select("id", "updated", F.col("imported_at").try_cast("timestamp").alias("imported")),

@@ -116,3 +116,7 @@ def p4_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values and readable values per table and field and UTC day."""
     values = normalise_timestamps(timestamp_values(spark, sf_dir), "raw", "tz", "date_order")
     return values.groupBy("tbl", "field", F.to_date("instant").alias("day")).agg(F.count("*").alias("n_values"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_by_day": p4_by_day}
+ORACLE: dict[str, str] = {}

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from millrace.operators import timestamps
+from millrace.operators import documents, posts, sync, tags, timestamps
 
-QUERIES = {
-    "p4_found": timestamps.p4_found,
-    "p4_by_day": timestamps.p4_by_day,
-}
-ORACLE: dict[str, str] = {}
+MODULES = (documents, posts, sync, tags, timestamps)
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
