@@ -78,7 +78,7 @@ class _Builder(HTMLParser):
         while e.parent:
             if tag in ENDS.get(e.name, ()):
                 self.top = e.parent
-                if not (e.name == "td" and tag == "tr") and e.name != "p":
+                if not (e.name in ("td", "th") and tag == "tr") and e.name != "p":
                     break
             elif e.name in SCOPES:
                 break

@@ -75,3 +75,16 @@ def image_extension_by_url(mime: Column, url: Column) -> Column:
 def safe_image_id(c: Column) -> Column:
     kept = F.regexp_replace(c, "[^a-zA-Z0-9_-]", "")
     return F.when(kept != "", kept).otherwise(F.substring(F.md5(c), 1, 12))
+
+
+def latin_slug(c: Column, romanised: dict[str, str] | None = None) -> Column:
+    """Slug, or for a text without Latin letters the slug of its romanisation.
+
+    ``romanised`` maps single characters to their reading; which language's is the caller's choice.
+    """
+    own = normalise_slug(c)
+    if not romanised:
+        return own
+    readings = F.create_map(*(F.lit(x) for pair in romanised.items() for x in pair))
+    spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.concat(F.lit(" "), F.try_element_at(readings, x), F.lit(" ")), x)), "")
+    return F.when(own != "", own).otherwise(normalise_slug(spelled))

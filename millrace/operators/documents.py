@@ -174,6 +174,7 @@ def built() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # names
         "str_normalize_slug": _article(I, slugs.normalise_slug(C("title")).alias("slug")),
         "str_slug_from_title": _article(I, slugs.slug_from_title(F.lit(None).cast("string"), C("title"), C("site")).alias("slug")),
+        "str_latin_slug": _article(I, slugs.latin_slug(C("title"), {"缓": "huan", "存": "cun", "图": "tu", "片": "pian", "的": "de"}).alias("slug")),
         "str_slug_from_stem": lambda s, d: read_table(s, d, "post", "id", "updated").select("id", "updated", slugs.normalise_slug(F.regexp_extract("id", r"([^/]+)\.md$", 1)).alias("slug")),
         "str_short_hash": _article(I, slugs.short_hash(U).alias("hash")),
         "str_image_name": _article(I, F.when(_img.isNotNull(), slugs.image_name(F.lit(0), _img)).alias("name")),
@@ -249,7 +250,7 @@ NAMES = tuple(
     """
     adapter_resolve match_zhihu match_medium match_wechat match_others reject_arxiv reject_pdf zhihu_entity_link zhihu_keywords zhihu_date zhihu_blocked
     str_sanitize_url str_import_url sort_query_params str_import_owner str_normalize_url str_normalize_base str_normalize_base_site str_prefix_images
-    str_external_link rewrite_paths wechat_placeholder_guard str_normalize_slug str_slug_from_title str_slug_from_stem str_short_hash str_image_name
+    str_external_link rewrite_paths wechat_placeholder_guard str_normalize_slug str_slug_from_title str_latin_slug str_slug_from_stem str_short_hash str_image_name
     str_image_ext str_image_ext_notion str_safe_image_id str_invisible str_unescape_math str_sanitize_mdx str_compress_lines agg_cleanup_count
     str_reading_time str_detect_lang agg_lang_ratio should_translate strip_script str_callout str_base64 str_json_escape str_truncate_hash str_excerpt
     str_body_offset frontmatter_split win_line_offset caption_predicate sink_change_only str_code_lang agg_code_scores sort_priority gha_predicate
@@ -304,6 +305,9 @@ _SECRET = "canonicalUrl || '?token=' || md5(canonicalUrl) || ' Bearer ' || md5(t
 _URL_EXT = "nullif(lower(regexp_extract(regexp_replace(u, '[?#].*$', ''), '(?i)(\\.(?:jpe?g|png|webp|gif|bmp|avif|svg))$', 1)), '')"
 _IMG = "(select article_id, case when article_id % 3 = 0 then '.webp' end as m, coalesce(images[1].url, canonicalUrl) as u from article)"
 ORACLE = {
+    "zhihu_keywords": f"select article_id, array_to_string(list_transform(list_filter(list_zip(l, range(1, len(l) + 1)), lambda z: list_position(l, z[1]) = z[2]), lambda z: z[1]), '|') as keywords from (select article_id, list_filter(list_transform(regexp_split_to_array(replace(title, ' ', ','), '[,，]'), lambda x: trim(x, {_SPACES} || ' ' || chr(10) || chr(9) || chr(65279) || chr(8287))), lambda x: x <> '') as l from article)",
+    "str_highlight_set": "select article_id, case when article_id = 3 then '3' else article_id || ',3' end as lines from article",
+    "str_code_meta": "select article_id, site as title, false as line_numbers, array_to_string(range(least(article_id % 7 + 1, 3), greatest(article_id % 7 + 1, 3) + 1), ',') || ',9' as highlights, 'x' as meta from article",
     "adapter_resolve": f"select article_id, case when {_ZHIHU} then 'zhihu' when {_ON('medium.com')} then 'medium' when {_ON('mp.weixin.qq.com')} then 'wechat' else 'others' end as provider from article",
     "match_zhihu": f"select article_id, {_ZHIHU} as zhihu from article",
     "match_medium": f"select article_id, {_ON('medium.com')} as medium from article",

@@ -148,7 +148,14 @@ def _captions(posts: DataFrame) -> DataFrame:
     return block.select("slug", F.col("n").cast("long").alias("block_no"), image.alias("image"), F.when(caption(behind), behind).alias("caption")).where("image").select("slug", "block_no", "caption")
 
 
+def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites as chapters in the order of their names: (slug, order), a table of a few rows."""
+    return numbered(read_table(spark, sf_dir, "site", "site").select(F.col("site").alias("slug")), [F.asc("slug")], "order")
+
+
 QUERIES = {
+    "sort_chapter": chapters,
+    "win_chapter_prev_next": lambda s, d: with_neighbours(chapters(s, d), [F.asc("order")], "slug", "prev_slug", "next_slug").select("slug", "prev_slug", "next_slug"),
     "scan_collection": lambda s, d: read_table(s, d, "post", "slug", "id", "title", "date"),
     "scan_slug_dir": lambda s, d: read_table(s, d, "post", "id").select("id", F.regexp_extract("id", r"([^/]+)\.md$", 1).alias("stem")).where(F.col("stem").endswith("-1")),
     "filter_published": _query("slug", "title", "date")(lambda p: p),
@@ -198,6 +205,8 @@ _PAGINATION = """select page, case when total <= 5 then array_to_string(range(1,
 from (select page, total, case when e0 - s0 + 1 < 5 and s0 <> 1 and e0 = total then greatest(total - 4, 1) else s0 end as ws, case when e0 - s0 + 1 < 5 and s0 = 1 then least(5, total) else e0 end as we
  from (select page, total, greatest(page - 2, 1) as s0, least(page + 2, total) as e0 from (select unnest(range(1, total + 1)) as page, total from (select greatest(1, cast(ceil(count(*) / 6.0) as bigint)) as total from p))))"""
 ORACLE = {
+    "sort_chapter": 'select site as slug, row_number() over (order by site) as "order" from site',
+    "win_chapter_prev_next": "select site as slug, lag(site) over (order by site) as prev_slug, lead(site) over (order by site) as next_slug from site",
     "scan_collection": 'select slug, id, title, "date" from post',
     "scan_slug_dir": "select id, stem from (select id, regexp_extract(id, '([^/]+)\\.md$', 1) as stem from post) where stem like '%-1'",
     "filter_published": P + 'select slug, title, "date" from p',

@@ -17,7 +17,7 @@ IGNORED = ("node_modules", ".git", "dist", ".astro", "tests/fixtures")
 def whole_files(spark: SparkSession, paths: str | list[str], glob: str) -> DataFrame:
     """(path, value): one row per file below ``paths`` whose name matches ``glob``; no file gives no rows."""
     try:
-        files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(paths)
+        files = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     except AnalysisException:
         return spark.createDataFrame([], "path string, value string")
     return files.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/").alias("path"), "value")
