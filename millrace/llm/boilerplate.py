@@ -302,7 +302,8 @@ def main_blocks(df: DataFrame, id_column: str, html: str, model: Model | None =
                         numbers.append(b.number)
                         tags.append(b.name)
                         texts.append(b.text)
-            yield pd.DataFrame({"id": ids, "block_no": numbers, "tag": tags, "text": texts})
+            if ids:
+                yield pd.DataFrame({"id": ids, "block_no": numbers, "tag": tags, "text": texts})
 
     narrow = df.select(F.col(id_column).cast("long").alias("id"), F.col(html).alias("html"))
     return narrow.mapInPandas(extract, "id long, block_no int, tag string, text string")

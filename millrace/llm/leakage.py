@@ -243,7 +243,8 @@ def leaked_items(docs: DataFrame, id_column: str, text: str, items: DataFrame, i
                             ids.append(i)
                             found.append(item)
                             literal.append(exact)
-                yield pd.DataFrame({"doc_id": ids, "item_id": found, "literal": literal})
+                if ids:
+                    yield pd.DataFrame({"doc_id": ids, "item_id": found, "literal": literal})
 
         part = narrow.mapInPandas(find, "doc_id long, item_id long, literal boolean")
         out = part if out is None else out.unionByName(part)

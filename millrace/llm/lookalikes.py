@@ -216,7 +216,8 @@ def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     fields.append(field)
                     stored.append(raw := _digest(text))
                     forms.append(raw if form is text or form == text else _digest(form))
-        yield pd.DataFrame({"id": ids, "field": fields, "form": forms, "stored": stored})
+        if ids:
+            yield pd.DataFrame({"id": ids, "field": fields, "form": forms, "stored": stored})
 
 
 def look_alike_pairs(df: DataFrame, id_column: str, fields: list[str]) -> DataFrame:
