@@ -123,7 +123,7 @@ def spam_share(text: str | None) -> float:
             if repeats_itself(sentence):
                 bad += len(sentence)
             elif not _ended(sentence):
-                fragments.append((_units(sentence), len(sentence), len(_PARTS.findall(sentence)) > 2))
+                fragments.append((_units(sentence), len(sentence), sentence[-1] in "|,/·" or len(_PARTS.findall(sentence)) > 2))
     # A fragment is keywords if it is a row of short parts or its words come again in fragments of the page.
     counts = Counter(u for units, _, _ in fragments for u in units)
     for units, n, row in fragments:
