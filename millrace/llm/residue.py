@@ -213,18 +213,18 @@ PLACEHOLDER = re.compile(
             rf"#\{{{_INNER}\}}",  # #{name}
             r"<%[=-]?\s*[^%<>\n]{1,60}?%>",  # <%= name %>
             r"%%[A-Z][A-Z0-9_]{1,40}%%",  # %%NAME%%
-            r"(?<![\w%])%[A-Z][A-Z0-9]*_[A-Z0-9_]{1,40}%(?![\w%])",  # %NAME_PART%
+            r"(?<![A-Za-z0-9_%])%[A-Z][A-Z0-9]*_[A-Z0-9_]{1,40}%(?![A-Za-z0-9_%])",  # %NAME_PART%
             r"@@[A-Z][A-Z0-9_]{1,40}@@",  # @@NAME@@
-            r"(?<![\w$])\$[A-Z][A-Z0-9_]{2,40}\$(?![\w$])",  # $NAME$
+            r"(?<![A-Za-z0-9_$])\$[A-Z][A-Z0-9_]{2,40}\$(?![A-Za-z0-9_$])",  # $NAME$
             r"\[\[[A-Z][A-Z0-9_]{1,40}\]\](?!\()",  # [[NAME]]
-            r"(?<!\w)__[A-Z][A-Z0-9_]{1,40}?__(?!\w)",  # __NAME__
-            r"\b(?:YOUR|INSERT|ADD|ENTER)_[A-Z0-9_]{2,40}\b",  # YOUR_NAME_HERE
+            r"(?<![A-Za-z0-9])__[A-Z][A-Z0-9_]{1,40}?__(?![A-Za-z0-9])",  # __NAME__
+            r"(?<![A-Za-z0-9_])(?:YOUR|INSERT|ADD|ENTER)_[A-Z0-9_]{2,40}(?![A-Za-z0-9])",  # YOUR_NAME_HERE
             r"\[(?:Your|Insert|Enter|Add|Ihr|Ihre|Votre|Su|Tu|TODO|TBD|FIXME|Hier|Ici|Aquí)\b[^\[\]\n]{0,60}\](?!\()",  # [Your Name]
             r"[【\[](?:在此|此处|请在此|请输入|待填写|ここに)[^】\]\n]{0,40}[】\]]",  # 【在此填写摘要】
             r"[<‹][a-z][a-z ]{2,60} (?:goes )?here[>›]",  # <lead paragraph goes here>
             r"X{4}年X{1,2}月X{1,2}日",
             r"\[object Object\]",
-            r"(?<![\w{}\\^])\{\d\}(?![\w{}])",  # {0}
+            r"(?<![A-Za-z0-9_{}\\^])\{\d\}(?![A-Za-z0-9_{}])",  # {0}
             r"(?i:\blorem ipsum placeholder\b)",
         )
     )

@@ -17,6 +17,9 @@ PROSE = "The cache keeps its rows for long articles, and the parser is measured
         ("By %AUTHOR_NAME% and @@BYLINE@@", "placeholder"),
         ("$TITLE$", "placeholder"),
         ("Last changed on XXXX年XX月XX日", "placeholder"),
+        ("本文由YOUR_TITLE_HERE整理发布。", "placeholder"),
+        ("欢迎阅读{0}，以下是本期内容。作者$TITLE$和%AUTHOR_NAME%。", "placeholder"),
+        ("欢迎阅读{0}，以下是本期内容。", "placeholder"),
         ("[object Object]", "placeholder"),
         ("{0}", "placeholder"),
         ("404 Not Found. The page you asked for does not exist or has moved.", "error"),
