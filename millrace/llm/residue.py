@@ -213,7 +213,7 @@ PLACEHOLDER = re.compile(
             rf"#\{{{_INNER}\}}",  # #{name}
             r"<%[=-]?\s*[^%<>\n]{1,60}?%>",  # <%= name %>
             r"%%[A-Z][A-Z0-9_]{1,40}%%",  # %%NAME%%
-            r"(?<![A-Za-z0-9_%])%[A-Z][A-Z0-9]*_[A-Z0-9_]{1,40}%(?![A-Za-z0-9_%])",  # %NAME_PART%
+            r"(?<![A-Za-z0-9_%])%[A-Z][A-Z0-9_]{3,40}%(?![A-Za-z0-9_%])",  # %NAME%
             r"@@[A-Z][A-Z0-9_]{1,40}@@",  # @@NAME@@
             r"(?<![A-Za-z0-9_$])\$[A-Z][A-Z0-9_]{2,40}\$(?![A-Za-z0-9_$])",  # $NAME$
             r"\[\[[A-Z][A-Z0-9_]{1,40}\]\](?!\()",  # [[NAME]]
@@ -225,7 +225,6 @@ PLACEHOLDER = re.compile(
             r"X{4}年X{1,2}月X{1,2}日",
             r"\[object Object\]",
             r"(?<![A-Za-z0-9_{}\\^])\{\d\}(?![A-Za-z0-9_{}])",  # {0}
-            r"(?i:\blorem ipsum placeholder\b)",
         )
     )
 )
