@@ -64,50 +64,60 @@ def _bucket(n: int) -> int:
 
 @dataclass(slots=True)
 class Page:
-    """Blocks of a page with their features and number of words."""
+    """Blocks of a page; for each its distinct words, its other signs, the block that opens its part (-1: itself), and its length in words."""
 
     blocks: list[Block]
-    features: list[list[str]]
+    own: list[dict[str, None]]
+    signs: list[tuple[str, ...]]
+    opener: list[int]
     words: list[int]
 
+    def features(self) -> list[list[str]]:
+        """What the model is fitted on: words, signs, and the words and element that open the part."""
+        out = []
+        for own, marks, k in zip(self.own, self.signs, self.opener, strict=True):
+            f = ["w:" + w for w in own]
+            f += marks
+            if k >= 0:
+                f += self.opening(k)
+            out.append(f)
+        return out
+
+    def opening(self, k: int) -> list[str]:
+        """Features that block ``k`` gives to the blocks of the part that it opens."""
+        return [f"ot:{self.blocks[k].name}", *(("o:" + w for w in self.own[k]) if self.words[k] <= 12 else ("o:long",))]
+
 
 def page(html: str | None) -> Page:
     found = blocks(html)
     if not found:
-        return Page([], [], [])
+        return Page([], [], [], [], [])
     m = _AUTHOR.search(html, 0, 4000)
     author = m[1].strip().lower() if m else None
-    opening: dict[int, list[str]] = {}
-    headed = False
-    any_h1 = any(b.name == "h1" for b in found)
-    features, words = [], []
-    for b in found:
+    opening: dict[int, int] = {}
+    place = "before" if any(b.name == "h1" for b in found) else "no-h1"
+    out = Page(found, [], [], [], [])
+    for i, b in enumerate(found):
         text = b.text.strip()
         lexical = _lexical(text)
-        n = len(lexical)
-        own = sorted(set(lexical))
-        f = ["w:" + w for w in own]
-        f += ("bias", "t:" + b.name, f"n:{_bucket(n)}")
+        n, letters = len(lexical), len(text)
+        if b.name == "h1":
+            place = "after"
+        marks = ["bias", "t:" + b.name, f"n:{_bucket(n)}", f"l:{min(4, int(4 * b.links / letters)) if letters else 0}", place]
         if n <= 12:
-            f.append(f"f:{lexical[0] if lexical else ''}|{min(n, 7) // 2}")
-        letters = len(text)
-        f.append(f"l:{min(4, int(4 * b.links / letters)) if letters else 0}")
+            marks.append(f"f:{lexical[0] if lexical else ''}|{min(n, 7) // 2}")
         if text.endswith(_SENTENCE_END):
-            f.append("stop")
-        if author and len(text) < 200 and author in text.lower():
-            f.append("author")
-        if b.name == "h1":
-            headed = True
-        f.append("after" if headed else "before" if any_h1 else "no-h1")
-        key = id(b.container)
-        if key in opening:
-            f += opening[key]
-        else:
-            opening[key] = [f"ot:{b.name}", *("o:" + w for w in own[:12])] if n <= 12 else [f"ot:{b.name}", "o:long"]
-            f.append("opens")
-        features.append(f)
-        words.append(n)
-    return Page(found, features, words)
+            marks.append("stop")
+        if author and letters < 200 and author in text.lower():
+            marks.append("author")
+        k = opening.setdefault(id(b.container), i)
+        if k == i:
+            marks.append("opens")
+        out.own.append(dict.fromkeys(lexical))
+        out.signs.append(tuple(marks))
+        out.opener.append(-1 if k == i else k)
+        out.words.append(n)
+    return out
 
 
 def _above(block: Block) -> Iterator[Node]:
@@ -141,9 +151,26 @@ class Model:
     penalty: float = 30.0
     threshold: float = 0.0
 
+    def __post_init__(self):
+        # Words by themselves, so that no feature name is built for the many words of a page.
+        self._words = {f[2:]: w for f, w in self.weights.items() if f.startswith("w:")}
+
     def scores(self, p: Page) -> list[float]:
-        get = self.weights.get
-        return [sum(get(f, 0.0) for f in fs) for fs in p.features]
+        word, get = self._words.get, self.weights.get
+        opening: dict[int, float] = {}
+        out = []
+        for own, marks, k in zip(p.own, p.signs, p.opener, strict=True):
+            s = 0.0
+            for w in own:
+                s += word(w, 0.0)
+            for f in marks:
+                s += get(f, 0.0)
+            if k >= 0:
+                if k not in opening:
+                    opening[k] = sum(get(f, 0.0) for f in p.opening(k))
+                s += opening[k]
+            out.append(s)
+        return out
 
 
 def best_run(scores: list[float], words: list[int], gaps: list[float]) -> tuple[int, int] | None:
@@ -233,15 +260,15 @@ def fit(pages: list[str], seed: int = 7, rounds: int = 120) -> Model:
         p = page(html)
         y = labels(p)
         if y is not None:
-            data.append((p, y))
+            data.append((p, y, p.features()))
     if not data:
         return Model({"bias": 1.0, **{f"l:{i}": -2.0 for i in range(2, 5)}})
-    counts = Counter(f for p, _ in data for fs in p.features for f in fs)
+    counts = Counter(f for *_, features in data for fs in features for f in fs)
     kept = [f for f, n in counts.most_common(MAX_FEATURES) if n >= 3]
     index = {f: i for i, f in enumerate(kept)}
     flat, starts, y = [], [], []
-    for p, labelled in data:
-        for fs, yes in zip(p.features, labelled, strict=True):
+    for _, labelled, features in data:
+        for fs, yes in zip(features, labelled, strict=True):
             starts.append(len(flat))
             flat += [index[f] for f in fs if f in index]
             y.append(yes)
@@ -256,7 +283,7 @@ def fit(pages: list[str], seed: int = 7, rounds: int = 120) -> Model:
         g2 += grad * grad
         w -= 0.5 * grad / np.sqrt(g2)
     model = Model({f: round(float(w[i]), 4) for f, i in index.items()})
-    scored = [(p, yes, model.scores(p)) for p, yes in data]
+    scored = [(p, yes, model.scores(p)) for p, yes, _ in data]
     best = -1.0
     for penalty in (4.0, 16.0, 64.0, 256.0):
         for threshold in (-3.0, -1.5, 0.0):
