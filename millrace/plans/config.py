@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import secrets
 from dataclasses import dataclass, fields
 from functools import lru_cache
 from typing import ClassVar
@@ -66,3 +67,17 @@ def load(path: str | None = None) -> Settings:
         value, given = getattr(base, f.name), os.environ.get(f"MILLRACE_{f.name.upper()}")
         out[f.name] = boolean(given, value) if isinstance(value, bool) else number(given, value)
     return checked(out)
+
+
+def css_variables(colours: dict, prefix: str = "--color") -> list[str]:
+    """``--color-a-b: value;`` lines of nested names."""
+    out = []
+    for k, v in colours.items():
+        name = f"{prefix}-{k}"
+        out += css_variables(v, name) if isinstance(v, dict) else [f"{name}: {v};"]
+    return out
+
+
+def run_id() -> str:
+    """Eight random hex digits that name a run."""
+    return secrets.token_hex(4)

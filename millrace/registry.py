@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from millrace.operators import documents, markdown, pages, posts, sync, tags, timestamps
+from millrace.operators import blocks, documents, markdown, pages, posts, sync, tags, timestamps
 
-MODULES = (documents, markdown, pages, posts, sync, tags, timestamps)
+MODULES = (blocks, documents, markdown, pages, posts, sync, tags, timestamps)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}

@@ -110,3 +110,20 @@ def test_settings(tmp_path, monkeypatch):
 
 def test_site_join_is_not_forced(spark, data):
     assert timestamp_values(spark, data).count() > 0
+
+
+def test_small_helpers():
+    assert config.css_variables({"a": {"b": "#fff"}, "c": 1}) == ["--color-a-b: #fff;", "--color-c: 1;"]
+    assert len(config.run_id()) == 8
+
+
+def test_block_trees(spark):
+    from millrace.operators.blocks import first_match, with_paths
+
+    rows = [("p", "a", None, 0, "text"), ("p", "b", None, 1, "image"), ("p", "c", "a", 0, "text"), ("p", "d", "c", 0, "image"), ("q", "e", None, 0, "text"), ("q", "f", "gone", 0, "image")]
+    df = spark.createDataFrame(rows, "page string, block string, parent string, pos int, kind string")
+    assert [tuple(r) for r in first_match(df, "page", "block", "parent", "pos", F.col("kind") == "image").collect()] == [("p", "d")]
+    assert with_paths(df, "page", "block", "parent", "pos").count() == 5
+    assert first_match(df.limit(0), "page", "block", "parent", "pos", F.lit(True)).count() == 0
+    with pytest.raises(ValueError, match="deep"):
+        with_paths(df, "page", "block", "parent", "pos", depth=2)
