@@ -132,6 +132,24 @@ def matcher(selector: str) -> Callable[[Element], bool]:
     return test
 
 
+class AnyOf:
+    """Test of several simple selectors at once: one lookup for each element, class and id."""
+
+    def __init__(self, selectors: tuple[str, ...] | list[str]):
+        self.names = {s for s in selectors if s.isalnum()}
+        self.classes = {s[1:] for s in selectors if re.fullmatch(r"\.[\w-]+", s)}
+        self.ids = {s[1:] for s in selectors if re.fullmatch(r"#[\w-]+", s)}
+        plain = self.names | {"." + c for c in self.classes} | {"#" + i for i in self.ids}
+        self.others = [matcher(s) for s in selectors if s not in plain and " " not in s]
+
+    def __call__(self, e: Element) -> bool:
+        if e.name in self.names:
+            return True
+        if not e.attrs:
+            return False
+        return any(c in self.classes for c in e.classes()) or e.attrs.get("id") in self.ids or any(test(e) for test in self.others)
+
+
 def select(root: Element, selector: str) -> Iterator[Element]:
     """Elements that a selector of simple parts (separated by blanks) finds, in document order."""
     *above, last = map(matcher, selector.split())

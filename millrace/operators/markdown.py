@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import text
+from millrace.plans.parallel import spread
 from millrace.sources import read_table
 
 INLINE_CODE = re.compile(r"(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.DOTALL)
@@ -155,7 +156,7 @@ def _rows(f: Callable[[str], list[tuple]], columns: str):
                 rows = [(i, n, *row) for i, m in zip(pdf["article_id"], pdf["markdown"], strict=True) if isinstance(m, str) for n, row in enumerate(f(m))]
                 yield pd.DataFrame(rows, columns=["article_id", "n", *names])
 
-        return read_table(spark, sf_dir, "article", "article_id", "markdown").mapInPandas(run, f"article_id long, n int, {columns}")
+        return spread(read_table(spark, sf_dir, "article", "article_id", "markdown")).mapInPandas(run, f"article_id long, n int, {columns}")
 
     return query
 

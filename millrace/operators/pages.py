@@ -10,12 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.dom import Element, parse, select
+from millrace.functions.dom import AnyOf, Element, parse, select
+from millrace.plans.parallel import spread
 from millrace.sources import read_table
 
 LEAST_TEXT = 100
 # What may be a page's article, and what is noise inside it.
-MAIN = ("article", "main article", "main", "[data-article]", ".article", ".article-body", ".post", ".post-content", ".blog-post", ".markdown", ".mdx", ".prose", ".content", ".entry-content")
+MAIN = ("article", "main", "[data-article]", ".article", ".article-body", ".post", ".post-content", ".blog-post", ".markdown", ".mdx", ".prose", ".content", ".entry-content")
 NOISE = (
     "nav footer aside .toc #toc .table-of-contents .TableOfContents .toc-container .TableOfContents__root .breadcrumb .breadcrumbs .comment .comments #comments "
     '[data-component="comments"] .related .related-posts .post-navigation .next-post .prev-post .subscribe .newsletter .cookie .cookie-banner .share .social .ad .ads .advert .promo'
@@ -24,13 +25,14 @@ ZHIHU = (".Post-RichText", ".RichText", "article", ".ztext", '[data-za-detail-vi
 WECHAT = ("#js_content", ".rich_media_content")
 UNSEEN = ("script", "style", "noscript", "template")
 LAZY = ("data-src", "data-original", "data-backup-src", "data-actualsrc", "src", "data-actual-url")
+_IS_MAIN, _IS_DIV = AnyOf(MAIN), AnyOf(("div",))
 FIELDS = ("title", "author", "published", "updated", "html", "base_url", "source_title")
 
 
 def drop(root: Element, selectors: tuple[str, ...] | list[str]) -> None:
-    for s in selectors:
-        for e in list(select(root, s)):
-            e.remove()
+    test = AnyOf(selectors)
+    for e in [e for e in root.walk() if test(e)]:
+        e.remove()
 
 
 def first_text(root: Element, selectors: tuple[str, ...]) -> str | None:
@@ -54,10 +56,10 @@ def first_attribute(root: Element, selectors: tuple[str, ...], name: str) -> str
 
 def main_element(root: Element) -> Element | None:
     """The longest text of the usual places, at least LEAST_TEXT long; else of any div; the first of equals."""
-    for selectors in (MAIN, ("div",)):
+    for test in (_IS_MAIN, _IS_DIV):
         best, most = None, 0
-        for s in selectors:
-            for e in select(root, s):
+        for e in root.walk():
+            if test(e):
                 n = len(e.text().strip())
                 if n >= LEAST_TEXT and n > most:
                     best, most = e, n
@@ -272,7 +274,7 @@ def extracted(df: DataFrame, id_column: str, html: str, url: str, how: Callable[
             yield pd.DataFrame(rows, columns=["id", *FIELDS])
 
     narrow = df.select(F.col(id_column).cast("long").alias("id"), F.col(html).alias("html"), F.col(url).alias("url"))
-    return narrow.mapInPandas(run, "id long, " + ", ".join(f"{f} string" for f in FIELDS))
+    return spread(narrow).mapInPandas(run, "id long, " + ", ".join(f"{f} string" for f in FIELDS))
 
 
 def converted(df: DataFrame, id_column: str, html: str, base: str) -> DataFrame:
@@ -284,7 +286,7 @@ def converted(df: DataFrame, id_column: str, html: str, base: str) -> DataFrame:
             yield pd.DataFrame({"id": pdf["id"], "markdown": [m for m, _ in done], "images": [i for _, i in done]})
 
     narrow = df.select(F.col(id_column).cast("long").alias("id"), F.col(html).alias("html"), F.col(base).alias("base"))
-    return narrow.mapInPandas(run, "id long, markdown string, images array<string>")
+    return spread(narrow).mapInPandas(run, "id long, markdown string, images array<string>")
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,7 +305,7 @@ def _strings(f: Callable[[str], str | None]):
             for pdf in batches:
                 yield pd.DataFrame({"page_id": pdf["page_id"], "value": [f(h) if isinstance(h, str) else None for h in pdf["html"]]})
 
-        return _pages(spark, sf_dir).select("page_id", "html").mapInPandas(run, "page_id long, value string")
+        return spread(_pages(spark, sf_dir).select("page_id", "html")).mapInPandas(run, "page_id long, value string")
 
     return query
 
