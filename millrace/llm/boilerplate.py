@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.pages import HEADINGS, Block, Node, blocks, signs
 from millrace.llm.residue import is_notice
+from millrace.plans.parallel import spread
 from millrace.sources import read_table
 
 #: Bound on the labelled pages that the model is fitted on.
@@ -333,7 +334,7 @@ def main_blocks(df: DataFrame, id_column: str, html: str, model: Model | None =
                 yield pd.DataFrame({"id": ids, "block_no": numbers, "tag": tags, "text": texts})
 
     narrow = df.select(F.col(id_column).cast("long").alias("id"), F.col(html).alias("html"))
-    return narrow.mapInPandas(extract, "id long, block_no int, tag string, text string")
+    return spread(narrow).mapInPandas(extract, "id long, block_no int, tag string, text string")
 
 
 def p1_article(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from millrace.llm import boilerplate
 from millrace.llm.lookalikes import transducer
 from millrace.llm.pages import HEADINGS, Block
 from millrace.llm.residue import COVERAGE, coverage, has_placeholder, residue_kind, without_code
+from millrace.plans.parallel import spread
 from millrace.sources import read_table
 
 SCHEMA = "id long, kind string"
@@ -29,7 +30,7 @@ def residue_in_markdown(df: DataFrame, id_column: str, text: str) -> DataFrame:
     Null and empty texts, and texts of code alone, are none. Repeated rows give repeated results; no
     other column matters; an empty table gives none.
     """
-    return df.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).mapInPandas(_markdown, SCHEMA)
+    return spread(df.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))).mapInPandas(_markdown, SCHEMA)
 
 
 def page_residue(html: str, model: boilerplate.Model) -> str | None:
@@ -70,7 +71,7 @@ def residue_in_pages(df: DataFrame, id_column: str, html: str, model: boilerplat
             kinds = [page_residue(x, model) if isinstance(x, str) else None for x in pdf["html"]]
             yield pd.DataFrame({"id": pdf["id"], "kind": kinds}).dropna(subset=["kind"])
 
-    return df.select(F.col(id_column).cast("long").alias("id"), F.col(html).alias("html")).mapInPandas(judge, SCHEMA)
+    return spread(df.select(F.col(id_column).cast("long").alias("id"), F.col(html).alias("html"))).mapInPandas(judge, SCHEMA)
 
 
 def residue(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.lookalikes import transducer
 from millrace.llm.residue import FILLER_WORDS, PLACEHOLDER
+from millrace.plans.parallel import spread
 from millrace.sources import read_table
 
 #: Bound on the documents that the model is fitted on.
@@ -307,7 +308,7 @@ def detected(articles: DataFrame, model: Model) -> DataFrame:
                         rows += [(i, *piece) for piece in found.foreign]
             yield pd.DataFrame(rows, columns=["article_id", "piece_no", "lang", "confidence"])
 
-    return articles.select(F.col("article_id").cast("long").alias("article_id"), "markdown").mapInPandas(run, SCHEMA)
+    return spread(articles.select(F.col("article_id").cast("long").alias("article_id"), "markdown")).mapInPandas(run, SCHEMA)
 
 
 def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.lookalikes import transducer
+from millrace.plans.parallel import spread
 from millrace.sources import read_table
 
 #: Consecutive words, and letters where there are no spaces, that make a leak.
@@ -227,7 +228,7 @@ def leaked_items(docs: DataFrame, id_column: str, text: str, items: DataFrame, i
     matter, whatever their names. Empty tables give no rows.
     """
     rows = items.select(F.col(item_column).cast("long").alias("i"), F.col(item_lang).alias("l"), F.col(item_text).alias("t")).where(F.col("t").isNotNull() & F.col("i").isNotNull())
-    narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    narrow = spread(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")))
     held = [(r["i"], r["l"], r["t"]) for r in rows.toLocalIterator()]
     vocabulary = vocabulary_of([tokens(t) for _, _, t in held])
     out = None

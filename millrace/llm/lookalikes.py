@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.plans.parallel import spread
 from millrace.plans.storage import materialise
 from millrace.sources import read_table
 
@@ -229,7 +230,7 @@ def look_alike_pairs(df: DataFrame, id_column: str, fields: list[str]) -> DataFr
     numbers; repeated rows of one id give a pair once. An empty table gives none.
     """
     narrow = df.select(F.col(id_column).alias("id"), *fields)
-    forms = materialise(narrow.mapInPandas(_forms, "id long, field string, form binary, stored binary").dropDuplicates(), "forms")
+    forms = materialise(spread(narrow).mapInPandas(_forms, "id long, field string, form binary, stored binary").dropDuplicates(), "forms")
     varied = forms.groupBy("field", "form").agg(F.min("stored").alias("least"), F.max("stored").alias("most")).where(F.col("least") != F.col("most")).select("field", "form")
     members = forms.join(varied, ["field", "form"], "left_semi")
     a = members.select("field", "form", F.col("id").alias("id_a"), F.col("stored").alias("stored_a"))

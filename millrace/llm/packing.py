@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.plans.parallel import spread
 from millrace.sources import read_table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -164,7 +165,7 @@ def packed(df: DataFrame, id_column: str, text: str, capacities: list[tuple[int,
                 yield pd.DataFrame({"capacity_id": capacity_id, "container_id": base + where[cut], "id": all_ids.iloc[items[cut]].to_numpy(), "piece_no": numbers[cut], "first_token": starts[cut], "n_tokens": lengths[cut]})
 
     narrow = df.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
-    return narrow.mapInPandas(work, "capacity_id int, container_id long, id long, piece_no int, first_token long, n_tokens long")
+    return spread(narrow).mapInPandas(work, "capacity_id int, container_id long, id long, piece_no int, first_token long, n_tokens long")
 
 
 def capacities_of(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:

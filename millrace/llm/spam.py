@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.plans.parallel import spread
 from millrace.plans.storage import materialise
 from millrace.sources import read_table
 
@@ -186,7 +187,7 @@ def curves(df: DataFrame, id_column: str, text: str, lang: str) -> DataFrame:
     one id with several texts has a row for each. Other columns don't matter. An empty table gives none.
     """
     narrow = df.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("version"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    pages = narrow.mapInPandas(_spectra, SPECTRUM).dropDuplicates(["doc_id", "version"])
+    pages = spread(narrow).mapInPandas(_spectra, SPECTRUM).dropDuplicates(["doc_id", "version"])
     page = Window.partitionBy("doc_id", "version")
     length = F.floor(F.log2(F.col("n_units").cast("double"))).cast("int")
     points = pages.where(F.col("n_units") > 0).select("doc_id", "version", "lang", "n_units", "share", length.alias("length"), F.explode("spectrum").alias("s"))
@@ -216,7 +217,7 @@ def curves(df: DataFrame, id_column: str, text: str, lang: str) -> DataFrame:
     usual = fitted.where(prose).groupBy(*group).agg(F.count("*").alias("n_prose"), F.array(*(F.percentile_approx(F.col("curve")[b], 0.5, 1000) for b in range(13))).alias("usual"))
     divergence = F.aggregate(F.sequence(F.lit(0), F.lit(12)), F.lit(0.0), lambda total, b: total + F.when(F.col("curve")[b] > 0, F.col("curve")[b] * F.log(F.col("curve")[b] / F.greatest(F.col("usual")[b], F.lit(1e-3)))).otherwise(0.0))
     measured = fitted.join(usual, group, "left").withColumn("divergence", divergence)
-    spread = measured.where(prose).groupBy(*group).agg(*(F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(f"{c}_q") for c in ("slope", "residual", "divergence")))
+    quartiles = measured.where(prose).groupBy(*group).agg(*(F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(f"{c}_q") for c in ("slope", "residual", "divergence")))
 
     def beyond(c: str, sides: int) -> Column:
         q = F.col(f"{c}_q")
@@ -225,7 +226,7 @@ def curves(df: DataFrame, id_column: str, text: str, lang: str) -> DataFrame:
 
     few = F.coalesce(F.col("n_prose"), F.lit(0)) < LEAST_PROSE
     candidate = (F.col("n_units") < SHORT) | few | beyond("slope", 2) | beyond("residual", 1) | beyond("divergence", 1)
-    return measured.join(spread, group, "left").select("doc_id", "lang", "n_units", "slope", "residual", "divergence", candidate.alias("candidate"), "share")
+    return measured.join(quartiles, group, "left").select("doc_id", "lang", "n_units", "slope", "residual", "divergence", candidate.alias("candidate"), "share")
 
 
 def p10_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
