@@ -304,7 +304,15 @@ _LEVEL = "case lower(coalesce(level, 'info')) when 'debug' then 0 when 'warn' th
 _SECRET = "canonicalUrl || '?token=' || md5(canonicalUrl) || ' Bearer ' || md5(title) || '; sid=' || md5(canonicalUrl)"
 _URL_EXT = "nullif(lower(regexp_extract(regexp_replace(u, '[?#].*$', ''), '(?i)(\\.(?:jpe?g|png|webp|gif|bmp|avif|svg))$', 1)), '')"
 _IMG = "(select article_id, case when article_id % 3 = 0 then '.webp' end as m, coalesce(images[1].url, canonicalUrl) as u from article)"
+_VISIBLE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>', '', 'g'), '(?is)<style\b[^>]*>.*?</style>', '', 'g'), '(?is)<noscript\b[^>]*>.*?</noscript>', '', 'g'), '(?is)<template\b[^>]*>.*?</template>', '', 'g'), '<[^>]+>', ' ', 'g')"
 ORACLE = {
+    "zhihu_blocked": f"""select page_id, case when regexp_matches(title, '(?i)登录|login|sign.?in') or regexp_matches(path, '(?i)/(signin|login)(/|$)') or regexp_matches(v, '(?i)请先登录|登录后(继续|查看|访问|浏览)|登录知乎|使用(知乎)?账号登录|手机号登录') then 'login'
+ when regexp_matches(title, '(?i)验证|captcha|security.?check|human.?verification') or regexp_matches(path, '(?i)/(captcha|security-check|account/unhuman)(/|$)') or regexp_matches(v, '(?i)安全验证|请完成.{{0,10}}验证|拖动.{{0,20}}滑块|验证码|captcha|security.?check|human.?verification|verify you are human') then 'captcha'
+ when regexp_matches(v, '(?i)反作弊|访问异常|请求存在异常|access.?denied') then 'anti-spider' end as reason from (select page_id, title, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) as path, {_VISIBLE} as v from extracted_article)""",
+    "str_normalize_url": """select page_id, case when h = '' then '' when starts_with(h, '//') then 'https:' || h when regexp_matches(h, '(?i)^https?://') then h when starts_with(h, '/') then o || h else o || '/' || h end as url
+from (select page_id, regexp_extract(html, 'href="([^"]*)"', 1) as h, regexp_extract(baseUrl, '^(https?://[^/?#]+)', 1) as o from extracted_article)""",
+    "str_truncate_hash": """select article_id, case when length(u) <= 40 then u else substr(u, 1, 40) || '... [truncated, hash: ' || substr(printf('%x', abs(h)), 1, 8) || ']' end as url
+from (select article_id, canonicalUrl as u, list_reduce(list_prepend(cast(0 as bigint), list_transform(string_split(canonicalUrl, ''), lambda c: cast(ascii(c) as bigint))), lambda a, x: ((a * 31 + x + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) as h from article)""",
     "zhihu_keywords": f"select article_id, array_to_string(list_transform(list_filter(list_zip(l, range(1, len(l) + 1)), lambda z: list_position(l, z[1]) = z[2]), lambda z: z[1]), '|') as keywords from (select article_id, list_filter(list_transform(regexp_split_to_array(replace(title, ' ', ','), '[,，]'), lambda x: trim(x, {_SPACES} || ' ' || chr(10) || chr(9) || chr(65279) || chr(8287))), lambda x: x <> '') as l from article)",
     "str_highlight_set": "select article_id, case when article_id = 3 then '3' else article_id || ',3' end as lines from article",
     "str_code_meta": "select article_id, site as title, false as line_numbers, array_to_string(range(least(article_id % 7 + 1, 3), greatest(article_id % 7 + 1, 3) + 1), ',') || ',9' as highlights, 'x' as meta from article",

@@ -210,4 +210,10 @@ QUERIES = {
     "md_fix_captions": _caption_blocks,
     "md_pipeline": lambda s, d: pipeline(read_table(s, d, "article", "article_id", "markdown"), "article_id", "markdown"),
 }
-ORACLE: dict[str, str] = {}
+_CAPTIONS = r"""with b as (select doc_id as id, cast(unnest(range(0, len(l))) as bigint) as n, unnest(l) as t from (select doc_id, string_split(text, chr(10) || chr(10)) as l from documents)),
+p as (select id, n, case when n % 2 = 1 and length(t) < 100 then 'Figure 1: ' || t else t end as t from b),
+q as (select id, n, t, coalesce(regexp_matches(trim(lag(t) over (partition by id order by n)), '^!\[[^\]]*\]\([^)]+\)$'), false) and length(t) <= 120 and not regexp_matches(t, '^[#\-*>`]') and trim(t) <> '' and regexp_matches(trim(t), '(?i)^(figure\s+\d+|fig\.\s*\d+|table\s+\d+|image\s+\d+|图\s*\d+|表\s*\d+|\d+[:.：]\s*)') as fixed from p)
+"""
+ORACLE = {
+    "md_fix_captions": _CAPTIONS + "select id, n, case when fixed then '_' || trim(t) || '_' else t end as text, fixed from q",
+}

@@ -347,5 +347,7 @@ QUERIES = {
     "html_img_src": _strings(lambda h: "|".join(image_source(e.attrs, "https://base.example/") for e in select(parse(h), "img"))),
 }
 ORACLE = {
+    "html_has_class": "select page_id, cast(len(regexp_extract_all(html, 'class=\"byline\"')) as varchar) as value from extracted_article",
+    "html_img_src": "select page_id, array_to_string(list_transform(regexp_extract_all(html, '<img src=\"([^\"]*)\"', 1), lambda x: 'https://base.example' || x), '|') as value from extracted_article",
     "pick_first_attr": "select page_id, coalesce(nullif(trim(replace(regexp_extract(html, '<meta name=\"author\" content=\"([^\"]*)\"', 1), '&amp;', '&')), ''), nullif(trim(regexp_extract(html, '<meta property=\"article:published_time\" content=\"([^\"]*)\"', 1)), '')) as value from extracted_article",
 }

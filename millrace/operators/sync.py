@@ -252,7 +252,17 @@ _UNION = "list_transform(list_filter(list_zip(l, range(1, len(l) + 1)), lambda z
 _AUDITED = """with t as (select lower(trim(raw)) as key, raw from (select unnest(tags) as raw from post) where lower(trim(raw)) <> ''),
 a as (select key, count(*) as n_uses, count(distinct raw) as n_forms from t group by key), s as (select key, n_uses, n_forms, case when n_forms = 1 then 'USED' else 'SHADOWED' end as status from a)
 """
+_BATCHES = """with recursive n as (select batch_id, cast(unnest(range(0, len(nodes))) as bigint) as pos, cast(unnest(list_transform(nodes, lambda x: length(coalesce(x.text, x.latex, '')))) as bigint) as size from translation_batch where len(nodes) > 0),
+r as (select batch_id, pos, size, cast(0 as bigint) as part, size as used from n where pos = 0
+ union all select n.batch_id, n.pos, n.size, case when r.size > 6000 or r.used + n.size > 6000 then r.part + 1 else r.part end, case when r.size > 6000 or r.used + n.size > 6000 then n.size else r.used + n.size end from r join n on n.batch_id = r.batch_id and n.pos = r.pos + 1)
+"""
+_COUNT = lambda c: f"len(regexp_extract_all(b, '\\{c}'))"
 ORACLE = {
+    "win_greedy_batch": _BATCHES + "select batch_id, pos, size, part from r",
+    "agg_batch_chars": _BATCHES + "select batch_id, part, cast(sum(size) as bigint) as chars from r group by all",
+    "math_valid": _NODES + f"""select batch_id, node_id, case when contains(value, '$$') then 'Contains $$ delimiter' when contains(value, '$') then 'Contains $ delimiter' when contains(value, '\\[') or contains(value, '\\]') then 'Contains \\[ or \\] delimiter' when regexp_matches(value, '<[^>]+>') then 'Contains HTML tags'
+ when {_COUNT('{')} <> {_COUNT('}')} then 'Unbalanced braces: ' || ({_COUNT('{')} - {_COUNT('}')}) when {_COUNT('[')} <> {_COUNT(']')} then 'Unbalanced square brackets: ' || ({_COUNT('[')} - {_COUNT(']')}) when {_COUNT('(')} <> {_COUNT(')')} then 'Unbalanced parentheses: ' || ({_COUNT('(')} - {_COUNT(')')}) end as problem
+from (select *, regexp_replace(value, '\\\\.', '', 'g') as b from v) where kind = 'math'""",
     "incremental_upsert": _VERSIONS + f"""select slug, title, "date", updated, array_to_string(tags, '|') as tags, action from (
  select c.slug, case when i.slug is not null and c.updated is distinct from i.updated then i.title else c.title end as title, coalesce(c."date", i."date") as "date", case when i.slug is not null then i.updated else c.updated end as updated,
  case when i.slug is null or c.updated is not distinct from i.updated then c.tags else (select {_UNION} from (select list_concat(coalesce(c.tags, []), coalesce(i.tags, [])) as l)) end as tags,
