@@ -35,6 +35,8 @@ from millrace.sources import read_table
 LABELLED_PAGES = 1500
 #: Bound on its features.
 MAX_FEATURES = 30_000
+#: Ridge on its weights: labels are few for rare words.
+RIDGE = 3.0
 
 # Names that pages give to their article and to what surrounds or interrupts it.
 ARTICLE_NAMES = frozenset("post-richtext entry-content article-content post-content post-body article-body prose markdown-body rich_media_content js_content".split())
@@ -280,14 +282,14 @@ def fit(pages: list[str], seed: int = 7, rounds: int = 120) -> Model:
     for _ in range(rounds):  # full-batch AdaGrad with a ridge
         z = np.bincount(rows, w[flat_a], len(y))
         error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y_a
-        grad = np.bincount(flat_a, error[rows], len(kept)) + 0.3 * w
+        grad = np.bincount(flat_a, error[rows], len(kept)) + RIDGE * w
         g2 += grad * grad
         w -= 0.5 * grad / np.sqrt(g2)
     model = Model({f: round(float(w[i]), 4) for f, i in index.items()})
     scored = [(p, yes, model.scores(p)) for p, yes, _ in data]
     best = -1.0
     for penalty in (4.0, 16.0, 64.0, 256.0):
-        for threshold in (-3.0, -1.5, 0.0):
+        for threshold in (-2.0, -1.0, 0.0):
             trial = Model(model.weights, penalty, threshold)
             right = wrong = missed = 0
             for p, yes, s in scored:
