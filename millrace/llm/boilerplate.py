@@ -45,17 +45,22 @@ OTHER_NAMES = frozenset(
 )
 _AUTHOR = re.compile(r"<meta\s[^>]*name=[\"']?author[\"']?\s[^>]*content=[\"']([^\"']+)[\"']", re.IGNORECASE)
 _WORD = re.compile(r"[^\W\d_]+|\d+")
+_SPACELESS = re.compile("[぀-ヿ㐀-鿿]")
+_DIGITS = frozenset("0123456789")
 _SENTENCE_END = tuple(".!?。！？…")
 
 
 def _lexical(text: str) -> list[str]:
     """Words of a text for the model; runs of letters without spaces between words give pairs of letters."""
+    words = _WORD.findall(text.lower())
+    if not _SPACELESS.search(text):
+        return ["0" if w[0] in _DIGITS else w for w in words]
     out = []
-    for w in _WORD.findall(text.lower()):
-        if w[0].isdigit():
+    for w in words:
+        if w[0] in _DIGITS:
             out.append("0")
         elif w[0] >= "぀":
-            out.extend(w[i : i + 2] for i in range(max(1, len(w) - 1)))
+            out += map("".join, zip(w, w[1:], strict=False)) if len(w) > 1 else (w,)
         else:
             out.append(w)
     return out
