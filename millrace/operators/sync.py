@@ -183,15 +183,20 @@ def _image_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fetch spans of a run: each end with the nearest start in front, by a window over the run's hour.
+    """Fetch spans of a run: each end with the nearest start in front, in its own hour or an earlier one.
 
-    The hour is part of the key, so the run that holds a tenth of the log isn't one task.
+    The hour is part of the window's key, so the run that holds a tenth of the log isn't one task; the last
+    start of each hour is carried forward over the run's hours, of which there are few.
     """
     log = read_table(spark, sf_dir, "log_entry", "log_id", "ts", "runId", "event").dropDuplicates(["log_id"]).withColumn("at", F.col("ts").try_cast("timestamp")).where(F.col("at").isNotNull() & F.col("runId").isNotNull())
-    fetch = log.where(F.col("event").isin("fetch.start", "fetch.done"))
-    order = Window.partitionBy("runId", F.date_trunc("hour", "at")).orderBy("at", "log_id").rowsBetween(Window.unboundedPreceding, -1)
-    started = F.last(F.when(F.col("event") == "fetch.start", F.col("at")), ignorenulls=True).over(order)
-    return fetch.withColumn("started", started).where((F.col("event") == "fetch.done") & F.col("started").isNotNull()).select("log_id", ((F.unix_micros("at") - F.unix_micros("started")) / F.lit(1000)).cast("long").alias("span_ms"))
+    fetch = log.where(F.col("event").isin("fetch.start", "fetch.done")).withColumn("hour", F.date_trunc("hour", "at"))
+    start = F.when(F.col("event") == "fetch.start", F.col("at"))
+    earlier = Window.partitionBy("runId").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    carried = fetch.groupBy("runId", "hour").agg(F.max(start).alias("latest")).select("runId", "hour", F.max("latest").over(earlier).alias("carried"))
+    order = Window.partitionBy("runId", "hour").orderBy("at", "log_id").rowsBetween(Window.unboundedPreceding, -1)
+    near = fetch.withColumn("near", F.last(start, ignorenulls=True).over(order)).where("event = 'fetch.done'")
+    spans = near.join(carried, ["runId", "hour"]).withColumn("started", F.coalesce("near", "carried")).where("started is not null")
+    return spans.select("log_id", ((F.unix_micros("at") - F.unix_micros("started")) / F.lit(1000)).cast("long").alias("span_ms"))
 
 
 def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
