@@ -148,13 +148,24 @@ def _even(df: DataFrame) -> DataFrame:
 
 
 def _stored_and_incoming(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """First versions of slugs as stored rows, later ones as incoming."""
+    """First versions of slugs as stored rows, and as incoming one row of all the later ones.
+
+    That row merges as the later versions do one after another: the newest title and version, the first
+    date there is, and the tags of all in order. A version equal to the one in front is not applied.
+    """
     columns = ["slug", "title", "date", "updated", "tags"]
     versions = read_table(spark, sf_dir, "post", *columns, "id").where(F.col("slug").isNotNull())
-    n = F.row_number().over(Window.partitionBy("slug").orderBy(F.asc_nulls_first("updated"), "id"))
-    numbered = versions.withColumn("n", n)
-    return numbered.where("n = 1").select(*columns), numbered.where("n = 2").select(*columns)
-
+    order = Window.partitionBy("slug").orderBy(F.asc_nulls_first("updated"), "id")
+    numbered = versions.withColumn("n", F.row_number().over(order)).withColumn("applied", ~F.col("updated").eqNullSafe(F.lag("updated").over(order)))
+    none = F.array().cast("array<string>")
+    tags = F.array_sort(F.collect_list(F.when(F.col("applied"), F.struct("n", F.coalesce("tags", none).alias("tags")))))
+    later = numbered.where("n > 1").groupBy("slug").agg(
+        F.max_by("title", F.when(F.col("applied"), F.col("n"))).alias("title"),
+        F.min_by("date", F.when(F.col("date").isNotNull(), F.col("n"))).alias("date"),
+        F.max("updated").alias("updated"),
+        F.array_distinct(F.flatten(F.transform(tags, lambda x: x["tags"]))).alias("tags"),
+    )
+    return numbered.where("n = 1").select(*columns), later
 
 def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = upsert(*_stored_and_incoming(spark, sf_dir))
