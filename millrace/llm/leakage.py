@@ -6,6 +6,10 @@ turns into a template. Windows of all documents are hash-joined with those of th
 hit the placeholders' values are compared: the values may be equal (a literal leak, which is then
 measured exactly), or differ consistently (the item with other parameters).
 
+Windows with too few shared words for a template, as small or diverse sets of items have, are joined by
+their words themselves, and runs of letters by the letters, so a literal leak is found whatever words the
+items share. Only leaks with other parameters need a template.
+
 The items' windows are a stated, fixed query set against all documents. They travel to the workers in
 blocks of at most ITEMS_PER_BLOCK items, so what is sent is bounded however many items there are;
 nothing of the documents is ever collected.
@@ -79,6 +83,41 @@ class Index:
     windows: dict[str, dict[int, list[tuple[int, int]]]]  # kind: hash: (item, position)
     hashes: dict[str, np.ndarray]
     least: dict[str, int]  # kind: fewest words that are no placeholders in any of its windows
+    own: dict[str, int]  # number of each word of the windows without a template
+    literal: Exact  # those windows, by their words' numbers
+    letters: Exact  # runs of LETTERS letters of the items of that kind
+
+
+class Exact:
+    """Literal windows: where they are in the items, by their hash."""
+
+    BITS = 20
+
+    def __init__(self, places: dict[int, list[tuple[int, int]]]) -> None:
+        self.places = places
+        self.hashes = np.array(sorted(places), dtype=np.uint64)
+        self.near = np.zeros(1 << self.BITS, bool)  # by a hash's first bits: spares nearly all searches
+        self.near[self.hashes >> np.uint64(64 - self.BITS)] = True
+
+    def hits(self, hashes: np.ndarray) -> list[tuple[int, int]]:
+        """(index in ``hashes``, hash) of those that are known."""
+        at = np.flatnonzero(self.near[hashes >> np.uint64(64 - self.BITS)])
+        k = np.searchsorted(self.hashes, hashes[at])
+        k[k == len(self.hashes)] = 0
+        at = at[self.hashes[k] == hashes[at]] if len(at) else at
+        return list(zip(at.tolist(), hashes[at].tolist(), strict=True))
+
+
+def letter_hashes(letters: str) -> np.ndarray:
+    """Hashes of all runs of LETTERS, a power of two, letters."""
+    if len(letters) < LETTERS:
+        return np.empty(0, np.uint64)
+    h = np.frombuffer(letters.encode("utf-32-le"), np.uint32).astype(np.uint64) * np.uint64(_P)
+    size = 1
+    while size < LETTERS:
+        h = (h[:-size] ^ (h[:-size] >> np.uint64(29))) * np.uint64(_P) + h[size:]
+        size *= 2
+    return h ^ (h << np.uint64(32))
 
 
 class Vocabulary(dict):
@@ -128,6 +167,8 @@ def vocabulary_of(items: list[list[str]]) -> Vocabulary:
 def build_index(rows: list[tuple[int, str | None, str]], vocabulary: Vocabulary) -> Index:
     items, windows = {}, {"words": defaultdict(list), "letters": defaultdict(list)}
     least = {kind: WINDOW[kind] for kind in WINDOW}
+    own: dict[str, int] = {}
+    literal, letters = defaultdict(list), defaultdict(list)
     for item, lang, text in rows:
         words = tokens(text)
         kind = kind_of(lang, words)
@@ -138,8 +179,36 @@ def build_index(rows: list[tuple[int, str | None, str]], vocabulary: Vocabulary)
             if kind == "words" or any(_ONLY_LETTERS(w) for w in words[at : at + size]):
                 windows[kind][int(h)].append((item, int(at)))
                 least[kind] = min(least[kind], int((codes[at : at + size] > NAME).sum()))
+        if kind == "letters":
+            for at, h in enumerate(letter_hashes("".join(words)).tolist()):
+                letters[h].append((item, at))
+            continue
+        for at in range(len(words) - size + 1):
+            if (codes[at : at + size] > NAME).sum() < ANCHORS[kind]:
+                numbers = np.array([own.setdefault(w, len(own) + NAME + 1) for w in words[at : at + size]], dtype=np.uint64)
+                literal[int(window_hashes(numbers, size, size)[0][0])].append((item, at))
     hashes = {k: np.array(sorted(v), dtype=np.uint64) for k, v in windows.items()}
-    return Index(vocabulary, items, {k: dict(v) for k, v in windows.items()}, hashes, least)
+    return Index(vocabulary, items, {k: dict(v) for k, v in windows.items()}, hashes, least, own, Exact(dict(literal)), Exact(dict(letters)))
+
+
+def literal_leaks(words: list[str], index: Index) -> Iterator[tuple[int, int | None]]:
+    """Items of which ``words`` hold a window without a template, and where, or a run of letters."""
+    if index.own:
+        get = index.own.get
+        hashes, at = window_hashes(np.array([get(w, 0) for w in words], dtype=np.uint64), WORDS, WORDS)
+        for k, h in index.literal.hits(hashes):
+            i = int(at[k])
+            for item, j in index.literal.places[h]:
+                if words[i : i + WORDS] == index.items[item][1][j : j + WORDS]:
+                    yield item, i
+    if len(index.letters.hashes):
+        letters = "".join(words)
+        there: dict[int, str] = {}
+        for i, h in index.letters.hits(letter_hashes(letters)):
+            for item, j in index.letters.places[h]:
+                own = there.get(item) or there.setdefault(item, "".join(index.items[item][1]))
+                if letters[i : i + LETTERS] == own[j : j + LETTERS]:
+                    yield item, None
 
 
 def _common_letters(a: list[str], i: int, b: list[str], j: int, size: int) -> int:
@@ -175,12 +244,16 @@ def _consistent(words: list[str], i: int, item: list[str], j: int, codes: np.nda
 def leaks(text: str, index: Index) -> dict[int, bool]:
     """Items in ``text``: True for a literal leak, False for one with other parameters."""
     words = tokens(text)
-    if len(words) < WINDOW["letters"]:
-        return {}
-    codes = template(words, index.vocabulary)
     found: dict[int, bool] = {}
     other: list[tuple[int, int, int, int]] = []  # item, position there, position here, size
     explained: set[int] = set()  # positions of windows that are a literal leak of some item
+    for item, i in literal_leaks(words, index):
+        found[item] = True
+        if i is not None:
+            explained.add(i)
+    if len(words) < WINDOW["letters"]:
+        return found
+    codes = template(words, index.vocabulary)
     for kind, size in WINDOW.items():
         known = index.hashes[kind]
         if not len(known) or (kind == "letters" and not _HAS_LETTER.search(text)):

@@ -80,3 +80,31 @@ def test_brute_force(spark, data):
             if any(joined[k : k + 16] in letters for k in range(len(joined) - 15)) if lang == "zh" else any(tuple(own[k : k + 10]) in there for k in range(len(own) - 9)):
                 expected.add((d, i))
     assert {tuple(r) for r in p9_found(spark, data).collect()} == expected
+
+
+@pytest.mark.parametrize("count", [1, 2, 8])
+def test_literal_leaks_without_shared_words(count):
+    """Items that share no words have no templates, yet each window of theirs is found."""
+    rows = []
+    for n in range(count):
+        rows.append((2 * n, "en", " ".join(f"w{n}x{k}" if k % 4 else str(k) for k in range(14))))
+        rows.append((2 * n + 1, "zh", "".join(chr(0x4E00 + 40 * n + k) for k in range(18)) + f"Word{n}Kubernetes{n}配置"))
+    index = build_index(rows, vocabulary_of([tokens(t) for _, _, t in rows]))
+    for item, lang, text in rows:
+        if lang == "en":
+            words = text.split()
+            for k in range(5):
+                assert leaks("before " + " ".join(words[k : k + 10]) + " after", index) == {item: True}
+                assert not any(leaks("before " + " ".join(words[k : k + 9]) + " after", index).values())
+        else:
+            for k in range(len(text) - 15):
+                assert leaks("前" + text[k : k + 16] + "后", index).get(item)
+                assert not any(leaks("前" + text[k : k + 15] + "后", index).values())
+
+
+def test_each_window_of_few_items(spark, data):
+    items = duckdb.sql(f"select item_id, lang, text from '{data}/eval_item.parquet' where item_id % 24 = 0").fetchall()
+    schema = "item_id long, lang string, text string"
+    docs = [(n, f"x {' '.join(w[k : k + 10])} y") for n, (w, k) in enumerate((tokens(t), k) for _, lang, t in items if lang != "zh" for k in range(0, max(0, len(tokens(t)) - 9)))]
+    found = leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", spark.createDataFrame(items, schema), "item_id", "text", "lang")
+    assert {r["doc_id"] for r in found.where("literal").collect()} == {n for n, _ in docs}
