@@ -100,7 +100,7 @@ def page(html: str | None) -> Page:
     found = blocks(html)
     if not found:
         return Page([], [], [], [], [])
-    m = _AUTHOR.search(html, 0, 4000)
+    m = _AUTHOR.search(html)
     author = m[1].strip().lower() if m else None
     opening: dict[int, int] = {}
     place = "before" if any(b.name == "h1" for b in found) else "no-h1"

@@ -82,3 +82,10 @@ def test_rows(spark):
 def test_query(spark, data):
     assert boilerplate.p1_found(spark, data).columns == ["page_id", "block_no"]
     assert boilerplate.p1_article(spark, data).count() > 0
+
+
+def test_author_behind_a_long_head():
+    html = sample(1).replace("<title>", "<style>" + ".a { color: red }\n" * 1000 + "</style><title>")
+    assert html.index('name="author"') > 4000
+    marked = [b.text.strip() for b, s in zip(page(html).blocks, page(html).signs, strict=True) if "author" in s]
+    assert marked == ["By Ann Bee 1"]
