@@ -49,10 +49,15 @@ def current_generation(spark: SparkSession, table: str, before: int | None = Non
     return spark.read.parquet(f"{table}/generation={max(usable)}") if usable else None
 
 
-def log_counts(logs: DataFrame, delay: str = "3 days", size: str = "1 hour") -> DataFrame:
-    """Entries by hour and level of a stream of log rows; re-delivered ids count once within the delay."""
-    at = logs.withColumn("at", F.col("ts").try_cast("timestamp")).where(F.col("at").isNotNull()).withWatermark("at", delay)
-    once = at.dropDuplicatesWithinWatermark(["log_id"])
+def log_counts(logs: DataFrame, delay: str | None = None, size: str = "1 hour") -> DataFrame:
+    """Entries by hour and level of a stream of log rows; re-delivered ids count once.
+
+    Every row counts, however late; the state keeps all ids and hours for that. A ``delay`` bounds the
+    state: rows later than it are dropped, and ids count once within it. The progress of the query has
+    the number of dropped rows (``stateOperators``, ``numRowsDroppedByWatermark``). Append output needs a delay.
+    """
+    at = logs.withColumn("at", F.col("ts").try_cast("timestamp")).where(F.col("at").isNotNull())
+    once = at.withWatermark("at", delay).dropDuplicatesWithinWatermark(["log_id"]) if delay else at.dropDuplicates(["log_id"])
     return once.groupBy(F.window("at", size), F.lower(F.coalesce("level", F.lit("info"))).alias("level")).agg(F.count("*").alias("n"))
 
 

@@ -86,6 +86,17 @@ def test_log_stream(spark, tmp_path):
     assert [(r["level"], r["n"]) for r in spark.table("counts").collect()] == [("info", 2)]
 
 
+def test_late_log_rows_count(spark, tmp_path):
+    schema = "log_id long, ts string, level string"
+    source = str(tmp_path / "logs")
+    for rows in ([(1, "2024-01-20T00:10:00Z", "INFO")], [(2, "2024-01-21T00:10:00Z", "info")], [(3, "2024-01-10T00:10:00Z", "info"), (1, "2024-01-20T00:10:00Z", "INFO")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    logs = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    q = log_counts(logs).writeStream.format("memory").queryName("late").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    wait(q)
+    assert sorted((r["window"]["start"].day, r["n"]) for r in spark.table("late").collect()) == [(10, 1), (20, 1), (21, 1)]
+
+
 def test_global_order(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"))
     rows = numbered(df, [F.asc("k")], "n").collect()
