@@ -197,8 +197,9 @@ def curves(df: DataFrame, id_column: str, text: str, lang: str) -> DataFrame:
     # Words of one frequency share a stretch of ranks; it weighs as much as it is long on the log axis.
     weight = F.log((F.col("last") + 0.5) / (first - 0.5))
     sums = ranked.select("*", first.alias("first"), x.alias("x"), F.log(F.col("f").cast("double")).alias("y"), weight.alias("w"))
-    # Share of the page's words in each octave of ranks.
-    octaves = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda b: F.greatest(F.lit(0), F.least(F.col("last"), F.pow(F.lit(2), b + 1).cast("long") - 1) - F.greatest(F.col("first"), F.pow(F.lit(2), b).cast("long")) + 1) * F.col("f"))
+    # Share of the page's words in each octave of ranks; the last one has no end.
+    end = lambda b: F.when(b < 12, F.pow(F.lit(2), b + 1).cast("long") - 1).otherwise(F.col("last"))
+    octaves = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda b: F.greatest(F.lit(0), F.least(F.col("last"), end(b)) - F.greatest(F.col("first"), F.pow(F.lit(2), b).cast("long")) + 1) * F.col("f"))
     s = sums.withColumn("octaves", octaves)
     totals = s.groupBy("doc_id", "version", "lang", "length", "n_units", "share").agg(
         *(F.sum(e).alias(name) for name, e in (("sw", F.col("w")), ("sx", F.col("w") * F.col("x")), ("sy", F.col("w") * F.col("y")), ("sxx", F.col("w") * F.col("x") ** 2), ("sxy", F.col("w") * F.col("x") * F.col("y")), ("syy", F.col("w") * F.col("y") ** 2))),

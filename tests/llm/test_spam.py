@@ -81,6 +81,20 @@ def test_slope_is_the_regression(spark):
     assert row["slope"] == pytest.approx(slope, rel=1e-6)
 
 
+def test_curve_has_every_word(spark):
+    """Words of ranks above 8191 count in the last octave of the curve."""
+    import numpy as np
+
+    def text(n):
+        words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(n)]
+        return "\n".join(" ".join(words[a : a + 10]) + "." for a in range(0, n, 10))
+
+    rows = [(1, text(9000), "en"), (2, text(9000), "en"), (3, text(12000), "en")]
+    out = curves(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang").toPandas().set_index("doc_id")
+    share = lambda n: np.array([2.0**b for b in range(12)] + [n - 4095]) / n
+    assert out["divergence"][3] == pytest.approx(float((share(12000) * np.log(share(12000) / np.maximum(share(9000), 1e-3))).sum()), rel=1e-6)
+
+
 def test_queries(spark, data):
     assert p10_found(spark, data).columns == ["doc_id"]
     assert p10_curves(spark, data).count() > 0
