@@ -1,9 +1,12 @@
 import re
 
 import duckdb
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from millrace.llm.leakage import build_index, leaked_items, leaks, p9_found, tokens, vocabulary_of
+from millrace.llm.leakage import Bitmap, leaked_items, p9_found, tokens, window_hashes
 from millrace.llm.lookalikes import canonical
 
 ITEMS = [
@@ -18,34 +21,42 @@ ITEMS = [
 ]
 
 
-@pytest.fixture(scope="module")
-def index():
-    rows = [r for r in ITEMS if r[2]]
-    return build_index(rows, vocabulary_of([tokens(t) for _, _, t in rows]))
+ITEM, DOC = "item_id long, lang string, text string", "doc_id long, text string"
 
 
-@pytest.mark.parametrize(
-    ("text", "found"),
-    [
-        ("x y. When rack Alpha lost power the Beta scheduler moved 10 jobs. z", {1: True}),
-        ("WHEN **RACK** ALPHA, LOST\nPOWER the Ｂｅｔａ sched​uler moved 10 jobs", {1: True}),
-        ("When rack Alpha lost power the Beta scheduler moved ten", {}),  # nine words
-        ("前面机架Ostdo断电以后杉杉渡调度后面", {4: True}),
-        ("机架Ｏｓｔｄｏ断电，以后 杉杉渡\n调度程序", {4: True}),
-        ("机架Ostdo断电以后杉杉渡改", {}),  # 14 letters
-        ("", {}),
-        ("too short", {}),
-    ],
-)
-def test_literal(index, text, found):
-    assert {i: e for i, e in leaks(text, index).items() if e} == found
+def found(spark, texts, items):
+    """For each text its items, True for a literal leak."""
+    out = [{} for _ in texts]
+    for r in leaked_items(spark.createDataFrame(list(enumerate(texts)), DOC), "doc_id", "text", spark.createDataFrame(items, ITEM), "item_id", "text", "lang").collect():
+        out[r["doc_id"]][r["item_id"]] = r["literal"]
+    return out
 
 
-def test_other_parameters(index):
+CASES = [
+    ("x y. When rack Alpha lost power the Beta scheduler moved 10 jobs. z", {1: True}),
+    ("WHEN **RACK** ALPHA, LOST\nPOWER the Ｂｅｔａ sched\u200buler moved 10 jobs", {1: True}),
+    ("When rack Alpha lost power the Beta scheduler moved ten", {}),  # nine words
+    ("前面机架Ostdo断电以后杉杉渡调度后面", {4: True}),
+    ("机架Ｏｓｔｄｏ断电，以后 杉杉渡\n调度程序", {4: True}),
+    ("机架Ostdo断电以后杉杉渡改", {}),  # 14 letters
+    ("", {}),
+    ("too short", {}),
+]
+
+
+def test_literal(spark):
+    got = found(spark, [t for t, _ in CASES], ITEMS)
+    assert [{i: e for i, e in g.items() if e} for g in got] == [f for _, f in CASES]
+
+
+def test_other_parameters(spark):
     text = "When rack Omega lost power the Sigma scheduler moved 411 jobs in 512 hours and dropped only 613. How many are left?"
-    assert leaks(text, index) == {1: False, 2: False, 3: False}
     # one name for two: the placeholders don't fit
-    assert leaks("When rack Omega lost power the Omega scheduler moved 4 jobs in 4 seconds", index) == {}
+    one_name = "When rack Omega lost power the Omega scheduler moved 4 jobs in 4 seconds"
+    letters = "机架Zunto断电以后松林渡调度程序在99秒内迁移了12个任务。请问还剩下多少台机器？"
+    got = found(spark, [text, one_name, letters], ITEMS)
+    assert got[:2] == [{1: False, 2: False, 3: False}, {}]
+    assert got[2] == {4: False, 5: False, 6: False}
 
 
 def test_rows(spark):
@@ -58,14 +69,6 @@ def test_rows(spark):
     assert leaked_items(docs.limit(0), "doc_id", "text", items, "item_id", "text", "lang").count() == 0
 
 
-def test_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr("millrace.llm.leakage.ITEMS_PER_BLOCK", 2)
-    docs = spark.createDataFrame([(i, t) for i, _, t in ITEMS], "doc_id long, text string")
-    items = spark.createDataFrame(ITEMS, "item_id long, lang string, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in leaked_items(docs, "doc_id", "text", items, "item_id", "text", "lang").where("literal").collect()}
-    assert got >= {(i, i) for i in range(1, 7)}
-
-
 def test_brute_force(spark, data):
     items = duckdb.sql(f"select item_id, lang, text from '{data}/eval_item.parquet'").fetchall()
     docs = duckdb.sql(f"select doc_id, text from '{data}/documents.parquet'").fetchall()
@@ -82,24 +85,45 @@ def test_brute_force(spark, data):
     assert {tuple(r) for r in p9_found(spark, data).collect()} == expected
 
 
-@pytest.mark.parametrize("count", [1, 2, 8])
-def test_literal_leaks_without_shared_words(count):
+@pytest.mark.parametrize("count", [1, 2, 3, 8])
+def test_literal_leaks_without_shared_words(spark, count):
     """Items that share no words have no templates, yet each window of theirs is found."""
     rows = []
     for n in range(count):
         rows.append((2 * n, "en", " ".join(f"w{n}x{k}" if k % 4 else str(k) for k in range(14))))
         rows.append((2 * n + 1, "zh", "".join(chr(0x4E00 + 40 * n + k) for k in range(18)) + f"Word{n}Kubernetes{n}配置"))
-    index = build_index(rows, vocabulary_of([tokens(t) for _, _, t in rows]))
+    texts, expected = [], []
     for item, lang, text in rows:
         if lang == "en":
             words = text.split()
             for k in range(5):
-                assert leaks("before " + " ".join(words[k : k + 10]) + " after", index) == {item: True}
-                assert not any(leaks("before " + " ".join(words[k : k + 9]) + " after", index).values())
+                texts += ["before " + " ".join(words[k : k + 10]) + " after", "before " + " ".join(words[k : k + 9]) + " after"]
+                expected += [{item}, set()]
         else:
             for k in range(len(text) - 15):
-                assert leaks("前" + text[k : k + 16] + "后", index).get(item)
-                assert not any(leaks("前" + text[k : k + 15] + "后", index).values())
+                texts += ["前" + text[k : k + 16] + "后", "前" + text[k : k + 15] + "后"]
+                expected += [{item}, set()]
+    assert [{i for i, e in f.items() if e} for f in found(spark, texts, rows)] == expected
+
+
+@given(st.lists(st.integers(0, 3), max_size=40), st.sampled_from([1, 6, 10, 16]))
+@settings(max_examples=200, deadline=None)
+def test_window_hashes(values, size):
+    """Equal runs have equal hashes, other runs others."""
+    numbers = np.array(values, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
+    hashes = window_hashes(numbers, size).tolist()
+    runs = [tuple(values[i : i + size]) for i in range(len(values) - size + 1)]
+    assert len(hashes) == len(runs)
+    assert len(set(zip(runs, hashes, strict=True))) == len(set(runs)) == len(set(hashes))
+
+
+def test_bitmap(spark):
+    """Every hash of the column may be held, few others may."""
+    rng = np.random.default_rng(3)
+    inside, outside = rng.integers(-(2**63), 2**63, 3000), rng.integers(-(2**63), 2**63, 30_000)
+    bitmap = Bitmap.of(spark.createDataFrame([(int(x),) for x in inside], "h long"), "h", len(inside))
+    assert bitmap.may_hold(inside.view(np.uint64)).all()
+    assert bitmap.may_hold(outside.view(np.uint64)).mean() < 0.02
 
 
 def test_each_window_of_few_items(spark, data):
