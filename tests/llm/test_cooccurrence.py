@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from compare import assert_same
 
-from millrace.llm.cooccurrence import ORACLE, fit_null, p6_found, poisson_binomial_tail, surprising_pairs
+from millrace.llm.cooccurrence import ORACLE, fit_null, p6_found, poisson_binomial_tail, solve_x, surprising_pairs
 
 
 def exact_tail(k, p):
@@ -22,6 +22,35 @@ def test_tail(seed):
         assert got == pytest.approx(exact_tail(k, each), rel=0.15, abs=0.02)
 
 
+@pytest.mark.parametrize("mean", [1e-6, 1e-4, 0.01, 0.1, 1.0, 5.0])
+@pytest.mark.parametrize("k", [1, 2, 3, 8, 16, 17, 30])
+def test_tail_of_rare_pairs(mean, k):
+    """Relative to the exact tail, however small."""
+    rows = np.array([40.0, 25.0, 7.0])
+    p = np.array([1.0, 3.0, 9.0])
+    p *= mean / (p * rows).sum()
+    exact = exact_tail(k, np.repeat(p, rows.astype(int)))
+    got = poisson_binomial_tail(np.array([k]), p[None, :], rows)[0]
+    assert got == pytest.approx(exact, rel=1e-6 if k <= 16 else 0.02)
+
+
+def test_solved_frequencies():
+    y, rows = np.array([0.1, 0.5, 2.0]), np.array([50.0, 30.0, 4.0])
+    xy = solve_x(np.array([1, 7, 60, 84]), y, rows)[:, None] * y
+    assert (rows * xy / (1 + xy)).sum(1) == pytest.approx([1, 7, 60, 83.5], rel=1e-6)
+
+
+def test_independent_items_are_no_discoveries(spark):
+    """With items drawn independently, hardly any of the sets has a surprising pair at a rate of 5 %."""
+    false = 0
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        rates = rng.uniform(0.005, 0.2, 40)
+        rows = [([f"t{i}" for i in np.flatnonzero(rng.random(40) < rates)],) for _ in range(300)]
+        false += surprising_pairs(spark.createDataFrame(rows, "tags array<string>"), "tags").where("surprising").count() > 0
+    assert false <= 2
+
+
 def test_null_reproduces_the_margins():
     degrees, n_items = np.array([2.0, 5.0, 9.0]), np.array([10.0, 6.0, 2.0])
     sizes = np.array([1.0, 3.0, 4.0])
