@@ -221,27 +221,74 @@ def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"id": ids, "field": fields, "form": forms, "stored": stored})
 
 
-def look_alike_pairs(df: DataFrame, id_column: str, fields: list[str]) -> DataFrame:
-    """(id_a, id_b, field): two rows whose values in ``field`` differ as stored and have one form.
+#: A form with at most so many rows gives all its pairs; a larger one the links of its classes.
+ALL_PAIRS = 1000
+
 
-    Only digests are shuffled. A first aggregate keeps the forms with at least two stored values, so
-    exact copies of an unvaried text, however many, never meet each other; the rest joins on the
-    form. Null and empty values, and values equal as stored, give no pair; ids are compared as
-    numbers; repeated rows of one id give a pair once. An empty table gives none.
+def look_alikes(df: DataFrame, id_column: str, fields: list[str]) -> DataFrame:
+    """(id, field, form, stored, n_rows): the rows whose value in ``field`` has a form that is stored in several ways, written once.
+
+    Only digests are shuffled. The aggregate combines before the shuffle, so exact copies of one text,
+    however many, are a few rows by then.
     """
     narrow = df.select(F.col(id_column).alias("id"), *fields)
     forms = materialise(spread(narrow).mapInPandas(_forms, "id long, field string, form binary, stored binary").dropDuplicates(), "forms")
-    varied = forms.groupBy("field", "form").agg(F.min("stored").alias("least"), F.max("stored").alias("most")).where(F.col("least") != F.col("most")).select("field", "form")
-    members = forms.join(varied, ["field", "form"], "left_semi")
-    a = members.select("field", "form", F.col("id").alias("id_a"), F.col("stored").alias("stored_a"))
-    b = members.select("field", "form", F.col("id").alias("id_b"), F.col("stored").alias("stored_b"))
-    pairs = a.join(b, ["field", "form"]).where((F.col("id_a") < F.col("id_b")) & (F.col("stored_a") != F.col("stored_b")))
-    return pairs.select("id_a", "id_b", "field").distinct()
+    varied = forms.groupBy("field", "form").agg(F.min("stored").alias("least"), F.max("stored").alias("most"), F.count("*").alias("n_rows")).where(F.col("least") != F.col("most"))
+    return materialise(forms.join(varied.select("field", "form", "n_rows"), ["field", "form"]), "look-alikes")
+
+
+def _representatives(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """By form: its first stored value and that value's least id, and the least id of any other value."""
+    variants = members.groupBy("field", "form", "stored").agg(F.min("id").alias("least"))
+    first = variants.groupBy("field", "form").agg(F.min(F.struct("least", "stored")).alias("first"))
+    others = variants.join(first, ["field", "form"]).where(F.col("stored") != F.col("first.stored"))
+    return first, others.groupBy("field", "form").agg(F.min("least").alias("second"))
+
+
+def look_alike_classes(df: DataFrame, id_column: str, fields: list[str]) -> DataFrame:
+    """(id, field, class_id, variant_id): for each row with look-alikes its class, and the class's stored value that it has.
+
+    class_id is the least id of all rows of the form, variant_id the least id of those stored alike: two
+    rows look alike if their class is the same, and differ as stored if their variant isn't. One row for
+    each row and field, so the result is linear however large a class is. Null and empty values and rows
+    without an id have none; repeated rows count once. An empty table gives none.
+    """
+    members = look_alikes(df, id_column, fields).where(F.col("id").isNotNull())
+    variants = members.groupBy("field", "form", "stored").agg(F.min("id").alias("variant_id"))
+    classes = variants.groupBy("field", "form").agg(F.min("variant_id").alias("class_id"))
+    return members.join(variants, ["field", "form", "stored"]).join(classes, ["field", "form"]).select("id", "field", "class_id", "variant_id")
+
+
+def look_alike_pairs(df: DataFrame, id_column: str, fields: list[str]) -> DataFrame:
+    """(id_a, id_b, field): two rows whose values in ``field`` differ as stored and have one form.
+
+    A form with more than ALL_PAIRS rows, i.e. a group of mostly exact copies, isn't expanded into all
+    pairs: each of its rows is linked to the representative of another stored value, so the links are
+    linear and connect the whole class; ``look_alike_classes`` has every pair of it in its variants.
+    Null and empty values, and values equal as stored, give no pair; ids are compared as numbers;
+    repeated rows of one id give a pair once. An empty table gives none.
+    """
+    members = look_alikes(df, id_column, fields).where(F.col("id").isNotNull())
+    few = members.where(F.col("n_rows") <= ALL_PAIRS)
+    a = few.select("field", "form", F.col("id").alias("id_a"), F.col("stored").alias("stored_a"))
+    b = few.select("field", "form", F.col("id").alias("id_b"), F.col("stored").alias("stored_b"))
+    pairs = a.join(b, ["field", "form"]).where((F.col("id_a") < F.col("id_b")) & (F.col("stored_a") != F.col("stored_b"))).select("id_a", "id_b", "field")
+    many = members.where(F.col("n_rows") > ALL_PAIRS)
+    first, second = _representatives(many)
+    other = F.when(F.col("stored") == F.col("first.stored"), F.col("second")).otherwise(F.col("first.least"))
+    links = many.join(first.join(second, ["field", "form"]), ["field", "form"]).select("id", other.alias("other"), "field").where(F.col("id") != F.col("other"))
+    return pairs.unionByName(links.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b"), "field")).distinct()
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alike_pairs(read_table(spark, sf_dir, "article", "article_id", "title", "markdown"), "article_id", ["title", "markdown"])
 
 
-QUERIES = {"p5_found": p5_found, "p5_normalise": p5_normalise}
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every article and field with look-alikes, its class and the variant that it is stored as."""
+    classes = look_alike_classes(read_table(spark, sf_dir, "article", "article_id", "title", "markdown"), "article_id", ["title", "markdown"])
+    return classes.withColumnRenamed("id", "article_id")
+
+
+QUERIES = {"p5_found": p5_found, "p5_classes": p5_classes, "p5_normalise": p5_normalise}
 ORACLE: dict[str, str] = {}

@@ -54,6 +54,24 @@ def test_pairs(spark):
     assert look_alike_pairs(df.limit(0), "article_id", ["title"]).count() == 0
 
 
+def test_classes(spark, monkeypatch):
+    """Of a large form the output is linear, and every row is linked to a look-alike stored otherwise."""
+    rows = [(i, ("Warm day", "Ｗａｒｍ day", "Wаrm day")[min(i % 7, 2)]) for i in range(700)] + [(1000, "Other"), (1001, "Оther"), (1002, "alone"), (None, "Ｗarm day")]
+    df = spark.createDataFrame(rows, "article_id long, title string")
+    texts = dict(rows)
+    classes = {r["id"]: r for r in lookalikes.look_alike_classes(df, "article_id", ["title"]).collect()}
+    assert len(classes) == 702
+    assert {r["class_id"] for r in classes.values()} == {0, 1000}
+    assert all(texts[r["variant_id"]] == texts[i] for i, r in classes.items())
+    full = {(r["id_a"], r["id_b"]) for r in look_alike_pairs(df, "article_id", ["title"]).collect()}
+    assert full == {(a, b) for a in classes for b in classes if a < b and classes[a]["class_id"] == classes[b]["class_id"] and texts[a] != texts[b]}
+    monkeypatch.setattr(lookalikes, "ALL_PAIRS", 10)
+    links = {(r["id_a"], r["id_b"]) for r in look_alike_pairs(df, "article_id", ["title"]).collect()}
+    assert links <= full
+    assert len(links) <= 701
+    assert {i for pair in links for i in pair} == set(classes)
+
+
 def test_brute_force(spark, data):
     import duckdb
 
