@@ -5,6 +5,10 @@ n-grams of 4 letters, those unknown to n-grams of 3, 2 and 1. Runs of letters in
 spaces are unseen words from the start, with pairs of letters as the longest n-gram. The model is fitted
 here, on a bounded number of documents with recorded labels; as some labels are wrong, the fitted
 model labels the sample itself once and is fitted again.
+
+A text in none of the model's languages is "other": one of which significantly fewer words are known
+in its best language than LEAST_KNOWN of them. The test asks for more than a few words, so a short
+piece keeps its best language.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.lookalikes import transducer
 from millrace.llm.residue import FILLER_WORDS, PLACEHOLDER
+from millrace.llm.sampling import least_hashes, sample_files
 from millrace.plans.parallel import spread
 from millrace.sources import read_table
 
@@ -31,6 +36,11 @@ MAX_WORDS, MAX_GRAMS = 60_000, 120_000
 
 #: Least confidence of a foreign piece.
 SURE = 0.85
+#: Share of words (letters, where there are no spaces) that are known of a text in one of the languages, whatever it is about.
+LEAST_KNOWN = 0.4
+#: Standard deviations below that share from which a text is in another language.
+SIGNIFICANT = 2.0
+OTHER = "other"
 
 # Names of the languages that labels use.
 LABELS = {
@@ -52,7 +62,7 @@ _SPLIT = re.compile(f"[{_KANA_OR_HAN}]+|[^{_KANA_OR_HAN}]+")
 _URL = re.compile(r"(?:https?://|www\.)\S+|\]\([^)\s]*\)")
 _TICKS = re.compile(r"(`+)(?!`).*?(?<!`)\1(?!`)", re.DOTALL)
 _IMAGE = re.compile(r"!\[[^\]]*\]\([^)]*\)")
-_HTML = re.compile(r"<[^<>\n]{1,200}>|&[a-zA-Z]{2,8};")
+_HTML = re.compile(r"<[^<>\n]+>|&[a-zA-Z]{2,8};")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])|\n")
 
 
@@ -119,6 +129,21 @@ class Model:
                 return tuple(weight * sum(k) / len(known) for k in zip(*known, strict=True))
         return (0.0,) * len(LANGUAGES)
 
+    def known(self, words: Iterable[str], lang: str | None) -> tuple[float, int]:
+        """(known, all) words of a text for a language; of runs without spaces the letters count, by two."""
+        k = LANGUAGES.index(lang) if lang in LANGUAGES else -1
+        known, n = 0.0, 0
+        for w in words:
+            if w[0] > "぀":
+                n += (len(w) + 1) // 2
+                if k >= 0:
+                    known += sum((s := self.grams.get(c)) is not None and s[k] > 0 for c in w) / 2
+            else:
+                n += 1
+                if k >= 0 and (s := self.words.get(w)) is not None:
+                    known += 1.0 if s[k] > 0 else 0.5 if s[k] > -1 else 0.0
+        return known, n
+
     def scores(self, words: Iterable[str]) -> list[float]:
         total = [0.0] * len(LANGUAGES)
         for w, n in Counter(words).items():
@@ -142,6 +167,11 @@ def detect(words: list[str], model: Model) -> tuple[str | None, float]:
     return LANGUAGES[best], 1 / sum(math.exp(max(-50.0, (x - total[best]) / temper)) for x in total)
 
 
+def is_other(known: float, n: int) -> bool:
+    """Whether ``known`` of ``n`` words are too few for a text in one of the model's languages."""
+    return known < n * LEAST_KNOWN - SIGNIFICANT * math.sqrt(n * LEAST_KNOWN * (1 - LEAST_KNOWN))
+
+
 def _table(counts: dict[str, Counter], totals: list[float], bound: int, least: int) -> dict[str, tuple[float, ...]]:
     """Log frequency by language, less the mean over languages: what an item says for each.
 
@@ -245,11 +275,16 @@ def analyse(markdown: str, model: Model) -> Found:
     """The language of most prose pieces, by letters where two have as many, and the pieces wholly in another."""
     judged = []
     votes, letters, evidence = Counter(), Counter(), Counter()
+    all_known, all_words = 0.0, 0
     for number, text in pieces(markdown):
         words = words_of(text)
         if not words or _is_filler(words):
             continue
         lang, confidence = detect(words, model)
+        known, n = model.known(words, lang)
+        all_known, all_words = all_known + known, all_words + n
+        if is_other(known, n):
+            lang, confidence = OTHER, 1 - known / n
         if lang is None:
             continue
         judged.append((number, text, lang, confidence))
@@ -257,12 +292,14 @@ def analyse(markdown: str, model: Model) -> Found:
         size = sum(map(len, words))
         letters[lang] += size
         evidence[lang] += confidence * size
+    if is_other(all_known, all_words):  # many short pieces together
+        return Found(OTHER, 1 - all_known / all_words, [])
     if not votes:
         return Found(None, 0.0, [])
     main = max(votes, key=lambda x: (votes[x], letters[x], x))
     foreign = []
     for number, text, lang, confidence in judged:
-        if lang == main or confidence < SURE:
+        if lang == main or lang == OTHER or confidence < SURE:
             continue
         # Wholly: no sentence of the piece is clearly in the main language.
         parts = [words_of(s) for s in _SENTENCE.split(text)]
@@ -273,13 +310,13 @@ def analyse(markdown: str, model: Model) -> Found:
 
 
 def train(articles: DataFrame, labels: DataFrame, bound: int = LABELLED_DOCUMENTS) -> Model:
-    """Fit on at most ``bound`` of ``articles`` (article_id, markdown) with their labels (article_id, language)."""
-    sample = articles.where(F.col("markdown").isNotNull()).limit(bound).toPandas()
-    ids = articles.sparkSession.createDataFrame([(int(i),) for i in sample["article_id"].dropna()], "article_id long")
+    """Fit on at most ``bound`` of ``articles`` (article_id, markdown), those of least hash, with their labels (article_id, language)."""
+    sample = least_hashes(articles.where(F.col("markdown").isNotNull()), F.col("article_id"), bound)
+    ids = articles.sparkSession.createDataFrame([(r["article_id"],) for r in sample if r["article_id"] is not None], "article_id long")
     known = {r["article_id"]: label_language(r["language"]) for r in labels.join(F.broadcast(ids), "article_id", "left_semi").select("article_id", "language").collect()}  # at most ``bound`` rows
     data = []
-    for i, text in zip(sample["article_id"], sample["markdown"], strict=True):
-        lang = known.get(i)
+    for row in sample:
+        lang, text = known.get(row["article_id"]), row["markdown"]
         if lang in LANGUAGES:
             words = [w for _, piece in pieces(text) for w in words_of(piece)]
             if words and not _is_filler(words):
@@ -293,7 +330,7 @@ SCHEMA = "article_id long, piece_no int, lang string, confidence double"
 def detected(articles: DataFrame, model: Model) -> DataFrame:
     """(article_id, piece_no, lang, confidence): piece_no -1 is the document, others are its foreign pieces.
 
-    ``articles`` has article_id and markdown. Null and empty texts and texts without prose have no
+    A document in none of the model's languages has the language "other". ``articles`` has article_id and markdown. Null and empty texts and texts without prose have no
     rows. Repeated rows give repeated results. An empty table gives none.
     """
 
@@ -315,17 +352,17 @@ def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language and confidence of every article and foreign piece."""
     articles = read_table(spark, sf_dir, "article", "article_id", "markdown")
     labels = read_table(spark, sf_dir, "language_detection", "article_id", "language")
-    return detected(articles, train(articles, labels))
+    return detected(articles, train(sample_files(spark, sf_dir, "article", "article_id", "markdown"), labels))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Missing or wrong labels (piece_no -1) and foreign pieces of the articles with a label row.
 
-    Only the results are joined with the labels, never the texts.
+    A document in a language beyond the model's is no case. Only the results are joined with the labels, never the texts.
     """
     labels = read_table(spark, sf_dir, "language_detection", "article_id", "language").select("article_id", label_column(F.col("language")).alias("label"))
     rows = p2_languages(spark, sf_dir).join(labels, "article_id")
-    return rows.where((F.col("piece_no") >= 0) | F.col("label").isNull() | (F.col("label") != F.col("lang"))).select("article_id", "piece_no", "lang").distinct()
+    return rows.where(F.col("lang") != OTHER).where((F.col("piece_no") >= 0) | F.col("label").isNull() | (F.col("label") != F.col("lang"))).select("article_id", "piece_no", "lang").distinct()
 
 
 QUERIES = {"p2_found": p2_found, "p2_languages": p2_languages}

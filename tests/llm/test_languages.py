@@ -1,7 +1,7 @@
 import pytest
 
 from millrace.llm import languages
-from millrace.llm.languages import analyse, detect, detected, fit, label_column, label_language, pieces, words_of
+from millrace.llm.languages import analyse, detect, detected, fit, is_other, label_column, label_language, pieces, words_of
 
 TEXTS = {
     "en": "The cache is warm and the parser keeps the rows. We measured the time it took to read a page and what it cost.",
@@ -62,6 +62,39 @@ def test_look_alike_letters_do_not_mislead(model):
     assert analyse("Thе cаchе is wаrm аnd thе раrsеr kеерs thе rоws.", model).language == "en"
 
 
+FOREIGN = {
+    "it": "La luna saliva piano sopra i tetti mentre il vecchio fornaio apriva la bottega. Ogni mattina metteva il pane ancora caldo nelle ceste e aspettava che i ragazzi scendessero verso la piazza.",
+    "pt": "Ontem à noite choveu muito e ninguém quis sair de casa. O meu avô ficou perto da janela, a ouvir as gotas, e contou-nos como era a aldeia quando ainda não havia luz.",
+    "nl": "Gisteren hebben wij met onze buren een lange wandeling door het bos gemaakt. Er lag veel sneeuw, maar de kinderen vonden dat juist leuk en wilden nog niet naar huis.",
+    "ru": "Вчера вечером пошёл сильный дождь, и никто не хотел выходить из дома. Дедушка сидел у окна и рассказывал нам, какой была деревня, когда ещё не было света.",
+    "ko": "어제 저녁에는 비가 많이 와서 아무도 밖에 나가려고 하지 않았다. 할아버지는 창가에 앉아 전기가 없던 시절의 마을 이야기를 들려주셨다.",
+}
+
+
+@pytest.mark.parametrize("lang", FOREIGN)
+def test_other_languages(spark, data, trained, lang):
+    found = analyse(FOREIGN[lang] + "\n\n" + FOREIGN[lang], trained)
+    assert (found.language, found.foreign) == ("other", [])
+
+
+def test_a_label_of_another_language_is_right_there(spark, data, trained):
+    """Neither p2_found's label rows nor its pieces flag a text beyond the model's languages."""
+    rows = [(i, t) for i, t in enumerate(FOREIGN.values())]
+    assert [r["lang"] for r in detected(spark.createDataFrame(rows, "article_id long, markdown string"), trained).collect()] == ["other"] * len(rows)
+
+
+def test_short_pieces_keep_their_language(trained):
+    assert analyse("Votre session a expiré.", trained).language == "fr"
+    assert not is_other(0, 4)
+    assert is_other(0, 12)
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    small = "/root/testdata/sf0.01"
+    return languages.train(*(languages.read_table(spark, small, *t) for t in (("article", "article_id", "markdown"), ("language_detection", "article_id", "language"))))
+
+
 def test_rows(spark, model):
     rows = [(1, TEXTS["fr"], "x"), (1, TEXTS["fr"], "x"), (2, None, None), (3, "", "y"), (4, TEXTS["en"] * 3000, None), (None, TEXTS["ja"], "z")]
     df = spark.createDataFrame(rows, "article_id long, markdown string, lang string")
