@@ -1,12 +1,18 @@
 """Keyword-stuffed pages and lists of links, by their rank-frequency curves.
 
-One pass over the texts gives each page its word spectrum, i.e. how many distinct words occur f
-times, for every f: all that a rank-frequency curve holds, in a few numbers. SQL windows turn the
-spectrum into ranks, fit log frequency against log rank, and measure the fit's residual and how far
-the curve diverges from the usual one of pages of the same language and comparable length. A page
-that is extreme in slope, residual or divergence, or too short for a curve, is a candidate; an exact
-count of the share of its text in keyword phrases, links and tags then decides. The share is counted
-in the first pass too, as reading the candidates' texts again would shuffle or re-scan them.
+A page has two curves: of its words and of its pairs of consecutive words. Prose hardly ever repeats a
+pair, keywords and links do, so the pairs tell more. One pass over the texts gives each page the spectra
+of both, i.e. how many distinct words or pairs occur f times, for every f: all that a rank-frequency
+curve holds, in a few numbers. SQL windows turn a spectrum into ranks, fit log frequency against log
+rank, and measure the fit's residual and how far the curve's mass, by octaves of frequency, diverges from
+the usual one of pages of the same language and comparable length. What is usual are medians of all
+pages of the group, which a minority of spam doesn't move.
+
+A page whose curve of pairs is extreme in slope, residual or divergence, or whose curve of words is in
+slope (too steep or too flat), is flagged, whatever its length.
+An exact check follows: the share of its text in keyword phrases, links and tags, which tells spam from
+honest lists with as regular a curve. The share is counted in the first pass too, as reading the flagged
+texts again would shuffle or re-scan them.
 """
 
 from __future__ import annotations
@@ -143,16 +149,19 @@ def _ended(sentence: str) -> bool:
     return sentence.rstrip("\"'”’」』)] ")[-1:] in (".", "!", "?", "。", "！", "？", "…")
 
 
-SPECTRUM = "doc_id long, version long, lang string, n_units int, share double, spectrum array<struct<f:int,n:int>>"
-#: Pages with fewer words are candidates whatever their curve.
-SHORT = 128
-#: Pages with no more than this share of keywords and links are prose, against which curves are held.
-PROSE = 0.2
-#: A language and length with fewer pages of prose has no usual curve: all its pages are candidates.
-LEAST_PROSE = 20
-#: A slope, residual or divergence is extreme beyond the median of prose plus so many times the distance
-#: from the median to the quartile. Low on purpose: the curve proposes, the exact share decides.
-EXTREME = 1.25
+SPECTRUM = "doc_id long, version long, lang string, n_units int, share double, spectrum array<struct<c:int,f:int,n:int>>"
+#: The curves of a page.
+CURVES = ("words", "pairs")
+#: Octaves of frequency; the last one has no end.
+OCTAVES = 8
+#: Lengths are comparable within a power of two; all pages shorter than twice 2 ** LEAST_LENGTH words are.
+LEAST_LENGTH = 6
+#: A language and length with fewer pages is held against all pages of the length, or else all pages.
+LEAST_PAGES = 20
+#: A slope, residual or divergence is extreme beyond the median plus so many times the distance from the
+#: median to the quartile. A page that is spam for little more than half has nearly the curve of prose, so
+#: the curve flags early, and the exact check takes back what is honest.
+EXTREME = 2.5
 
 
 def language_group(lang: str | None, text: str) -> str:
@@ -165,6 +174,13 @@ def language_group(lang: str | None, text: str) -> str:
     return "zh" if re.search("[一-鿿]", text) else "latin"
 
 
+def _spectrum(units: list[str]) -> list[dict[str, int]]:
+    """How many distinct words (c 0) and pairs (c 1) occur f times."""
+    words = Counter(Counter(units).values())
+    pairs = Counter(Counter(zip(units, units[1:], strict=False)).values())
+    return [{"c": c, "f": f, "n": n} for c, spectrum in enumerate((words, pairs)) for f, n in spectrum.items()]
+
+
 def _spectra(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         langs, sizes, shares, spectra = [], [], [], []
@@ -175,59 +191,74 @@ def _spectra(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             langs.append(language_group(lang if isinstance(lang, str) else None, text))
             sizes.append(len(units))
             shares.append(spam_share(text))
-            spectra.append([{"f": f, "n": n} for f, n in Counter(Counter(units).values()).items()])
+            spectra.append(_spectrum(units))
         yield pd.DataFrame({"doc_id": pdf["doc_id"], "version": pdf["version"], "lang": langs, "n_units": sizes, "share": shares, "spectrum": spectra})
 
 
 def curves(df: DataFrame, id_column: str, text: str, lang: str) -> DataFrame:
-    """One row per page: its curve's slope, residual and divergence, whether it is a candidate, and the exact share.
+    """One row per page: slope, residual and divergence of its curves, whether it is flagged, and the exact share.
 
-    Columns doc_id, lang, n_units, slope, residual, divergence, candidate, share. Null and blank
-    texts have no curve, aren't candidates and have share 0. Rows equal in id and text count once;
+    Columns doc_id, lang, n_units, slope, residual, divergence, pair_slope, pair_residual, pair_divergence,
+    flagged, share. Null and blank texts have no curve and no row. Rows equal in id and text count once;
     one id with several texts has a row for each. Other columns don't matter. An empty table gives none.
     """
     narrow = df.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("version"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     pages = spread(narrow).mapInPandas(_spectra, SPECTRUM).dropDuplicates(["doc_id", "version"])
-    page = Window.partitionBy("doc_id", "version")
-    length = F.floor(F.log2(F.col("n_units").cast("double"))).cast("int")
-    points = pages.where(F.col("n_units") > 0).select("doc_id", "version", "lang", "n_units", "share", length.alias("length"), F.explode("spectrum").alias("s"))
-    ranked = points.select("*", F.col("s.f").alias("f"), F.col("s.n").alias("n"), F.sum("s.n").over(page.orderBy(F.desc("s.f")).rowsBetween(Window.unboundedPreceding, 0)).alias("last"))
+    page = ["doc_id", "version", "lang", "length", "n_units", "share"]
+    length = F.greatest(F.lit(LEAST_LENGTH), F.floor(F.log2(F.col("n_units").cast("double"))).cast("int")).alias("length")
+    points = pages.where(F.col("n_units") > 0).select("doc_id", "version", "lang", length, "n_units", "share", F.explode("spectrum").alias("s")).select(*page, "s.*")
+    above = Window.partitionBy("doc_id", "version", "c").orderBy(F.desc("f")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = points.withColumn("last", F.sum("n").over(above))
     first = F.col("last") - F.col("n") + 1
     x = (F.log(first.cast("double")) + F.log(F.col("last").cast("double"))) / 2
     # Words of one frequency share a stretch of ranks; it weighs as much as it is long on the log axis.
     weight = F.log((F.col("last") + 0.5) / (first - 0.5))
-    sums = ranked.select("*", first.alias("first"), x.alias("x"), F.log(F.col("f").cast("double")).alias("y"), weight.alias("w"))
-    # Share of the page's words in each octave of ranks; the last one has no end.
-    end = lambda b: F.when(b < 12, F.pow(F.lit(2), b + 1).cast("long") - 1).otherwise(F.col("last"))
-    octaves = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda b: F.greatest(F.lit(0), F.least(F.col("last"), end(b)) - F.greatest(F.col("first"), F.pow(F.lit(2), b).cast("long")) + 1) * F.col("f"))
-    s = sums.withColumn("octaves", octaves)
-    totals = s.groupBy("doc_id", "version", "lang", "length", "n_units", "share").agg(
-        *(F.sum(e).alias(name) for name, e in (("sw", F.col("w")), ("sx", F.col("w") * F.col("x")), ("sy", F.col("w") * F.col("y")), ("sxx", F.col("w") * F.col("x") ** 2), ("sxy", F.col("w") * F.col("x") * F.col("y")), ("syy", F.col("w") * F.col("y") ** 2))),
-        *(F.sum(F.col("octaves")[b]).alias(f"o{b}") for b in range(13)),
-    )
+    octave = F.least(F.lit(OCTAVES - 1), F.floor(F.log2(F.col("f").cast("double"))))
+    s = ranked.select(*page, "c", x.alias("x"), F.log(F.col("f").cast("double")).alias("y"), weight.alias("w"), (F.col("f") * F.col("n")).alias("mass"), octave.alias("octave"))
+    wx, wy = F.col("w") * F.col("x"), F.col("w") * F.col("y")
+    sums = {"sw": F.col("w"), "sx": wx, "sy": wy, "sxx": wx * F.col("x"), "sxy": wx * F.col("y"), "syy": wy * F.col("y"), "total": F.col("mass")}
+    sums |= {f"o{b}": F.when(F.col("octave") == b, F.col("mass")).otherwise(0) for b in range(OCTAVES)}
+    totals = s.groupBy(*page, "c").agg(*(F.sum(e).alias(name) for name, e in sums.items()))
     vx = F.col("sxx") - F.col("sx") ** 2 / F.col("sw")
     vy = F.col("syy") - F.col("sy") ** 2 / F.col("sw")
     vxy = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("sw")
     slope = F.when(vx > 1e-9, vxy / vx).otherwise(0.0)
-    # Written once: the groups' medians and quartiles and the result all read it.
-    fitted = totals.select("doc_id", "version", "lang", "length", "n_units", "share", slope.alias("slope"), F.sqrt(F.greatest(F.lit(0.0), vy - slope * vxy) / F.col("sw")).alias("residual"), F.array(*(F.col(f"o{b}") / F.col("n_units") for b in range(13))).alias("curve"))
-    fitted = materialise(fitted, "curves")
-    # The usual curve of a language and length: medians by group, of a few groups whatever the corpus.
-    group = ["lang", "length"]
-    prose = F.col("share") <= PROSE
-    usual = fitted.where(prose).groupBy(*group).agg(F.count("*").alias("n_prose"), F.array(*(F.percentile_approx(F.col("curve")[b], 0.5, 1000) for b in range(13))).alias("usual"))
-    divergence = F.aggregate(F.sequence(F.lit(0), F.lit(12)), F.lit(0.0), lambda total, b: total + F.when(F.col("curve")[b] > 0, F.col("curve")[b] * F.log(F.col("curve")[b] / F.greatest(F.col("usual")[b], F.lit(1e-3)))).otherwise(0.0))
-    measured = fitted.join(usual, group, "left").withColumn("divergence", divergence)
-    quartiles = measured.where(prose).groupBy(*group).agg(*(F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(f"{c}_q") for c in ("slope", "residual", "divergence")))
-
-    def beyond(c: str, sides: int) -> Column:
-        q = F.col(f"{c}_q")
-        high = F.col(c) > q[1] + EXTREME * (q[2] - q[1])
-        return high | (F.col(c) < q[1] - EXTREME * (q[1] - q[0])) if sides == 2 else high
-
-    few = F.coalesce(F.col("n_prose"), F.lit(0)) < LEAST_PROSE
-    candidate = (F.col("n_units") < SHORT) | few | beyond("slope", 2) | beyond("residual", 1) | beyond("divergence", 1)
-    return measured.join(quartiles, group, "left").select("doc_id", "lang", "n_units", "slope", "residual", "divergence", candidate.alias("candidate"), "share")
+    one = totals.select(*page, "c", slope.alias("slope"), F.sqrt(F.greatest(F.lit(0.0), vy - slope * vxy) / F.col("sw")).alias("residual"), F.array(*((F.col(f"o{b}") / F.col("total")).cast("float") for b in range(OCTAVES))).alias("curve"))
+    of = lambda c: F.max(F.when(F.col("c") == c, F.struct("slope", "residual", "curve")))  # noqa: E731 - one row for each page and curve
+    # Written once: the groups' medians and quartiles and the result all read it. Same partitioning as the sums.
+    fitted = materialise(one.groupBy(*page).agg(*(of(c).alias(name) for c, name in enumerate(CURVES))), "curves")
+
+    def by_group(measured: DataFrame, *aggregates: Column) -> DataFrame:
+        """The aggregates by language and length; where a group is small, those of its length, else of all pages. Few rows whatever the corpus."""
+        levels = (["lang", "length"], ["length"], ["all"])
+        own, by_length, everywhere = (measured.withColumn("all", F.lit(0)).groupBy(*keys).agg(F.count("*").alias(f"n{i}"), F.struct(*(a.alias(f"a{k}") for k, a in enumerate(aggregates))).alias(f"g{i}")) for i, keys in enumerate(levels))
+        joined = own.withColumn("all", F.lit(0)).join(by_length, "length").join(everywhere, "all")
+        usual = F.when(F.col("n0") >= LEAST_PAGES, F.col("g0")).when(F.col("n1") >= LEAST_PAGES, F.col("g1")).otherwise(F.col("g2"))
+        return joined.select("lang", "length", usual.alias("usual")).select("lang", "length", "usual.*")
+
+    medians = by_group(fitted, *(F.array(*(F.percentile_approx(F.col(f"{name}.curve")[b], 0.5, 1000) for b in range(OCTAVES))) for name in CURVES))
+
+    def divergence(name: str, usual: str) -> Column:
+        """Kullback-Leibler, with at least a hundredth of the usual mass in each octave."""
+        q = lambda b: F.greatest(F.coalesce(F.col(usual)[b], F.lit(0.0)), F.lit(1e-2))
+        total = sum((q(b) for b in range(1, OCTAVES)), q(0))
+        p = lambda b: F.col(f"{name}.curve")[b].cast("double")
+        return sum((F.when(p(b) > 0, p(b) * F.log(p(b) * total / q(b))).otherwise(0.0) for b in range(1, OCTAVES)), F.when(p(0) > 0, p(0) * F.log(p(0) * total / q(0))).otherwise(0.0))
+
+    measured = fitted.join(medians, ["lang", "length"]).select(
+        "doc_id", "lang", "length", "n_units", "share",
+        *(F.col(f"{name}.{m}").alias(f"{prefix}{m}") for name, prefix in zip(CURVES, ("", "pair_"), strict=True) for m in ("slope", "residual")),
+        divergence("words", "a0").alias("divergence"), F.coalesce(divergence("pairs", "a1"), F.lit(0.0)).alias("pair_divergence"),
+    )
+    quartiles = by_group(measured, *(F.percentile_approx(c, [0.25, 0.5, 0.75], 1000) for c in ("pair_slope", "pair_residual", "pair_divergence", "slope")))
+
+    def beyond(c: str, q: str, sign: int) -> Column:
+        middle, quarter = F.col(q)[1], F.col(q)[1 + sign]
+        return (F.col(c) - middle) * sign > EXTREME * F.greatest((quarter - middle) * sign, F.lit(1e-2))
+
+    flagged = beyond("pair_slope", "a0", -1) | beyond("pair_residual", "a1", 1) | beyond("pair_divergence", "a2", 1) | beyond("slope", "a3", -1) | beyond("slope", "a3", 1)
+    out = measured.join(quartiles, ["lang", "length"])
+    return out.select("doc_id", "lang", "n_units", "slope", "residual", "divergence", "pair_slope", "pair_residual", "pair_divergence", F.coalesce(flagged, F.lit(False)).alias("flagged"), "share")
 
 
 def p10_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,8 +266,8 @@ def p10_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates by the curve whose text is keywords, links and tags for more than half."""
-    return p10_curves(spark, sf_dir).where(F.col("candidate") & (F.col("share") > SHARE)).select("doc_id").distinct()
+    """Pages flagged by their curve whose text is keywords, links and tags for more than half."""
+    return p10_curves(spark, sf_dir).where(F.col("flagged") & (F.col("share") > SHARE)).select("doc_id").distinct()
 
 
 QUERIES = {"p10_found": p10_found, "p10_curves": p10_curves}

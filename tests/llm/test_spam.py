@@ -63,7 +63,7 @@ def test_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, share double").repartition(3)
     out = curves(df, "doc_id", "text", "lang").toPandas()
     assert len(out) == 63  # 60 pages, the repeated one once, the long one, the one without an id
-    flagged = out[out["candidate"] & (out["share"] > 0.5)]
+    flagged = out[out["flagged"] & (out["share"] > 0.5)]
     assert set(flagged["doc_id"].fillna(-1)) == {100, -1}
     assert curves(df.limit(0), "doc_id", "text", "lang").count() == 0
 
@@ -81,18 +81,28 @@ def test_slope_is_the_regression(spark):
     assert row["slope"] == pytest.approx(slope, rel=1e-6)
 
 
-def test_curve_has_every_word(spark):
-    """Words of ranks above 8191 count in the last octave of the curve."""
+def test_divergence_has_every_word(spark):
+    """The mass by octaves of frequency holds words of any rank, and is compared with the median page's."""
     import numpy as np
 
-    def text(n):
+    def text(n, again):
         words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(n)]
-        return "\n".join(" ".join(words[a : a + 10]) + "." for a in range(0, n, 10))
+        return "\n".join(" ".join(words[a : a + 10]) + "." for a in range(0, n, 10)) + (" zzzz" * again)
 
-    rows = [(1, text(9000), "en"), (2, text(9000), "en"), (3, text(12000), "en")]
+    rows = [(1, text(9000, 0), "en"), (2, text(9000, 0), "en"), (3, text(12000, 4000), "en")]
     out = curves(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang").toPandas().set_index("doc_id")
-    share = lambda n: np.array([2.0**b for b in range(12)] + [n - 4095]) / n
-    assert out["divergence"][3] == pytest.approx(float((share(12000) * np.log(share(12000) / np.maximum(share(9000), 1e-3))).sum()), rel=1e-6)
+    usual = np.array([1.0] + [0.01] * 7) / 1.07
+    p = np.array([12000 / 16000, 4000 / 16000])
+    assert out["divergence"][3] == pytest.approx(float((p * np.log(p / usual[[0, 7]])).sum()), rel=1e-5)
+    assert out["divergence"][1] == pytest.approx(np.log(1.07), rel=1e-5)
+
+
+def test_the_curve_flags_by_itself(spark, data):
+    """Most spam is flagged, and most other pages aren't, by the curve alone and at any length."""
+    out = p10_curves(spark, "/root/testdata/sf0.01").toPandas()
+    spam = out["share"] > 0.5
+    assert out["flagged"][spam].mean() >= 0.95
+    assert out["flagged"][~spam].mean() <= 0.3
 
 
 def test_queries(spark, data):
