@@ -1,33 +1,34 @@
 """The main body of a web page: a maximum-scoring run of words and tags.
 
-Every word of a block carries a score and every tag that opens or closes a part of the page a
-penalty; one linear scan finds the run of blocks with the greatest sum. The scores are fitted on
-labelled pages: pages whose own markup names the article (FIXED selectors below) label their
-blocks, and a logistic regression over the block's words, element, links, length and the words that
+Every word carries a score, every tag that opens a block a fixed one, and every tag that opens or closes
+a part of the page a penalty; one linear scan finds the contiguous run with the greatest sum. The scores
+are fitted on labelled pages: pages whose own markup names the article (FIXED selectors below) label
+their blocks, and a logistic regression over the block's words, element, links, length and the words that
 open its part of the page learns to tell them apart. The markup's names are used as labels only,
-never as features, so the model works on pages without them. The penalty of a tag and the threshold
-of a block are chosen on the same labelled pages.
+never as features, so the model works on pages without them. The score of a block's tag, the penalty of a
+part's and the threshold of a block are chosen on the same labelled pages.
 
-The run settles which part of the page is the article. Its blocks are those of that part, without
-the ones that score below the threshold (bylines, share lines) and inner parts that open with such a
-block (newsletters, teasers). A part that is an error, barrier or script notice is no article.
+The run is the article: nothing outside it comes out. Within it, blocks whose words score below the
+threshold (bylines, share lines, newsletters) are left out. A run that is an error, barrier or script
+notice is no article.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import product
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.pages import HEADINGS, Block, Node, blocks, signs
+from millrace.llm.pages import Block, Node, blocks, signs
 from millrace.llm.residue import is_notice
+from millrace.llm.sampling import least_hashes, sample_files
 from millrace.plans.parallel import spread
 from millrace.sources import read_table
 
@@ -153,11 +154,12 @@ def labels(p: Page) -> list[bool] | None:
 
 @dataclass
 class Model:
-    """Weights by feature, the penalty of a part's tag, and the least score of a block of the article."""
+    """Weights by feature, the scores of the tags of a block and of a part, and the least score of a block of the article."""
 
     weights: dict[str, float] = field(default_factory=dict)
-    penalty: float = 30.0
-    threshold: float = 0.0
+    block_tag: float = 4.0
+    part_tag: float = -2.0
+    threshold: float = -1.0
 
     def __post_init__(self):
         # Words by themselves, so that no feature name is built for the many words of a page.
@@ -181,11 +183,10 @@ class Model:
         return out
 
 
-def best_run(scores: list[float], words: list[int], gaps: list[float]) -> tuple[int, int] | None:
-    """Greatest-sum run of blocks: words times score within a block, ``gaps[i]`` before block i. None where no block is positive."""
+def best_run(values: list[float], gaps: list[float]) -> tuple[int, int] | None:
+    """Greatest-sum run: ``values[i]`` of block i, ``gaps[i]`` of the tags before it. None where no block is positive."""
     best, run, start, found = 0.0, 0.0, 0, None
-    for i, (s, n) in enumerate(zip(scores, words, strict=True)):
-        value = max(-3.0, min(3.0, s)) * n
+    for i, value in enumerate(values):
         if run > 0:
             run += gaps[i]
         if run <= 0:
@@ -205,60 +206,30 @@ def _chain(node: Node | None) -> list[Node]:
     return out
 
 
-def gaps(p: Page, penalty: float) -> list[float]:
-    """Before each block the penalties of the tags that open or close a part between it and the block before."""
-    out, before = [], None
+def part_tags(p: Page) -> list[int]:
+    """Before each block, how many tags open or close a part between it and the block before."""
+    out, before, last = [], [], None
     for b in p.blocks:
-        here = _chain(b.container)
-        if before is None:
-            out.append(0.0)
-        else:
-            shared = len({id(x) for x in before} & {id(x) for x in here})
-            out.append(-penalty * (len(before) + len(here) - 2 * shared))
+        if b.container is last:
+            out.append(0)
+            continue
+        here, last = _chain(b.container), b.container
+        shared = len({id(x) for x in before} & {id(x) for x in here})
+        out.append(len(before) + len(here) - 2 * shared)
         before = here
     return out
 
 
-def body(p: Page, model: Model, scores: list[float] | None = None) -> list[int]:
-    """Numbers of the article's blocks, by the scan and the parts of the page."""
-    if not p.blocks:
-        return []
+def article_run(scores: list[float], tags: list[int], model: Model) -> tuple[int, int] | None:
+    """The run of blocks that is the article."""
+    return best_run([s + model.block_tag for s in scores], [n * model.part_tag for n in tags])
+
+
+def body(p: Page, model: Model, scores: list[float] | None = None, tags: list[int] | None = None) -> list[int]:
+    """Numbers of the article's blocks: those of the run but for its bylines and the like."""
     scores = model.scores(p) if scores is None else scores
-    run = best_run(scores, p.words, gaps(p, model.penalty))
-    if run is None:
-        return []
-    # The part that holds most of the run.
-    weight: Counter[int] = Counter()
-    parts: dict[int, Node] = {}
-    for i in range(*run):
-        c = p.blocks[i].container
-        weight[id(c)] += max(0.0, min(3.0, scores[i])) * p.words[i] + 1e-6
-        parts[id(c)] = c
-    main = parts[max(weight, key=weight.__getitem__)]
-
-    by_part: dict[int, list[int]] = {}
-    chains: dict[int, list[Node]] = {}
-    for i, b in enumerate(p.blocks):
-        by_part.setdefault(id(b.container), []).append(i)
-        chains.setdefault(id(b.container), _chain(b.container))
-
-    def good(members: list[int]) -> bool:
-        """A part that continues an article: it opens well, and well as a whole."""
-        return scores[members[0]] > 0 and all(scores[i] > model.threshold for i in members) and sum(scores[i] for i in members) > 0
-
-    # Climb while everything else in the part above continues the article.
-    core = id(main)
-    while main.parent is not None:
-        above = main.parent.container
-        rest = [k for k, chain in chains.items() if above in chain and main not in chain]
-        if above.parent is None or not all(good(by_part[k]) for k in rest):
-            break
-        main = above
-    chosen = []
-    for k, members in by_part.items():
-        if k == core or (main in chains[k] and good(members)):
-            chosen += [i for i in members if scores[i] > model.threshold]
-    return sorted(chosen)
+    run = article_run(scores, part_tags(p) if tags is None else tags, model)
+    return [i for i in range(*run) if scores[i] > model.threshold] if run else []
 
 
 def fit(pages: list[str], seed: int = 7, rounds: int = 120) -> Model:
@@ -291,27 +262,25 @@ def fit(pages: list[str], seed: int = 7, rounds: int = 120) -> Model:
         g2 += grad * grad
         w -= 0.5 * grad / np.sqrt(g2)
     model = Model({f: round(float(w[i]), 4) for f, i in index.items()})
-    scored = [(p, yes, model.scores(p)) for p, yes, _ in data]
+    scored = [({i for i, v in enumerate(yes) if v}, p, model.scores(p), part_tags(p)) for p, yes, _ in data]
     best = -1.0
-    for penalty in (4.0, 16.0, 64.0, 256.0):
-        for threshold in (-2.0, -1.0, 0.0):
-            trial = Model(model.weights, penalty, threshold)
-            right = wrong = missed = 0
-            for p, yes, s in scored:
-                got = set(body(p, trial, s))
-                truth = {i for i, v in enumerate(yes) if v}
-                right, wrong, missed = right + len(got & truth), wrong + len(got - truth), missed + len(truth - got)
-            f1 = 2 * right / max(1, 2 * right + wrong + missed)
-            if f1 > best + 1e-9:
-                best, model.penalty, model.threshold = f1, penalty, threshold
+    for part_tag, block_tag, threshold in product((-4.0, -2.0, -1.0, -0.5), (1.0, 2.0, 3.0, 4.0, 6.0), (-2.0, -1.0, 0.0)):
+        trial = Model(model.weights, block_tag, part_tag, threshold)
+        right = wrong = missed = 0
+        for truth, p, scores, tags in scored:
+            got = set(body(p, trial, scores, tags))
+            right, wrong, missed = right + len(got & truth), wrong + len(got - truth), missed + len(truth - got)
+        f1 = 2 * right / max(1, 2 * right + wrong + missed)
+        if f1 > best + 1e-9:
+            best, model.block_tag, model.part_tag, model.threshold = f1, block_tag, part_tag, threshold
     return model
 
 
 def train(df: DataFrame, html: str, bound: int = LABELLED_PAGES) -> Model:
-    """Fit on at most ``bound`` pages whose markup names the article."""
+    """Fit on at most ``bound`` pages whose markup names the article, those of least hash."""
     named = "|".join(("<main\\b", *sorted(ARTICLE_NAMES)))
-    sample = df.select(F.col(html).alias("html")).where(F.col("html").rlike(f"(?i){named}")).limit(bound)
-    return fit([r["html"] for r in sample.toLocalIterator()])
+    sample = df.select(F.col(html).alias("html")).where(F.col("html").rlike(f"(?i){named}"))
+    return fit([r["html"] for r in least_hashes(sample, F.col("html"), bound)])
 
 
 def main_blocks(df: DataFrame, id_column: str, html: str, model: Model | None = None) -> DataFrame:
@@ -330,7 +299,7 @@ def main_blocks(df: DataFrame, id_column: str, html: str, model: Model | None =
                     continue
                 p = page(text)
                 chosen = body(p, model)
-                if chosen and not (len(chosen) <= 8 and is_notice("\n\n".join(p.blocks[k].plain.strip() for k in chosen))):
+                if chosen and not is_notice("\n\n".join(p.blocks[k].plain.strip() for k in chosen)):
                     for k in chosen:
                         b = p.blocks[k]
                         ids.append(i)
@@ -344,16 +313,23 @@ def main_blocks(df: DataFrame, id_column: str, html: str, model: Model | None =
     return spread(narrow).mapInPandas(extract, "id long, block_no int, tag string, text string")
 
 
+def trained(spark: SparkSession, sf_dir: str) -> Model:
+    """The model of the table's pages."""
+    return train(sample_files(spark, sf_dir, "extracted_article", "html"), "html")
+
+
+def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_blocks(read_table(spark, sf_dir, "extracted_article", "page_id", "html"), "page_id", "html", trained(spark, sf_dir))
+
+
 def p1_article(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of every page's article, and its number of blocks."""
-    found = main_blocks(read_table(spark, sf_dir, "extracted_article", "page_id", "html"), "page_id", "html")
-    ordered = F.array_sort(F.collect_list(F.struct("block_no", "text")))
-    return found.groupBy(F.col("id").alias("page_id")).agg(F.count("*").alias("n_blocks"), F.array_join(F.transform(ordered, lambda b: F.trim(b["text"])), "\n\n").alias("text"))
+    ordered = F.array_sort(F.collect_list(F.struct("block_no", "text")))  # the blocks of one page
+    return _articles(spark, sf_dir).groupBy(F.col("id").alias("page_id")).agg(F.count("*").alias("n_blocks"), F.array_join(F.transform(ordered, lambda b: F.trim(b["text"])), "\n\n").alias("text"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = main_blocks(read_table(spark, sf_dir, "extracted_article", "page_id", "html"), "page_id", "html")
-    return found.select(F.col("id").alias("page_id"), "block_no").distinct()
+    return _articles(spark, sf_dir).select(F.col("id").alias("page_id"), "block_no").distinct()
 
 
 QUERIES = {"p1_found": p1_found, "p1_article": p1_article}

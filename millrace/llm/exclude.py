@@ -77,7 +77,7 @@ def residue_in_pages(df: DataFrame, id_column: str, html: str, model: boilerplat
 def residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tbl, row_id, kind) over all articles and pages."""
     articles = residue_in_markdown(read_table(spark, sf_dir, "article", "article_id", "markdown"), "article_id", "markdown")
-    pages = residue_in_pages(read_table(spark, sf_dir, "extracted_article", "page_id", "html"), "page_id", "html")
+    pages = residue_in_pages(read_table(spark, sf_dir, "extracted_article", "page_id", "html"), "page_id", "html", boilerplate.trained(spark, sf_dir))
     both = articles.withColumn("tbl", F.lit("article")).unionByName(pages.withColumn("tbl", F.lit("extracted_article")))
     return both.select("tbl", F.col("id").alias("row_id"), "kind")
 

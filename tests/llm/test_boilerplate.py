@@ -1,5 +1,8 @@
+from hypothesis import given
+from hypothesis import strategies as st
+
 from millrace.llm import boilerplate
-from millrace.llm.boilerplate import Model, best_run, body, fit, labels, main_blocks, page
+from millrace.llm.boilerplate import Model, article_run, best_run, body, fit, labels, main_blocks, page, part_tags
 from millrace.llm.pages import blocks
 
 
@@ -23,10 +26,32 @@ def test_blocks():
 
 
 def test_best_run():
-    assert best_run([1, 1, -1, 1], [5, 5, 1, 9], [0, 0, 0, 0]) == (0, 4)
-    assert best_run([1, 1, 1], [5, 5, 50], [0, 0, -100]) == (2, 3)
-    assert best_run([-1, -1], [5, 5], [0, 0]) is None
-    assert best_run([], [], []) is None
+    assert best_run([5, 5, -1, 9], [0, 0, 0, 0]) == (0, 4)
+    assert best_run([5, 5, 50], [0, 0, -100]) == (2, 3)
+    assert best_run([-5, -5], [0, 0]) is None
+    assert best_run([], []) is None
+
+
+@given(st.lists(st.tuples(st.integers(-9, 9), st.integers(-5, 0)), max_size=12))
+def test_the_run_is_the_greatest(blocks_):
+    """No contiguous run of blocks, with the tags between them, has a greater sum."""
+    values, gaps = [v for v, _ in blocks_], [g for _, g in blocks_]
+    total = lambda a, b: sum(values[a:b]) + sum(gaps[a + 1 : b])
+    best = max((total(a, b) for a in range(len(values)) for b in range(a + 1, len(values) + 1)), default=0)
+    run = best_run(values, gaps)
+    assert (total(*run) if run else 0) == max(0, best)
+
+
+def test_nothing_outside_the_run(data):
+    import pandas as pd
+
+    html = pd.read_parquet(f"{data}/extracted_article.parquet", columns=["html"])["html"].dropna()
+    model = fit(html.tolist())
+    for text in html:
+        p = page(text)
+        scores, tags = model.scores(p), part_tags(p)
+        run = article_run(scores, tags, model) or (0, 0)
+        assert all(run[0] <= i < run[1] for i in body(p, model, scores, tags))
 
 
 def sample(i, named=True):
