@@ -3,7 +3,7 @@ from test_boilerplate import sample
 
 from millrace.llm import exclude
 from millrace.llm.boilerplate import fit
-from millrace.llm.residue import is_notice, residue_kind, without_code
+from millrace.llm.residue import PATTERNS, expanded, is_notice, residue_kind, without_code
 
 PROSE = "The cache keeps its rows for long articles, and the parser is measured twice on every page that we read. "
 
@@ -71,3 +71,65 @@ def test_page_rows(spark):
 def test_query(spark, data):
     assert exclude.p7_found(spark, data).columns == ["tbl", "row_id"]
     assert exclude.p7_kinds(spark, data).count() > 0
+
+
+# Notices that the patterns were written with.
+WORDED = """
+Oops! That page can't be found. It looks like nothing was found at this location. Maybe try a search?
+The resource you are looking for has been removed, had its name changed, or is temporarily unavailable.
+Sorry, the page you were looking for doesn't exist. You may have mistyped the address or the page may have moved.
+We're sorry, but something went wrong. If you are the application owner check the logs for more information.
+503 Service Unavailable. No server is available to handle this request.
+Attention Required! Please complete the security check to access this site.
+Please turn JavaScript on and reload the page.
+Your browser does not support JavaScript or it is disabled. Please enable it to use this site.
+You must be logged in to view this content.
+HTTP Error 403. You are not authorized to view this page.
+Access to this page has been denied because we believe you are using automation tools to browse the website.
+Désolé, la page que vous recherchez n'existe pas ou a été déplacée.
+Une erreur est survenue. Veuillez réessayer dans quelques instants.
+JavaScript est désactivé dans votre navigateur. Activez-le pour continuer.
+Connectez-vous pour lire la suite de cet article.
+Die angeforderte Seite konnte nicht gefunden werden.
+Leider ist ein Fehler aufgetreten. Bitte versuchen Sie es später erneut.
+Für diese Seite muss JavaScript aktiviert sein.
+Sie müssen sich anmelden, um diesen Inhalt zu sehen.
+Lo sentimos, la página que buscas no existe o ha sido eliminada.
+Se ha producido un error. Por favor, inténtalo de nuevo más tarde.
+Debes habilitar JavaScript para usar esta página.
+Debes iniciar sesión para ver este contenido.
+对不起，您要找的页面不存在或已被移除。
+网络出错了，请稍后重试。
+您的浏览器不支持JavaScript，请启用后再试。
+该文章已被删除，无法访问。
+指定されたページが見つかりません。削除されたか、URLが変更された可能性があります。
+エラーが発生しました。時間をおいて再度お試しください。
+この内容を閲覧するにはログインが必要です。
+JavaScriptが無効になっています。有効にしてください。
+"""
+
+
+def test_notices_of_the_patterns():
+    lines = [x for x in WORDED.split("\n") if x]
+    assert [x for x in lines if residue_kind(x) is None] == []
+
+
+@pytest.mark.parametrize("pattern", [p for lines in PATTERNS.values() for p in lines.split("\n") if p])
+def test_patterns_are_bounded(pattern):
+    """A pattern's choices give tidy phrases, and not too many of them."""
+    found = list(expanded(pattern))
+    assert 1 <= len(found) <= 80_000
+    assert all(x == x.lower().strip() and "  " not in x and "(" not in x and "|" not in x for x in found)
+
+
+@pytest.mark.parametrize(
+    "prose",
+    [
+        "We measured how often the page could not be found. When a link was stale, the crawler waited and then asked the next mirror for its copy.",
+        "Our error page says that something went wrong, and most readers close it at once. This post explains how we made such pages rarer.",
+        "Die Meldung, dass die Seite nicht gefunden wurde, kam bei alten Adressen. Seit dem Umbau leiten wir sie auf die neuen Adressen um.",
+        "我们统计了页面不存在的次数。旧链接失效以后，爬虫会等待一段时间，再向下一个镜像索取副本。",
+    ],
+)
+def test_prose_about_notices(prose):
+    assert residue_kind(prose) is None
