@@ -4,14 +4,14 @@ A document of size s belongs to class j = floor(capacity / s): j of them fit one
 their exact sizes, so a container of class j takes j documents of the class and is at least
 j / (j + 1) full. Each worker packs the documents of its own partition, with no shuffle: it keeps
 their ids and sizes only, never the texts. What room a container has left is then filled with the
-largest documents of later classes that fit, and the last, incomplete containers of the classes are
-merged, so a worker leaves little unused. A document is cut only if it is larger than a container:
+largest documents of later classes that fit, so a worker leaves little unused. A document is cut only if it is larger than a container:
 into full containers and a rest that is packed like any other document.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from millrace.plans.parallel import spread
 from millrace.sources import read_table
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: Path of the tokenizer's ranks, unless one is given: it must be there on every executor, or be shipped by ``addFile``.
+TOKENIZER = os.environ.get("MILLRACE_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 # Fixed value: how the tokenizer splits a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -79,47 +80,26 @@ class _Stock:
 def harmonic(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """Container number of each item; sizes are integers from 0 to ``capacity``.
 
-    Containers are numbered from 0. Items of size 0 go wherever there is room, else together.
+    Containers are numbered from 0. A container of class j takes j items of the class, or what is left of
+    them, and is then filled up with the largest items of later classes, so that no item that is left
+    would fit. Items of size 0 go where there is room, and if there are no others, together.
     """
     out = np.full(len(sizes), -1)
     stock = _Stock(sizes, capacity)
     bins = 0
-    rest: list[list[int]] = []  # incomplete containers
-    size = stock.largest(capacity)
-    while size > 0:
+    while (size := stock.largest(capacity)) > 0:
         j = capacity // size
         least = capacity // (j + 1) + 1  # sizes of class j: least .. capacity // j
-        while (s := stock.largest(capacity // j)) >= least:
-            members, room = [], capacity
-            while len(members) < j and s >= least:
-                members.append(stock.take(s))
-                room -= s
-                s = stock.largest(capacity // j)
-            while (s := stock.largest(room)) >= 0:  # fill up from the other classes
-                members.append(stock.take(s))
-                room -= s
-            if room < capacity // 16 or s < 0 and not rest:
-                out[members] = bins
-                bins += 1
-            else:
-                rest.append(members)
-        size = stock.largest(capacity)
-    nothing = []
-    while stock.largest(0) == 0:
-        nothing.append(stock.take(0))
-    if nothing:
-        rest.append(nothing)
-    # First fit of what is left, largest first.
-    rooms: list[int] = []
-    first = bins
-    for members in sorted(rest, key=lambda m: -int(sizes[m].sum())):
-        need = int(sizes[members].sum())
-        k = next((k for k in range(max(0, len(rooms) - 64), len(rooms)) if rooms[k] >= need), None)
-        if k is None:
-            k = len(rooms)
-            rooms.append(capacity)
-        rooms[k] -= need
-        out[members] = first + k
+        members, room = [], capacity
+        while len(members) < j and (s := stock.largest(capacity // j)) >= least:
+            members.append(stock.take(s))
+            room -= s
+        while (s := stock.largest(room)) >= 0:  # fill up from the other classes
+            members.append(stock.take(s))
+            room -= s
+        out[members] = bins
+        bins += 1
+    out[out < 0] = bins  # of size 0, where no other item is
     return out
 
 
