@@ -56,7 +56,8 @@ def unescape_math(c: Column) -> Column:
 def reading_stats(c: Column) -> tuple[Column, Column]:
     """(words, minutes): Han characters and runs of Latin letters and digits outside tags."""
     bare = F.regexp_replace(c, r"<[^>]+>", " ")
-    words = F.regexp_count(bare, F.lit(r"\p{IsHan}")) + F.regexp_count(bare, F.lit("[A-Za-z0-9]+"))
+    # One pass: the alternatives exclude each other.
+    words = F.regexp_count(bare, F.lit(r"\p{IsHan}|[A-Za-z0-9]+"))
     minutes = F.when(words > 0, F.greatest(F.lit(1), F.ceil(words / F.lit(WORDS_PER_MINUTE)))).otherwise(0)
     return words.cast("long"), minutes.cast("long")
 
@@ -74,7 +75,7 @@ def with_ratios(df: DataFrame, column: str, output: str, threshold: float = 0.6)
     """
     counted = df.withColumn("__text", text_content(F.col(column)))
     count = lambda kept: F.length(F.regexp_replace("__text", kept, ""))
-    counted = counted.withColumn("__n", F.struct(count(r"[^A-Za-z0-9_\x{4e00}-\x{9fff}]").alias("total"), count("[^A-Za-z]").alias("en"), count(r"[^\x{4e00}-\x{9fff}]").alias("zh")))
+    counted = counted.withColumn("__n", F.struct(count(r"[^A-Za-z0-9_\x{4e00}-\x{9fff}]+").alias("total"), count("[^A-Za-z]+").alias("en"), count(r"[^\x{4e00}-\x{9fff}]+").alias("zh")))
     enough = F.coalesce(F.col("__n.total") >= 10, F.lit(False))
     share = lambda part: F.when(enough, F.col(f"__n.{part}") / F.col("__n.total")).otherwise(0.0)
     shares = counted.withColumn("__r", F.struct(share("en").alias("en"), share("zh").alias("zh")))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from millrace.functions import code, slugs, text, urls
 from millrace.operators.tags import slug_sql
+from millrace.plans.parallel import spread
 from millrace.sources import read_table
 
 
@@ -22,7 +23,7 @@ def _over(table: str, *columns: str):
 
     def make(*expressions: Column, distinct: bool = False):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            df = read_table(spark, sf_dir, table, *columns).select(*expressions)
+            df = spread(read_table(spark, sf_dir, table, *columns)).select(*expressions)
             return df.distinct() if distinct else df
 
         return run
@@ -42,13 +43,22 @@ def fence_blocks(df: DataFrame, id_column: str, markdown: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fence_blocks(read_table(spark, sf_dir, "article", "article_id", "markdown"), "article_id", "markdown")
+    return fence_blocks(spread(read_table(spark, sf_dir, "article", "article_id", "markdown")), "article_id", "markdown")
 
 
 def _over_blocks(*expressions):
     return lambda s, d: _blocks(s, d).select("id", "n", *expressions)
 
 
+def diagram_numbers(blocks: DataFrame, languages: tuple[str, ...] = ("mermaid", "text")) -> DataFrame:
+    """(id, n, lang, nth): blocks in one of ``languages``, numbered from 0 among those of that language in their text.
+
+    Diagrams are the blocks in mermaid; the same numbering serves other languages.
+    """
+    named = blocks.select("id", "n", F.lower("lang").alias("lang")).where(C("lang").isin(*languages))
+    return named.withColumn("nth", (F.row_number().over(Window.partitionBy("id", "lang").orderBy("n")) - 1).cast("long"))
+
+
 def headings(df: DataFrame, id_column: str, markdown: str) -> DataFrame:
     """(id, pos, depth, text) of the headings of each text outside fences."""
     bare = F.regexp_replace(C(markdown), r"(?ms)^```.*?(?:^```[^\n]*$|\z)", "")
@@ -70,7 +80,7 @@ def heading_parents(rows: DataFrame) -> DataFrame:
 
 
 def _headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return headings(read_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+    return headings(spread(read_table(spark, sf_dir, "documents", "doc_id", "text")), "doc_id", "text")
 
 
 def heading_slugs(rows: DataFrame) -> DataFrame:
@@ -133,8 +143,8 @@ def image_placeholder(content_type: Column, size: Column, width: Column, height:
     return F.coalesce(~content_type.startswith("image/"), F.lit(True)) | (size == 0) | small
 
 
-def built() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """The queries by name. Expressions need a session, so they are made when a query runs, not on import."""
+def built() -> dict[str, Callable[[], Callable[[SparkSession, str], DataFrame]]]:
+    """What makes each query, by name. Expressions need a session, so a query's are made when it runs, and only its own."""
     TRACKED = F.concat(C("canonicalUrl"), F.when(C("canonicalUrl").contains("?"), "&").otherwise("?"), F.lit("UTM_Source=feed&view=full&share_code=abc"))
     SECRET = F.concat(C("canonicalUrl"), F.lit("?token="), F.md5("canonicalUrl"), F.lit(" Bearer "), F.md5("title"), F.lit("; sid="), F.md5("canonicalUrl"))
     META = F.concat(F.lit('title="'), C("site"), F.lit('" {'), (C("article_id") % 7 + 1).cast("string"), F.lit("-3,9} nolines x"))
@@ -149,100 +159,100 @@ def built() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     return {
         # addresses and adapters
-        "adapter_resolve": _article(I, urls.provider(U).alias("provider")),
-        "match_zhihu": _article(I, urls.is_zhihu(U).alias("zhihu")),
-        "match_medium": _article(I, urls.is_medium(U).alias("medium")),
-        "match_wechat": _article(I, urls.is_wechat(U).alias("wechat")),
-        "match_others": _article(I, F.lit(True).alias("others")),
-        "reject_arxiv": _article(I, urls.is_arxiv(F.concat(F.lit("https://arxiv.org/"), F.when(I % 2 == 0, "pdf").otherwise("list"), F.lit("/"), I.cast("string"))).alias("arxiv")),
-        "reject_pdf": _article(I, urls.is_pdf(F.concat(U, F.when(I % 2 == 0, ".PDF/").otherwise("x"))).alias("pdf")),
-        "zhihu_entity_link": _article(I, urls.is_entity_link(F.when(I % 2 == 0, F.lit("https://zhida.zhihu.com/search?q=a&zhida_source=entity")).otherwise(U)).alias("entity")),
-        "zhihu_keywords": _article(I, F.array_join(F.array_distinct(F.filter(F.transform(F.split(F.regexp_replace("title", " ", ","), "[,，]"), text.js_trim), lambda x: x != "")), "|").alias("keywords")),
-        "zhihu_date": _article(I, F.when(C("publishedAt").rlike(r"^\d{4}-\d\d-\d\dT[\d:.]+(Z|[+-]\d\d:\d\d)$"), F.date_format(F.from_utc_timestamp(F.regexp_replace("publishedAt", r"T(\d\d:\d\d)(?=[Z+-])", "T$1:00").try_cast("timestamp"), "Asia/Shanghai"), "yyyy-MM-dd")).otherwise(F.regexp_extract("publishedAt", r"^(\d{4}-\d\d-\d\d)", 1)).alias("day")),
-        "zhihu_blocked": lambda s, d: read_table(s, d, "extracted_article", "page_id", "title", "url", "html").select("page_id", blocked_reason(C("title"), urls.part(C("url"), "PATH"), F.regexp_replace(text.strip_scripts(C("html")), "<[^>]+>", " "), F.lit(False)).alias("reason")),
-        "str_sanitize_url": _article(I, urls.sanitise_url(F.concat(U, F.lit("?a=1&utm_source=x&b=2#c"))).alias("url")),
-        "str_import_url": _article(I, urls.import_url(F.concat(F.lit(" "), TRACKED)).alias("url")),
-        "sort_query_params": _article(I, urls.import_url(F.concat(F.regexp_extract(U, "^([^?#]*)", 1), F.lit("?z=1&b=2&a=3&b=1"))).alias("url")),
-        "str_import_owner": _article(I, urls.import_owner(C("source"), U).alias("owner")),
-        "str_normalize_url": _page(G, urls.normalise_url(F.regexp_extract("html", r'href="([^"]*)"', 1), C("baseUrl")).alias("url")),
-        "str_normalize_base": _page(G, urls.normalise_base(C("baseUrl")).alias("base")),
-        "str_normalize_base_site": _page(G, urls.normalise_site_base(F.regexp_extract("url", r"^https?://[^/]+/(\w+)", 1)).alias("base")),
-        "str_prefix_images": _article(I, urls.prefix_images(M, "/site").alias("markdown")),
-        "str_external_link": _page(G, urls.is_external(F.regexp_extract("html", r'href="([^"]*)"', 1)).alias("external")),
-        "rewrite_paths": _article(I, F.replace(M, F.lit("/images/"), F.lit("/media/")).alias("markdown")),
-        "wechat_placeholder_guard": _article(I, F.coalesce(M.contains("data:image/svg+xml"), F.lit(False)).alias("rejected")),
+        "adapter_resolve": lambda: _article(I, urls.provider(U).alias("provider")),
+        "match_zhihu": lambda: _article(I, urls.is_zhihu(U).alias("zhihu")),
+        "match_medium": lambda: _article(I, urls.is_medium(U).alias("medium")),
+        "match_wechat": lambda: _article(I, urls.is_wechat(U).alias("wechat")),
+        "match_others": lambda: _article(I, F.lit(True).alias("others")),
+        "reject_arxiv": lambda: _article(I, urls.is_arxiv(F.concat(F.lit("https://arxiv.org/"), F.when(I % 2 == 0, "pdf").otherwise("list"), F.lit("/"), I.cast("string"))).alias("arxiv")),
+        "reject_pdf": lambda: _article(I, urls.is_pdf(F.concat(U, F.when(I % 2 == 0, ".PDF/").otherwise("x"))).alias("pdf")),
+        "zhihu_entity_link": lambda: _article(I, urls.is_entity_link(F.when(I % 2 == 0, F.lit("https://zhida.zhihu.com/search?q=a&zhida_source=entity")).otherwise(U)).alias("entity")),
+        "zhihu_keywords": lambda: _article(I, F.array_join(F.array_distinct(F.filter(F.transform(F.split(F.regexp_replace("title", " ", ","), "[,，]"), text.js_trim), lambda x: x != "")), "|").alias("keywords")),
+        "zhihu_date": lambda: _article(I, F.when(C("publishedAt").rlike(r"^\d{4}-\d\d-\d\dT[\d:.]+(Z|[+-]\d\d:\d\d)$"), F.date_format(F.from_utc_timestamp(F.regexp_replace("publishedAt", r"T(\d\d:\d\d)(?=[Z+-])", "T$1:00").try_cast("timestamp"), "Asia/Shanghai"), "yyyy-MM-dd")).otherwise(F.regexp_extract("publishedAt", r"^(\d{4}-\d\d-\d\d)", 1)).alias("day")),
+        "zhihu_blocked": lambda: lambda s, d: read_table(s, d, "extracted_article", "page_id", "title", "url", "html").select("page_id", blocked_reason(C("title"), urls.part(C("url"), "PATH"), F.regexp_replace(text.strip_scripts(C("html")), "<[^>]+>", " "), F.lit(False)).alias("reason")),
+        "str_sanitize_url": lambda: _article(I, urls.sanitise_url(F.concat(U, F.lit("?a=1&utm_source=x&b=2#c"))).alias("url")),
+        "str_import_url": lambda: _article(I, urls.import_url(F.concat(F.lit(" "), TRACKED)).alias("url")),
+        "sort_query_params": lambda: _article(I, urls.import_url(F.concat(F.regexp_extract(U, "^([^?#]*)", 1), F.lit("?z=1&b=2&a=3&b=1"))).alias("url")),
+        "str_import_owner": lambda: _article(I, urls.import_owner(C("source"), U).alias("owner")),
+        "str_normalize_url": lambda: _page(G, urls.normalise_url(F.regexp_extract("html", r'href="([^"]*)"', 1), C("baseUrl")).alias("url")),
+        "str_normalize_base": lambda: _page(G, urls.normalise_base(C("baseUrl")).alias("base")),
+        "str_normalize_base_site": lambda: _page(G, urls.normalise_site_base(F.regexp_extract("url", r"^https?://[^/]+/(\w+)", 1)).alias("base")),
+        "str_prefix_images": lambda: _article(I, urls.prefix_images(M, "/site").alias("markdown")),
+        "str_external_link": lambda: _page(G, urls.is_external(F.regexp_extract("html", r'href="([^"]*)"', 1)).alias("external")),
+        "rewrite_paths": lambda: _article(I, F.replace(M, F.lit("/images/"), F.lit("/media/")).alias("markdown")),
+        "wechat_placeholder_guard": lambda: _article(I, F.coalesce(M.contains("data:image/svg+xml"), F.lit(False)).alias("rejected")),
         # names
-        "str_normalize_slug": _article(I, slugs.normalise_slug(C("title")).alias("slug")),
-        "str_slug_from_title": _article(I, slugs.slug_from_title(F.lit(None).cast("string"), C("title"), C("site")).alias("slug")),
-        "str_latin_slug": _article(I, slugs.latin_slug(C("title"), {"缓": "huan", "存": "cun", "图": "tu", "片": "pian", "的": "de"}).alias("slug")),
-        "str_slug_from_stem": lambda s, d: read_table(s, d, "post", "id", "updated").select("id", "updated", slugs.normalise_slug(F.regexp_extract("id", r"([^/]+)\.md$", 1)).alias("slug")),
-        "str_short_hash": _article(I, slugs.short_hash(U).alias("hash")),
-        "str_image_name": _article(I, F.when(_img.isNotNull(), slugs.image_name(F.lit(0), _img)).alias("name")),
-        "str_image_ext": _article(I, slugs.image_extension(_ext_mime, F.coalesce(_img, U)).alias("ext")),
-        "str_image_ext_notion": _article(I, slugs.image_extension_by_url(_ext_mime, F.coalesce(_img, U)).alias("ext")),
-        "str_safe_image_id": _article(I, slugs.safe_image_id(C("title")).alias("image_id")),
+        "str_normalize_slug": lambda: _article(I, slugs.normalise_slug(C("title")).alias("slug")),
+        "str_slug_from_title": lambda: _article(I, slugs.slug_from_title(F.lit(None).cast("string"), C("title"), C("site")).alias("slug")),
+        "str_latin_slug": lambda: _article(I, slugs.latin_slug(C("title"), {"缓": "huan", "存": "cun", "图": "tu", "片": "pian", "的": "de"}).alias("slug")),
+        "str_slug_from_stem": lambda: lambda s, d: read_table(s, d, "post", "id", "updated").select("id", "updated", slugs.normalise_slug(F.regexp_extract("id", r"([^/]+)\.md$", 1)).alias("slug")),
+        "str_short_hash": lambda: _article(I, slugs.short_hash(U).alias("hash")),
+        "str_image_name": lambda: _article(I, F.when(_img.isNotNull(), slugs.image_name(F.lit(0), _img)).alias("name")),
+        "str_image_ext": lambda: _article(I, slugs.image_extension(_ext_mime, F.coalesce(_img, U)).alias("ext")),
+        "str_image_ext_notion": lambda: _article(I, slugs.image_extension_by_url(_ext_mime, F.coalesce(_img, U)).alias("ext")),
+        "str_safe_image_id": lambda: _article(I, slugs.safe_image_id(C("title")).alias("image_id")),
         # texts
-        "str_invisible": _article(I, text.normalise_invisible(M).alias("markdown")),
-        "str_unescape_math": _article(I, text.unescape_math(F.concat(F.lit(r"\$\$"), M, F.lit(r"\$"))).alias("markdown")),
-        "str_sanitize_mdx": _article(I, text.sanitise_mdx(F.concat(F.lit("<"), U, F.lit("> <!-- -->"), M)).alias("markdown")),
-        "str_compress_lines": _doc(D, text.compress_lines(T).alias("text")),
-        "agg_cleanup_count": _doc(D, text.cleanup_count(T).cast("long").alias("n_runs")),
-        "str_reading_time": _doc(D, _words.alias("words"), _minutes.alias("minutes")),
-        "str_detect_lang": _article(I, text.text_content(M).alias("text")),
-        "agg_lang_ratio": lambda s, d: text.with_ratios(read_table(s, d, "article", "article_id", "markdown"), "markdown", "r").select("article_id", C("r.language").alias("language"), F.round("r.confidence", 6).alias("confidence"), F.round("r.englishRatio", 6).alias("english_ratio"), F.round("r.chineseRatio", 6).alias("chinese_ratio")),
-        "should_translate": lambda s, d: text.with_ratios(read_table(s, d, "article", "article_id", "markdown"), "markdown", "r").select("article_id", text.should_translate(C("r")).alias("translate")),
-        "strip_script": _page(G, text.strip_scripts(C("html")).alias("html")),
-        "str_callout": _doc(D, text.strip_callout(F.concat(F.lit("📌 "), T)).alias("text")),
-        "str_base64": _article(I, text.base64_text(C("title")).alias("encoded"), text.unbase64_text(text.base64_text(C("title"))).alias("decoded")),
-        "str_json_escape": _article(I, text.json_escape(M).alias("escaped")),
-        "str_truncate_hash": _article(I, text.truncate_with_hash(U, 40).alias("url")),
-        "str_excerpt": _doc(D, F.regexp_replace(F.trim(F.split(T, "\n")[0]), r"\s+", " ").alias("excerpt")),
-        "str_body_offset": _doc(D, text.front_matter_end(T).cast("long").alias("offset")),
-        "frontmatter_split": _doc(D, text.split_front_matter(T)["body"].alias("body")),
-        "win_line_offset": agreed_line_offsets,
-        "caption_predicate": lambda s, d: read_table(s, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n\n")).alias("n", "p")).select("doc_id", C("n").cast("long").alias("n"), text.caption(F.concat(F.when(C("n") % 2 == 0, "Figure 3: ").otherwise(""), C("p"))).alias("caption")),
-        "sink_change_only": _article(I, text.compress_lines(text.normalise_invisible(M)).alias("markdown"), M.alias("old")),
+        "str_invisible": lambda: _article(I, text.normalise_invisible(M).alias("markdown")),
+        "str_unescape_math": lambda: _article(I, text.unescape_math(F.concat(F.lit(r"\$\$"), M, F.lit(r"\$"))).alias("markdown")),
+        "str_sanitize_mdx": lambda: _article(I, text.sanitise_mdx(F.concat(F.lit("<"), U, F.lit("> <!-- -->"), M)).alias("markdown")),
+        "str_compress_lines": lambda: _doc(D, text.compress_lines(T).alias("text")),
+        "agg_cleanup_count": lambda: _doc(D, text.cleanup_count(T).cast("long").alias("n_runs")),
+        "str_reading_time": lambda: _doc(D, _words.alias("words"), _minutes.alias("minutes")),
+        "str_detect_lang": lambda: _article(I, text.text_content(M).alias("text")),
+        "agg_lang_ratio": lambda: lambda s, d: text.with_ratios(spread(read_table(s, d, "article", "article_id", "markdown")), "markdown", "r").select("article_id", C("r.language").alias("language"), F.round("r.confidence", 6).alias("confidence"), F.round("r.englishRatio", 6).alias("english_ratio"), F.round("r.chineseRatio", 6).alias("chinese_ratio")),
+        "should_translate": lambda: lambda s, d: text.with_ratios(spread(read_table(s, d, "article", "article_id", "markdown")), "markdown", "r").select("article_id", text.should_translate(C("r")).alias("translate")),
+        "strip_script": lambda: _page(G, text.strip_scripts(C("html")).alias("html")),
+        "str_callout": lambda: _doc(D, text.strip_callout(F.concat(F.lit("📌 "), T)).alias("text")),
+        "str_base64": lambda: _article(I, text.base64_text(C("title")).alias("encoded"), text.unbase64_text(text.base64_text(C("title"))).alias("decoded")),
+        "str_json_escape": lambda: _article(I, text.json_escape(M).alias("escaped")),
+        "str_truncate_hash": lambda: _article(I, text.truncate_with_hash(U, 40).alias("url")),
+        "str_excerpt": lambda: _doc(D, F.regexp_replace(F.trim(F.split(T, "\n")[0]), r"\s+", " ").alias("excerpt")),
+        "str_body_offset": lambda: _doc(D, text.front_matter_end(T).cast("long").alias("offset")),
+        "frontmatter_split": lambda: _doc(D, text.split_front_matter(T)["body"].alias("body")),
+        "win_line_offset": lambda: agreed_line_offsets,
+        "caption_predicate": lambda: lambda s, d: spread(read_table(s, d, "documents", "doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n\n")).alias("n", "p")).select("doc_id", C("n").cast("long").alias("n"), text.caption(F.concat(F.when(C("n") % 2 == 0, "Figure 3: ").otherwise(""), C("p"))).alias("caption")),
+        "sink_change_only": lambda: _article(I, text.compress_lines(text.normalise_invisible(M)).alias("markdown"), M.alias("old")),
         # code
-        "str_code_lang": _over_blocks(code.code_language(C("code")).alias("lang")),
-        "agg_code_scores": _over_blocks(*(v.cast("long").alias(k) for k, v in code.code_scores(C("code")).items())),
-        "sort_priority": _over_blocks(code.code_language(C("code")).alias("lang"), C("lang").alias("given")),
-        "gha_predicate": _over_blocks(code.is_workflow(C("code")).alias("workflow")),
-        "str_code_alias": _over_blocks(code.code_alias(C("lang")).alias("lang")),
-        "str_code_trim": _over_blocks(text.trim_code(C("code")).alias("code")),
-        "md_fix_fences": _over_blocks(F.when(C("lang") == "", code.code_language(C("code"))).otherwise(C("lang")).alias("lang"), (C("lang") == "").alias("fixed")),
-        "win_mermaid_index": _over_blocks((F.row_number().over(Window.partitionBy("id", "lang").orderBy("n")) - 1).cast("long").alias("nth")),
-        "win_line_number": lambda s, d: _blocks(s, d).select("id", "n", F.posexplode(F.split("code", "\n")).alias("at", "line")).select("id", "n", (C("at") + 1).cast("long").alias("line_no"), "line"),
-        "str_code_meta": _article(I, code.code_meta(META)["title"].alias("title"), code.code_meta(META)["showLineNumbers"].alias("line_numbers"), F.array_join(code.code_meta(META)["highlights"], ",").alias("highlights"), code.code_meta(META)["meta"].alias("meta")),
-        "str_highlight_set": _article(I, F.array_join(code.highlight_set(F.concat(I.cast("string"), F.lit(", 3,x,-1,3"))), ",").alias("lines")),
+        "str_code_lang": lambda: _over_blocks(code.code_language(C("code")).alias("lang")),
+        "agg_code_scores": lambda: _over_blocks(*(v.cast("long").alias(k) for k, v in code.code_scores(C("code")).items())),
+        "sort_priority": lambda: _over_blocks(code.code_language(C("code")).alias("lang"), C("lang").alias("given")),
+        "gha_predicate": lambda: _over_blocks(code.is_workflow(C("code")).alias("workflow")),
+        "str_code_alias": lambda: _over_blocks(code.code_alias(C("lang")).alias("lang")),
+        "str_code_trim": lambda: _over_blocks(text.trim_code(C("code")).alias("code")),
+        "md_fix_fences": lambda: _over_blocks(F.when(C("lang") == "", code.code_language(C("code"))).otherwise(C("lang")).alias("lang"), (C("lang") == "").alias("fixed")),
+        "win_mermaid_index": lambda: lambda s, d: diagram_numbers(_blocks(s, d)),
+        "win_line_number": lambda: lambda s, d: _blocks(s, d).select("id", "n", F.posexplode(F.split("code", "\n")).alias("at", "line")).select("id", "n", (C("at") + 1).cast("long").alias("line_no"), "line"),
+        "str_code_meta": lambda: _article(I, code.code_meta(META)["title"].alias("title"), code.code_meta(META)["showLineNumbers"].alias("line_numbers"), F.array_join(code.code_meta(META)["highlights"], ",").alias("highlights"), code.code_meta(META)["meta"].alias("meta")),
+        "str_highlight_set": lambda: _article(I, F.array_join(code.highlight_set(F.concat(I.cast("string"), F.lit(", 3,x,-1,3"))), ",").alias("lines")),
         # headings
-        "filter_toc_depth": lambda s, d: _headings(s, d).where(C("depth").between(2, 3)),
-        "win_toc_parent": lambda s, d: heading_parents(_headings(s, d)).select("id", "pos", "depth", "parent"),
-        "win_toc_flatten": lambda s, d: _headings(s, d).select("id", "pos", "text"),
-        "win_heading_slug": lambda s, d: heading_slugs(_headings(s, d)),
-        "agg_min_heading": lambda s, d: _headings(s, d).groupBy("id").agg(F.min("depth").alias("least")),
-        "win_blank_streak": lambda s, d: read_table(s, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("before", F.lag("line").over(Window.partitionBy("doc_id").orderBy("n"))).where(~((F.trim("line") == "") & (F.trim(F.coalesce("before", F.lit("x"))) == ""))).select("doc_id", C("n").cast("long").alias("n"), "line"),
+        "filter_toc_depth": lambda: lambda s, d: _headings(s, d).where(C("depth").between(2, 3)),
+        "win_toc_parent": lambda: lambda s, d: heading_parents(_headings(s, d)).select("id", "pos", "depth", "parent"),
+        "win_toc_flatten": lambda: lambda s, d: _headings(s, d).select("id", "pos", "text"),
+        "win_heading_slug": lambda: lambda s, d: heading_slugs(_headings(s, d)),
+        "agg_min_heading": lambda: lambda s, d: _headings(s, d).groupBy("id").agg(F.min("depth").alias("least")),
+        "win_blank_streak": lambda: lambda s, d: spread(read_table(s, d, "documents", "doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("before", F.lag("line").over(Window.partitionBy("doc_id").orderBy("n"))).where(~((F.trim("line") == "") & (F.trim(F.coalesce("before", F.lit("x"))) == ""))).select("doc_id", C("n").cast("long").alias("n"), "line"),
         # logs
-        "filter_log_level": lambda s, d: logs_at_least(_log(s, d), "warn").select("log_id", "ingested_at", "level"),
-        "sensitive_key": lambda s, d: _log(s, d).where(C("fields").isNotNull()).select("log_id", "ingested_at", F.explode(F.map_keys("fields")).alias("key")).withColumn("sensitive", code.is_sensitive(F.concat("key", F.when(C("log_id") % 2 == 0, "Token").otherwise("")))),
-        "str_redact_value": _article(I, code.redact_value(SECRET).alias("value")),
-        "map_redact_fields": lambda s, d: _log(s, d).where(C("fields").isNotNull()).select("log_id", "ingested_at", F.to_json(code.redact_fields(F.map_concat("fields", F.map_from_arrays(F.array(F.lit("authToken")), F.array(F.md5("msg")))))).alias("fields")),
-        "map_redact_nested": lambda s, d: _log(s, d).where(C("fields").isNotNull()).select("log_id", "ingested_at", F.to_json(F.transform_values("fields", lambda k, v: code.redact_value(v))).alias("fields")),
-        "map_sanitize_error": lambda s, d: _log(s, d).where(F.lower("level") == "error").select("log_id", "ingested_at", F.to_json(F.struct(code.redact_value(C("msg")).alias("message"), C("event").alias("name"))).alias("error")),
-        "map_serialize_error": lambda s, d: _log(s, d).where(F.lower("level") == "error").select("log_id", "ingested_at", F.to_json(F.struct(C("msg").alias("message"), F.struct(C("event").alias("message"), F.struct(C("script").alias("message")).alias("cause")).alias("cause"))).alias("error")),
-        "str_fields_pretty": lambda s, d: _log(s, d).where(C("fields").isNotNull()).select("log_id", "ingested_at", code.fields_pretty(C("fields")).alias("pretty")),
-        "str_duration": lambda s, d: _log(s, d).where(C("durationMs").isNotNull()).select("log_id", "ingested_at", text.duration_label(C("durationMs")).alias("label")),
-        "str_to_boolean": lambda s, d: _log(s, d).select("log_id", "ingested_at", text.to_boolean(F.when(C("status") == "ok", " Yes").when(C("status") == "partial", "off").otherwise(C("status"))).alias("flag")),
-        "sink_jsonl_log": lambda s, d: _log(s, d).select("log_id", "ingested_at", F.to_json(F.struct("ts", "level", code.redact_value(C("msg")).alias("msg"), "runId", "script", "event", "durationMs", "status")).alias("line")),
-        "agg_sync_counters": lambda s, d: _log(s, d).dropDuplicates(["log_id"]).groupBy("script").agg(F.count_if(C("event") == "sync.page").alias("pages"), F.count_if(C("event") == "image.skipped").alias("skipped")),
-        "agg_img_counts": lambda s, d: _log(s, d).agg(F.count_if(C("event") == "image.saved").alias("succeeded"), F.count_if(C("event") == "image.skipped").alias("failed"), F.count_if(C("event").startswith("image.")).alias("total")),
+        "filter_log_level": lambda: lambda s, d: logs_at_least(_log(s, d), "warn").select("log_id", "ingested_at", "level"),
+        "sensitive_key": lambda: lambda s, d: _log(s, d).where(C("fields").isNotNull()).select("log_id", "ingested_at", F.explode(F.map_keys("fields")).alias("key")).withColumn("sensitive", code.is_sensitive(F.concat("key", F.when(C("log_id") % 2 == 0, "Token").otherwise("")))),
+        "str_redact_value": lambda: _article(I, code.redact_value(SECRET).alias("value")),
+        "map_redact_fields": lambda: lambda s, d: _log(s, d).where(C("fields").isNotNull()).select("log_id", "ingested_at", F.to_json(code.redact_fields(F.map_concat("fields", F.map_from_arrays(F.array(F.lit("authToken")), F.array(F.md5("msg")))))).alias("fields")),
+        "map_redact_nested": lambda: lambda s, d: _log(s, d).where(C("fields").isNotNull()).select("log_id", "ingested_at", F.to_json(F.transform_values("fields", lambda k, v: code.redact_value(v))).alias("fields")),
+        "map_sanitize_error": lambda: lambda s, d: _log(s, d).where(F.lower("level") == "error").select("log_id", "ingested_at", F.to_json(F.struct(code.redact_value(C("msg")).alias("message"), C("event").alias("name"))).alias("error")),
+        "map_serialize_error": lambda: lambda s, d: _log(s, d).where(F.lower("level") == "error").select("log_id", "ingested_at", F.to_json(F.struct(C("msg").alias("message"), F.struct(C("event").alias("message"), F.struct(C("script").alias("message")).alias("cause")).alias("cause"))).alias("error")),
+        "str_fields_pretty": lambda: lambda s, d: _log(s, d).where(C("fields").isNotNull()).select("log_id", "ingested_at", code.fields_pretty(C("fields")).alias("pretty")),
+        "str_duration": lambda: lambda s, d: _log(s, d).where(C("durationMs").isNotNull()).select("log_id", "ingested_at", text.duration_label(C("durationMs")).alias("label")),
+        "str_to_boolean": lambda: lambda s, d: _log(s, d).select("log_id", "ingested_at", text.to_boolean(F.when(C("status") == "ok", " Yes").when(C("status") == "partial", "off").otherwise(C("status"))).alias("flag")),
+        "sink_jsonl_log": lambda: lambda s, d: _log(s, d).select("log_id", "ingested_at", F.to_json(F.struct("ts", "level", code.redact_value(C("msg")).alias("msg"), "runId", "script", "event", "durationMs", "status")).alias("line")),
+        "agg_sync_counters": lambda: lambda s, d: _log(s, d).dropDuplicates(["log_id"]).groupBy("script").agg(F.count_if(C("event") == "sync.page").alias("pages"), F.count_if(C("event") == "image.skipped").alias("skipped")),
+        "agg_img_counts": lambda: lambda s, d: _log(s, d).agg(F.count_if(C("event") == "image.saved").alias("succeeded"), F.count_if(C("event") == "image.skipped").alias("failed"), F.count_if(C("event").startswith("image.")).alias("total")),
         # numbers
-        "math_srcset_score": _article(I, srcset_score(F.when(I % 3 == 0, F.concat((I % 900).cast("string"), F.lit("w"))).when(I % 3 == 1, F.lit("1.5x")).otherwise("big")).alias("score")),
-        "sort_srcset": _article(I, best_source(F.concat(U, F.lit(" 320w, "), U, F.lit("/l 2x, "), U, F.lit("/m 640w"))).alias("url")),
-        "math_backoff": _article(I, F.least(F.lit(1000) * F.pow(F.lit(2), I % 6), F.lit(10000)).cast("long").alias("delay_ms")),
-        "project_chapter_label": _article(I, F.when(I % 13 == 0, "导论").otherwise(F.concat(F.lit("第 "), (I % 13).cast("string"), F.lit(" 章"))).alias("label")),
-        "project_source_url": _article(I, F.concat(F.lit("https://"), C("site"), F.lit("/blob/"), F.sha1("site"), F.lit("/"), slugs.normalise_slug(C("title")), F.lit(".md")).alias("url")),
-        "project_frontmatter": _article(I, F.coalesce(text.none_if_blank(C("title")), F.lit("Untitled")).alias("title"), F.coalesce(C("author"), urls.host(U)).alias("author")),
-        "image_placeholder": _article(I, image_placeholder(F.when(I % 4 == 0, "text/html").otherwise("image/png"), I * 40 % 90000, I % 400, I % 300).alias("placeholder")),
+        "math_srcset_score": lambda: _article(I, srcset_score(F.when(I % 3 == 0, F.concat((I % 900).cast("string"), F.lit("w"))).when(I % 3 == 1, F.lit("1.5x")).otherwise("big")).alias("score")),
+        "sort_srcset": lambda: _article(I, best_source(F.concat(U, F.lit(" 320w, "), U, F.lit("/l 2x, "), U, F.lit("/m 640w"))).alias("url")),
+        "math_backoff": lambda: _article(I, F.least(F.lit(1000) * F.pow(F.lit(2), I % 6), F.lit(10000)).cast("long").alias("delay_ms")),
+        "project_chapter_label": lambda: _article(I, F.when(I % 13 == 0, "导论").otherwise(F.concat(F.lit("第 "), (I % 13).cast("string"), F.lit(" 章"))).alias("label")),
+        "project_source_url": lambda: _article(I, F.concat(F.lit("https://"), C("site"), F.lit("/blob/"), F.sha1("site"), F.lit("/"), slugs.normalise_slug(C("title")), F.lit(".md")).alias("url")),
+        "project_frontmatter": lambda: _article(I, F.coalesce(text.none_if_blank(C("title")), F.lit("Untitled")).alias("title"), F.coalesce(C("author"), urls.host(U)).alias("author")),
+        "image_placeholder": lambda: _article(I, image_placeholder(F.when(I % 4 == 0, "text/html").otherwise("image/png"), I * 40 % 90000, I % 400, I % 300).alias("placeholder")),
     }
 
 
@@ -260,7 +270,7 @@ NAMES = tuple(
     sort_srcset math_backoff project_chapter_label project_source_url project_frontmatter image_placeholder
     """.split()
 )
-QUERIES = {name: (lambda spark, sf_dir, name=name: built()[name](spark, sf_dir)) for name in NAMES}
+QUERIES = {name: (lambda spark, sf_dir, name=name: built()[name]()(spark, sf_dir)) for name in NAMES}
 
 _N = "chr(10)"
 _CONTENT = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(markdown, '\A---\n[\s\S]*?\n---\n', ''), '```[\s\S]*?```', '', 'g'), '`[^`\n]+`', '', 'g'), 'https?://[^\s)]+', '', 'g'), '!\[([^\]]*)\]\([^)]+\)', '\1', 'g'), '\[([^\]]*)\]\([^)]+\)', '\1', 'g')"
@@ -365,7 +375,7 @@ from (select article_id, canonicalUrl as u, list_reduce(list_prepend(cast(0 as b
     "str_code_alias": _B + f"select id, n, {_ALIAS} as lang from (select id, n, lower(lang) as lang from c)",
     "str_code_trim": _B + r"select id, n, regexp_replace(regexp_replace(code, '\n{3,}', chr(10) || chr(10), 'g'), '\s+\z', '') as code from c",
     "md_fix_fences": _CODE_LANG + "select id, n, case when given = '' then lang else given end as lang, given = '' as fixed from d",
-    "win_mermaid_index": _B + "select id, n, row_number() over (partition by id, lang order by n) - 1 as nth from c",
+    "win_mermaid_index": _B + "select id, n, lang, row_number() over (partition by id, lang order by n) - 1 as nth from (select id, n, lower(lang) as lang from c) where lang in ('mermaid', 'text')",
     "win_line_number": _B + "select id, n, cast(unnest(range(1, len(l) + 1)) as bigint) as line_no, unnest(l) as line from (select id, n, string_split(code, chr(10)) as l from c)",
     "filter_toc_depth": _H + "select * from x where depth between 2 and 3",
     "win_toc_parent": _H + "select a.id, a.pos, a.depth, max(b.pos) as parent from x a left join x b on a.id = b.id and b.pos < a.pos and b.depth < a.depth group by all",

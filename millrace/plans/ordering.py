@@ -29,7 +29,21 @@ def numbered(df: DataFrame, order: list[Column], output: str) -> DataFrame:
 
 
 def with_neighbours(df: DataFrame, order: list[Column], column: str, before: str, after: str) -> DataFrame:
-    """``df`` with ``column`` of the row in front and of the row behind, by equi-joins on positions."""
-    rows = numbered(df, order, "__at")
-    at = lambda shift, name: rows.select((F.col("__at") + shift).alias("__at"), F.col(column).alias(name))
-    return rows.join(at(1, before), "__at", "left").join(at(-1, after), "__at", "left").drop("__at")
+    """``df`` with ``column`` of the row in front and of the row behind.
+
+    Rows are range-partitioned and written; within a partition they see each other through a window, and
+    across its borders through the first and last row of the partitions beside it, one row a partition.
+    """
+    spark = df.sparkSession
+    ranged = materialise(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ordered")
+    inside = Window.partitionBy("__part").orderBy(*order)
+    whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = ranged.select("__part", F.first(column).over(whole).alias("first"), F.last(column).over(whole).alias("last")).distinct().orderBy("__part").collect()
+    borders = [(r["__part"], ends[i - 1]["last"] if i else None, ends[i + 1]["first"] if i + 1 < len(ends) else None) for i, r in enumerate(ends)]
+    beside = spark.createDataFrame(borders, ranged.select("__part", F.col(column).alias("__front"), F.col(column).alias("__behind")).schema)
+    n, size = F.row_number().over(inside), F.count(F.lit(1)).over(Window.partitionBy("__part"))
+    # The value itself may be null, so the border is told by the position.
+    seen = ranged.select("*", F.lag(column).over(inside).alias("__lag"), F.lead(column).over(inside).alias("__lead"), (n == 1).alias("__top"), (n == size).alias("__end"))
+    out = seen.join(F.broadcast(beside), "__part")
+    front, behind = F.when(F.col("__top"), F.col("__front")).otherwise(F.col("__lag")), F.when(F.col("__end"), F.col("__behind")).otherwise(F.col("__lead"))
+    return out.select(*df.columns, front.alias(before), behind.alias(after))

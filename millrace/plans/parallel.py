@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+#: A scan in at least this share of the cores is left as it is: its splits are as good as one a core.
+ENOUGH = 0.75
+
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as the cluster has cores, for Python work on its rows.
+    """``df`` over as many partitions as the cluster has cores, for Python work on its rows, if it has far fewer.
 
-    A scan has fewer only if the table is smaller than cores times the split size, so what is shuffled
-    here is bounded by that; a larger table is returned as it is.
+    A scan cuts its files so that there is a split for each core, down to spark.sql.files.openCostInBytes
+    (4 MB). Fewer splits than that come from a table smaller than 4 MB a core, or one whose few files
+    can't be split; only such a table is shuffled here, any larger one is returned as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= ENOUGH * cores else df.repartition(cores)

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``.
 
-    Only where the session names none, as in tests on one machine, a temporary folder is set.
+    Only where the session names none and runs on one machine, as in tests, a temporary folder is set; on
+    a cluster, whose executors couldn't read it, a missing setting raises RuntimeError.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
@@ -19,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
         current = sc.getCheckpointDir()
     return current.rstrip("/")
