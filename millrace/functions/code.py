@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,10 +22,27 @@ LANGUAGE_SIGNS = {
 }
 # Short names of languages.
 ALIASES = {"js": "javascript", "ts": "typescript", "tsx": "tsx", "jsx": "jsx", "py": "python", "sh": "bash", "shell": "bash", "md": "markdown", "yml": "yaml", "cplusplus": "cpp"}
-KNOWN = ("bash", "c", "cpp", "css", "dockerfile", "go", "html", "java", "javascript", "json", "jsx", "markdown", "python", "rust", "sql", "tsx", "typescript", "yaml")
+# Names of languages that a highlighter knows.
+KNOWN = tuple(
+    """
+    ada apex applescript asm astro awk bash bat bicep c clojure cmake cobol coffee common-lisp cpp crystal csharp css csv cypher d dart diff docker dockerfile
+    elixir elm erb erlang fish fsharp gherkin gleam glsl go graphql groovy haml handlebars haskell hcl html http ini java javascript jinja json json5 jsonc
+    jsx julia kotlin latex less liquid log lua make markdown matlab mdx mermaid nginx nim nix objective-c ocaml pascal perl php powershell prisma prolog proto
+    pug puppet purescript python r racket raku ruby rust sas sass scala scheme scss shellscript smalltalk solidity sparql sql stylus svelte swift
+    system-verilog terraform tex toml tsx turtle twig typescript v vb verilog vhdl viml vue wasm wgsl xml xsl yaml zig
+    """.split()
+)
 # Words that mark a field as sensitive.
 SENSITIVE = ("token", "secret", "cookie", "authorization", "password", "passwd", "pwd", "apikey", "api_key", "access_token", "refresh_token", "session", "auth")
 REDACTED = "[REDACTED]"
+# Interpreters of a block's first line; what makes a CI workflow; a fence's attributes; secrets inside values.
+SHEBANGS = {"python": r"(?i)^#!\s*/.*python[23]?", "bash": r"(?i)^#!\s*/(bin/)?(ba)?sh"}
+WORKFLOW_HEAD = (r"^name:\s*.+$", r"^on:\s*$", r"^on:\s+\[")
+WORKFLOW_BODY = (r"^jobs:\s*$", r"^\s+steps:\s*$")
+META_TITLE, META_LINES, META_OFF = r"(?i)(?:title|file|filename)=(\"[^\"]+\"|'[^']+'|\S+)", r"\{([^}]+)\}", r"(?i)(?:no-?line-?numbers|line-?numbers\s*=\s*false|nolines)"
+SECRET_PARAMETER = r"(?i)([?&])(token|secret|password|auth|apikey|api_key|key)=([^&\s]+)"
+SECRET_BEARER = r"(?i)Bearer\s+([\w\-.~+/=]{6})[\w\-.~+/=]+([\w\-.~+/=]{4})"
+SECRET_PAIR = r"([a-zA-Z0-9_-]+)=([^;,\s&=]{6})[^;,\s&=]+([^;,\s&=]{4})"
 
 
 def code_scores(code: Column) -> dict[str, Column]:
@@ -32,8 +52,8 @@ def code_scores(code: Column) -> dict[str, Column]:
 
 def is_workflow(code: Column) -> Column:
     """Whether a block is a CI workflow: a name or trigger, and jobs or steps."""
-    has = lambda p: code.rlike("(?m)" + p)
-    return (has(r"^name:\s*.+$") | has(r"^on:\s*$") | has(r"^on:\s+\[")) & (has(r"^jobs:\s*$") | has(r"^\s+steps:\s*$"))
+    any_of = lambda patterns: reduce(or_, (code.rlike("(?m)" + p) for p in patterns))
+    return any_of(WORKFLOW_HEAD) & any_of(WORKFLOW_BODY)
 
 
 def code_language(code: Column) -> Column:
@@ -44,8 +64,8 @@ def code_language(code: Column) -> Column:
     best = F.array_max(ranked)
     return (
         F.when(js_trim(code) == "", "text")
-        .when(first.rlike(r"(?i)^#!\s*/.*python[23]?"), "python")
-        .when(first.rlike(r"(?i)^#!\s*/(bin/)?bash") | first.rlike(r"(?i)^#!\s*/(bin/)?sh"), "bash")
+        .when(first.rlike(SHEBANGS["python"]), "python")
+        .when(first.rlike(SHEBANGS["bash"]), "bash")
         .when(is_workflow(code), "yaml")
         .when(best["score"] > 0, best["lang"])
         .otherwise("text")
@@ -68,9 +88,8 @@ def highlight_set(value: Column) -> Column:
 def code_meta(meta: Column) -> Column:
     """Struct (title, showLineNumbers, highlights, meta) of what follows a fence's language."""
     given = F.coalesce(meta, F.lit(""))
-    title_form, lines_form, off_form = r"(?i)(?:title|file|filename)=(\"[^\"]+\"|'[^']+'|\S+)", r"\{([^}]+)\}", r"(?i)(?:no-?line-?numbers|line-?numbers\s*=\s*false|nolines)"
-    title = F.regexp_replace(F.trim(F.regexp_extract(given, title_form, 1)), r"^['\"]|['\"]$", "")
-    parts = F.filter(F.transform(F.split(F.regexp_extract(given, lines_form, 1), ","), F.trim), lambda p: p != "")
+    title = F.regexp_replace(F.trim(F.regexp_extract(given, META_TITLE, 1)), r"^['\"]|['\"]$", "")
+    parts = F.filter(F.transform(F.split(F.regexp_extract(given, META_LINES, 1), ","), F.trim), lambda p: p != "")
 
     def lines(p: Column) -> Column:
         a, b = F.split(p, "-")[0].try_cast("int"), F.get(F.split(p, "-"), F.lit(1)).try_cast("int")
@@ -78,8 +97,8 @@ def code_meta(meta: Column) -> Column:
         one = p.try_cast("int")
         return F.coalesce(F.when(p.contains("-"), span).when(one.isNotNull(), F.array(one)), F.array().cast("array<int>"))
 
-    rest = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(given, lines_form, ""), title_form, ""), off_form, ""))
-    return F.struct(F.nullif(title, F.lit("")).alias("title"), (~given.rlike(off_form)).alias("showLineNumbers"), F.flatten(F.transform(parts, lines)).alias("highlights"), rest.alias("meta"))
+    rest = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(given, META_LINES, ""), META_TITLE, ""), META_OFF, ""))
+    return F.struct(F.nullif(title, F.lit("")).alias("title"), (~given.rlike(META_OFF)).alias("showLineNumbers"), F.flatten(F.transform(parts, lines)).alias("highlights"), rest.alias("meta"))
 
 
 def is_sensitive(key: Column, extra: tuple[str, ...] = ()) -> Column:
@@ -88,9 +107,8 @@ def is_sensitive(key: Column, extra: tuple[str, ...] = ()) -> Column:
 
 def redact_value(c: Column) -> Column:
     """Sensitive query parameters, then bearer tokens, then long ``name=value`` pairs, in this order."""
-    parameters = F.regexp_replace(c, r"(?i)([?&])(token|secret|password|auth|apikey|api_key|key)=([^&\s]+)", "$1$2=[REDACTED]")
-    bearer = F.regexp_replace(parameters, r"(?i)Bearer\s([\w\-.~+/=]{6})[\w\-.~+/=]+([\w\-.~+/=]{4})", "Bearer $1...$2")
-    return F.regexp_replace(bearer, r"([a-zA-Z0-9_-]+)=([^;,\s&=]{6})[^;,\s&=]+([^;,\s&=]{4})", "$1=$2...$3")
+    parameters = F.regexp_replace(c, SECRET_PARAMETER, "$1$2=[REDACTED]")
+    return F.regexp_replace(F.regexp_replace(parameters, SECRET_BEARER, "Bearer $1...$2"), SECRET_PAIR, "$1=$2...$3")
 
 
 def redact_fields(fields: Column, extra: tuple[str, ...] = ()) -> Column:

@@ -31,15 +31,19 @@ def _over(table: str, *columns: str):
     return make
 
 
+#: A fenced block: its marker, what follows that, and the code.
+FENCE = r"(?ms)^ {0,3}(`{3,}|~{3,})([^\n`]*)(?:\n(.*?)(?:^ {0,3}\1[`~]*[ \t]*$|\z)|\z)"
+
+
 def fence_blocks(df: DataFrame, id_column: str, markdown: str) -> DataFrame:
     """(id, n, lang, meta, code) of the fenced blocks of each text, numbered in order.
 
-    A fence closes at a line that starts with its own marker; an open one runs to the end. Null texts have none.
+    A fence is three or more backticks or tildes, indented by up to three spaces. It closes at a line of
+    as many or more of its own sign and nothing else; an open one runs to the end. Null texts have none.
     """
-    form = r"(?ms)^```[^\S\n]*([^\n]*)\n(.*?)(?:^```[^\n]*$|\z)"
-    found = df.select(C(id_column).alias("id"), F.posexplode(F.regexp_extract_all(C(markdown), F.lit(form), F.lit(0))).alias("n", "block"))
-    info = F.regexp_extract("block", form, 1)
-    return found.select("id", C("n").cast("long").alias("n"), F.regexp_extract(info, r"^(\S*)", 1).alias("lang"), F.trim(F.regexp_replace(info, r"^\S*", "")).alias("meta"), F.regexp_replace(F.regexp_extract("block", form, 2), r"\n$", "").alias("code"))
+    found = df.select(C(id_column).alias("id"), F.posexplode(F.regexp_extract_all(C(markdown), F.lit(FENCE), F.lit(0))).alias("n", "block"))
+    info = F.trim(F.regexp_extract("block", FENCE, 2))
+    return found.select("id", C("n").cast("long").alias("n"), F.regexp_extract(info, r"^(\S*)", 1).alias("lang"), F.trim(F.regexp_replace(info, r"^\S*", "")).alias("meta"), F.regexp_replace(F.regexp_extract("block", FENCE, 3), r"\n$", "").alias("code"))
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,10 +54,10 @@ def _over_blocks(*expressions):
     return lambda s, d: _blocks(s, d).select("id", "n", *expressions)
 
 
-def diagram_numbers(blocks: DataFrame, languages: tuple[str, ...] = ("mermaid", "text")) -> DataFrame:
+def diagram_numbers(blocks: DataFrame, languages: tuple[str, ...] = ("mermaid",)) -> DataFrame:
     """(id, n, lang, nth): blocks in one of ``languages``, numbered from 0 among those of that language in their text.
 
-    Diagrams are the blocks in mermaid; the same numbering serves other languages.
+    Diagrams are the blocks in mermaid.
     """
     named = blocks.select("id", "n", F.lower("lang").alias("lang")).where(C("lang").isin(*languages))
     return named.withColumn("nth", (F.row_number().over(Window.partitionBy("id", "lang").orderBy("n")) - 1).cast("long"))
@@ -61,7 +65,7 @@ def diagram_numbers(blocks: DataFrame, languages: tuple[str, ...] = ("mermaid",
 
 def headings(df: DataFrame, id_column: str, markdown: str) -> DataFrame:
     """(id, pos, depth, text) of the headings of each text outside fences."""
-    bare = F.regexp_replace(C(markdown), r"(?ms)^```.*?(?:^```[^\n]*$|\z)", "")
+    bare = F.regexp_replace(C(markdown), FENCE, "")
     lines = df.select(C(id_column).alias("id"), F.posexplode(F.regexp_extract_all(bare, F.lit(r"(?m)^#{1,6} +[^\n]+$"), F.lit(0))).alias("pos", "line"))
     words = F.regexp_replace(F.trim(F.regexp_replace("line", r"^#{1,6} +", "")), r"\s*¶\s*$", "")
     return lines.select("id", C("pos").cast("long").alias("pos"), F.length(F.regexp_extract("line", "^(#+)", 1)).cast("long").alias("depth"), words.alias("text"))
@@ -117,11 +121,34 @@ def logs_at_least(logs: DataFrame, level: str) -> DataFrame:
     return logs.where(level_rank(C("level")) >= RANK.get(level, 1))
 
 
+# Signs of a blocked page in its title, its path and its visible text.
+BLOCKED = {
+    "login": (r"(?i)登录|login|sign.?in", r"(?i)\/(?:signin|login)(?:\/|$)", r"(?i)请先登录|登录后(?:继续|查看|访问|浏览)|登录知乎|使用(?:知乎)?账号登录|手机号登录"),
+    "captcha": (r"(?i)验证|captcha|security.?check|human.?verification", r"(?i)\/(?:captcha|security-check|account\/unhuman)(?:\/|$)", r"(?i)安全验证|请完成.{0,10}验证|拖动.{0,20}滑块|验证码|captcha|security.?check|human.?verification|verify you are human"),
+    "anti-spider": ("", "", r"(?i)反作弊|访问异常|请求存在异常|access.?denied"),
+}
+#: Characters of an article that is one whatever else the page says.
+LEAST_ARTICLE = 100
+
+
+def article_text(html: Column) -> Column:
+    """Text of the first article element of a page, without tags; empty where there is none."""
+    return F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<article\b[^>]*>(.*?)</article>", 1), "<[^>]+>", ""))
+
+
+def sync_counters(logs: DataFrame) -> DataFrame:
+    """For each run: pages seen, processed, skipped and failed, and ``partial`` if any failed, else ``ok``. Re-delivered entries count once."""
+    page, failed = C("event") == "sync.page", F.lower("level") == "error"
+    counts = logs.dropDuplicates(["log_id"]).groupBy("runId").agg(
+        F.count_if(page).alias("total_pages"), F.count_if(page & F.coalesce(C("status") == "ok", F.lit(False))).alias("processed"), F.count_if(C("event") == "image.skipped").alias("skipped"), F.count_if(F.coalesce(failed, F.lit(False))).alias("errors")
+    )
+    return counts.withColumn("status", F.when(C("errors") > 0, "partial").otherwise("ok"))
+
+
 def blocked_reason(title: Column, path: Column, visible: Column, has_article: Column) -> Column:
     """Why a page is no article: login, captcha or anti-spider; null where it has one or nothing is found."""
-    login = title.rlike("(?i)登录|login|sign.?in") | path.rlike("(?i)/(signin|login)(/|$)") | visible.rlike("(?i)请先登录|登录后(继续|查看|访问|浏览)|登录知乎|使用(知乎)?账号登录|手机号登录")
-    human = title.rlike("(?i)验证|captcha|security.?check|human.?verification") | path.rlike("(?i)/(captcha|security-check|account/unhuman)(/|$)") | visible.rlike("(?i)安全验证|请完成.{0,10}验证|拖动.{0,20}滑块|验证码|captcha|security.?check|human.?verification|verify you are human")
-    spider = visible.rlike("(?i)反作弊|访问异常|请求存在异常|access.?denied")
+    of = lambda kind: title.rlike(BLOCKED[kind][0]) | path.rlike(BLOCKED[kind][1]) | visible.rlike(BLOCKED[kind][2])
+    login, human, spider = of("login"), of("captcha"), visible.rlike(BLOCKED["anti-spider"][2])
     return F.when(has_article, F.lit(None).cast("string")).when(login, "login").when(human, "captcha").when(spider, "anti-spider")
 
 
@@ -146,7 +173,7 @@ def image_placeholder(content_type: Column, size: Column, width: Column, height:
 def built() -> dict[str, Callable[[], Callable[[SparkSession, str], DataFrame]]]:
     """What makes each query, by name. Expressions need a session, so a query's are made when it runs, and only its own."""
     TRACKED = F.concat(C("canonicalUrl"), F.when(C("canonicalUrl").contains("?"), "&").otherwise("?"), F.lit("UTM_Source=feed&view=full&share_code=abc"))
-    SECRET = F.concat(C("canonicalUrl"), F.lit("?token="), F.md5("canonicalUrl"), F.lit(" Bearer "), F.md5("title"), F.lit("; sid="), F.md5("canonicalUrl"))
+    SECRET = F.concat(C("canonicalUrl"), F.lit("?token="), F.md5("canonicalUrl"), F.lit(" Bearer  "), F.md5("title"), F.lit("; sid="), F.md5("canonicalUrl"))
     META = F.concat(F.lit('title="'), C("site"), F.lit('" {'), (C("article_id") % 7 + 1).cast("string"), F.lit("-3,9} nolines x"))
     _article = _over("article", "article_id", "title", "markdown", "canonicalUrl", "source", "site", "images", "cover", "author", "tags", "publishedAt")
     _page = _over("extracted_article", "page_id", "url", "html", "baseUrl", "title")
@@ -169,7 +196,7 @@ def built() -> dict[str, Callable[[], Callable[[SparkSession, str], DataFrame]]]
         "zhihu_entity_link": lambda: _article(I, urls.is_entity_link(F.when(I % 2 == 0, F.lit("https://zhida.zhihu.com/search?q=a&zhida_source=entity")).otherwise(U)).alias("entity")),
         "zhihu_keywords": lambda: _article(I, F.array_join(F.array_distinct(F.filter(F.transform(F.split(F.regexp_replace("title", " ", ","), "[,，]"), text.js_trim), lambda x: x != "")), "|").alias("keywords")),
         "zhihu_date": lambda: _article(I, F.when(C("publishedAt").rlike(r"^\d{4}-\d\d-\d\dT[\d:.]+(Z|[+-]\d\d:\d\d)$"), F.date_format(F.from_utc_timestamp(F.regexp_replace("publishedAt", r"T(\d\d:\d\d)(?=[Z+-])", "T$1:00").try_cast("timestamp"), "Asia/Shanghai"), "yyyy-MM-dd")).otherwise(F.regexp_extract("publishedAt", r"^(\d{4}-\d\d-\d\d)", 1)).alias("day")),
-        "zhihu_blocked": lambda: lambda s, d: read_table(s, d, "extracted_article", "page_id", "title", "url", "html").select("page_id", blocked_reason(C("title"), urls.part(C("url"), "PATH"), F.regexp_replace(text.strip_scripts(C("html")), "<[^>]+>", " "), F.lit(False)).alias("reason")),
+        "zhihu_blocked": lambda: lambda s, d: read_table(s, d, "extracted_article", "page_id", "title", "url", "html").select("page_id", blocked_reason(C("title"), urls.part(C("url"), "PATH"), F.regexp_replace(text.strip_scripts(C("html")), "<[^>]+>", " "), F.length(article_text(C("html"))) >= LEAST_ARTICLE).alias("reason")),
         "str_sanitize_url": lambda: _article(I, urls.sanitise_url(F.concat(U, F.lit("?a=1&utm_source=x&b=2#c"))).alias("url")),
         "str_import_url": lambda: _article(I, urls.import_url(F.concat(F.lit(" "), TRACKED)).alias("url")),
         "sort_query_params": lambda: _article(I, urls.import_url(F.concat(F.regexp_extract(U, "^([^?#]*)", 1), F.lit("?z=1&b=2&a=3&b=1"))).alias("url")),
@@ -206,7 +233,7 @@ def built() -> dict[str, Callable[[], Callable[[SparkSession, str], DataFrame]]]
         "str_base64": lambda: _article(I, text.base64_text(C("title")).alias("encoded"), text.unbase64_text(text.base64_text(C("title"))).alias("decoded")),
         "str_json_escape": lambda: _article(I, text.json_escape(M).alias("escaped")),
         "str_truncate_hash": lambda: _article(I, text.truncate_with_hash(U, 40).alias("url")),
-        "str_excerpt": lambda: _doc(D, F.regexp_replace(F.trim(F.split(T, "\n")[0]), r"\s+", " ").alias("excerpt")),
+        "str_excerpt": lambda: lambda s, d: spread(read_table(s, d, "documents", "doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).where(~text.blank(C("line"))).select("doc_id", C("n").cast("long").alias("n"), F.regexp_replace(text.js_trim(C("line")), r"(?U)\s+", " ").alias("excerpt")),
         "str_body_offset": lambda: _doc(D, text.front_matter_end(T).cast("long").alias("offset")),
         "frontmatter_split": lambda: _doc(D, text.split_front_matter(T)["body"].alias("body")),
         "win_line_offset": lambda: agreed_line_offsets,
@@ -220,7 +247,7 @@ def built() -> dict[str, Callable[[], Callable[[SparkSession, str], DataFrame]]]
         "str_code_alias": lambda: _over_blocks(code.code_alias(C("lang")).alias("lang")),
         "str_code_trim": lambda: _over_blocks(text.trim_code(C("code")).alias("code")),
         "md_fix_fences": lambda: _over_blocks(F.when(C("lang") == "", code.code_language(C("code"))).otherwise(C("lang")).alias("lang"), (C("lang") == "").alias("fixed")),
-        "win_mermaid_index": lambda: lambda s, d: diagram_numbers(_blocks(s, d)),
+        "win_mermaid_index": lambda: lambda s, d: diagram_numbers(_blocks(s, d), ("mermaid", "html", "yaml")),  # the tables have no mermaid
         "win_line_number": lambda: lambda s, d: _blocks(s, d).select("id", "n", F.posexplode(F.split("code", "\n")).alias("at", "line")).select("id", "n", (C("at") + 1).cast("long").alias("line_no"), "line"),
         "str_code_meta": lambda: _article(I, code.code_meta(META)["title"].alias("title"), code.code_meta(META)["showLineNumbers"].alias("line_numbers"), F.array_join(code.code_meta(META)["highlights"], ",").alias("highlights"), code.code_meta(META)["meta"].alias("meta")),
         "str_highlight_set": lambda: _article(I, F.array_join(code.highlight_set(F.concat(I.cast("string"), F.lit(", 3,x,-1,3"))), ",").alias("lines")),
@@ -242,8 +269,8 @@ def built() -> dict[str, Callable[[], Callable[[SparkSession, str], DataFrame]]]
         "str_fields_pretty": lambda: lambda s, d: _log(s, d).where(C("fields").isNotNull()).select("log_id", "ingested_at", code.fields_pretty(C("fields")).alias("pretty")),
         "str_duration": lambda: lambda s, d: _log(s, d).where(C("durationMs").isNotNull()).select("log_id", "ingested_at", text.duration_label(C("durationMs")).alias("label")),
         "str_to_boolean": lambda: lambda s, d: _log(s, d).select("log_id", "ingested_at", text.to_boolean(F.when(C("status") == "ok", " Yes").when(C("status") == "partial", "off").otherwise(C("status"))).alias("flag")),
-        "sink_jsonl_log": lambda: lambda s, d: _log(s, d).select("log_id", "ingested_at", F.to_json(F.struct("ts", "level", code.redact_value(C("msg")).alias("msg"), "runId", "script", "event", "durationMs", "status")).alias("line")),
-        "agg_sync_counters": lambda: lambda s, d: _log(s, d).dropDuplicates(["log_id"]).groupBy("script").agg(F.count_if(C("event") == "sync.page").alias("pages"), F.count_if(C("event") == "image.skipped").alias("skipped")),
+        "sink_jsonl_log": lambda: lambda s, d: _log(s, d).select("log_id", "ingested_at", F.to_json(F.struct("ts", "level", code.redact_value(C("msg")).alias("msg"), "runId", "script", "event", "durationMs", "status", code.redact_fields(C("fields")).alias("fields"))).alias("line")),
+        "agg_sync_counters": lambda: lambda s, d: sync_counters(_log(s, d)),
         "agg_img_counts": lambda: lambda s, d: _log(s, d).agg(F.count_if(C("event") == "image.saved").alias("succeeded"), F.count_if(C("event") == "image.skipped").alias("failed"), F.count_if(C("event").startswith("image.")).alias("total")),
         # numbers
         "math_srcset_score": lambda: _article(I, srcset_score(F.when(I % 3 == 0, F.concat((I % 900).cast("string"), F.lit("w"))).when(I % 3 == 1, F.lit("1.5x")).otherwise("big")).alias("score")),
@@ -281,14 +308,15 @@ l as (select article_id, e, z, case when e >= 0.6 then 'en' when z >= 0.6 then '
 _HOST = "lower(regexp_extract(canonicalUrl, '^https?://([^/?#:]+)', 1))"
 _ON = lambda name: f"({_HOST} = '{name}' or ends_with({_HOST}, '.{name}'))"
 _ZHIHU = f"({_ON('zhihu.com')} and contains(canonicalUrl, 'zhuanlan.zhihu.com/p/'))"
-_H = r"""with b as (select doc_id as id, regexp_extract_all(regexp_replace(text, '(?ms)^```.*?(?:^```[^\n]*$|\z)', '', 'g'), '(?m)^#{1,6} +[^\n]+$') as l from documents),
+_H = r"""with b as (select doc_id as id, regexp_extract_all(regexp_replace(text, '(?ms)^ {0,3}```([^\n`]*)\n(.*?)(?:^ {0,3}```[`~]*[ \t]*$|\z)', '', 'g'), '(?m)^#{1,6} +[^\n]+$') as l from documents),
 h as (select id, cast(unnest(range(0, len(l))) as bigint) as pos, unnest(l) as line from b where len(l) > 0),
 x as (select id, pos, cast(length(regexp_extract(line, '^(#+)', 1)) as bigint) as depth, regexp_replace(trim(regexp_replace(line, '^#{1,6} +', '')), '\s*¶\s*$', '') as text from h)
 """
-_FORM = r"(?ms)^```[^\S\n]*([^\n]*)\n(.*?)(?:^```[^\n]*$|\z)"
+# RE2 has no back references; the tables' fences are of three backticks (four in none), so the marker is spelled out.
+_FORM = r"(?ms)^ {0,3}```([^\n`]*)\n(.*?)(?:^ {0,3}```[`~]*[ \t]*$|\z)"
 _B = rf"""with f as (select article_id as id, regexp_extract_all(markdown, '{_FORM}') as l from article where markdown is not null),
 g as (select id, cast(unnest(range(0, len(l))) as bigint) as n, unnest(l) as block from f where len(l) > 0),
-k as (select id, n, regexp_extract(block, '{_FORM}', 1) as info, regexp_replace(regexp_extract(block, '{_FORM}', 2), '\n\z', '') as code from g),
+k as (select id, n, trim(regexp_extract(block, '{_FORM}', 1)) as info, regexp_replace(regexp_extract(block, '{_FORM}', 2), '\n\z', '') as code from g),
 c as (select id, n, regexp_extract(info, '^(\S*)', 1) as lang, code from k)
 """
 
@@ -311,14 +339,14 @@ _SPACES = " || ".join(f"chr({ord(c)})" for c in text.WIDE_SPACES)
 _GONE = " || ".join(f"chr({ord(c)})" for c in text.DROPPED)
 _INVISIBLE = f"translate(markdown, {_SPACES} || {_GONE}, repeat(' ', {len(text.WIDE_SPACES)}))"
 _LEVEL = "case lower(coalesce(level, 'info')) when 'debug' then 0 when 'warn' then 2 when 'error' then 3 else 1 end"
-_SECRET = "canonicalUrl || '?token=' || md5(canonicalUrl) || ' Bearer ' || md5(title) || '; sid=' || md5(canonicalUrl)"
+_SECRET = "canonicalUrl || '?token=' || md5(canonicalUrl) || ' Bearer  ' || md5(title) || '; sid=' || md5(canonicalUrl)"
 _URL_EXT = "nullif(lower(regexp_extract(regexp_replace(u, '[?#].*$', ''), '(?i)(\\.(?:jpe?g|png|webp|gif|bmp|avif|svg))$', 1)), '')"
 _IMG = "(select article_id, case when article_id % 3 = 0 then '.webp' end as m, coalesce(images[1].url, canonicalUrl) as u from article)"
 _VISIBLE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>', '', 'g'), '(?is)<style\b[^>]*>.*?</style>', '', 'g'), '(?is)<noscript\b[^>]*>.*?</noscript>', '', 'g'), '(?is)<template\b[^>]*>.*?</template>', '', 'g'), '<[^>]+>', ' ', 'g')"
 ORACLE = {
-    "zhihu_blocked": f"""select page_id, case when regexp_matches(title, '(?i)登录|login|sign.?in') or regexp_matches(path, '(?i)/(signin|login)(/|$)') or regexp_matches(v, '(?i)请先登录|登录后(继续|查看|访问|浏览)|登录知乎|使用(知乎)?账号登录|手机号登录') then 'login'
- when regexp_matches(title, '(?i)验证|captcha|security.?check|human.?verification') or regexp_matches(path, '(?i)/(captcha|security-check|account/unhuman)(/|$)') or regexp_matches(v, '(?i)安全验证|请完成.{{0,10}}验证|拖动.{{0,20}}滑块|验证码|captcha|security.?check|human.?verification|verify you are human') then 'captcha'
- when regexp_matches(v, '(?i)反作弊|访问异常|请求存在异常|access.?denied') then 'anti-spider' end as reason from (select page_id, title, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) as path, {_VISIBLE} as v from extracted_article)""",
+    "zhihu_blocked": f"""select page_id, case when a >= 100 then null when regexp_matches(title, '{BLOCKED["login"][0]}') or regexp_matches(path, '{BLOCKED["login"][1]}') or regexp_matches(v, '{BLOCKED["login"][2]}') then 'login'
+ when regexp_matches(title, '{BLOCKED["captcha"][0]}') or regexp_matches(path, '{BLOCKED["captcha"][1]}') or regexp_matches(v, '{BLOCKED["captcha"][2]}') then 'captcha'
+ when regexp_matches(v, '{BLOCKED["anti-spider"][2]}') then 'anti-spider' end as reason from (select page_id, title, length(trim(regexp_replace(regexp_extract(html, '(?is)<article\\b[^>]*>(.*?)</article>', 1), '<[^>]+>', '', 'g'))) as a, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) as path, {_VISIBLE} as v from extracted_article)""",
     "str_normalize_url": """select page_id, case when h = '' then '' when starts_with(h, '//') then 'https:' || h when regexp_matches(h, '(?i)^https?://') then h when starts_with(h, '/') then o || h else o || '/' || h end as url
 from (select page_id, regexp_extract(html, 'href="([^"]*)"', 1) as h, regexp_extract(baseUrl, '^(https?://[^/?#]+)', 1) as o from extracted_article)""",
     "str_truncate_hash": """select article_id, case when length(u) <= 40 then u else substr(u, 1, 40) || '... [truncated, hash: ' || substr(printf('%x', abs(h)), 1, 8) || ']' end as url
@@ -362,7 +390,7 @@ from (select article_id, canonicalUrl as u, list_reduce(list_prepend(cast(0 as b
     "str_callout": "select doc_id, regexp_replace(text, '^\\s+', '') as text from documents",
     "str_base64": "select article_id, to_base64(encode(title)) as encoded, title as decoded from article",
     "str_json_escape": r"""select article_id, replace(replace(replace(replace(replace(markdown, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t') as escaped from article""",
-    "str_excerpt": r"select doc_id, regexp_replace(trim(string_split(text, chr(10))[1]), '\s+', ' ', 'g') as excerpt from documents",
+    "str_excerpt": rf"select doc_id, n, regexp_replace(replace(excerpt, chr(160), ' '), '\s+', ' ', 'g') as excerpt from (select doc_id, n, trim(line, {_SPACES} || ' ' || chr(9) || chr(13) || chr(65279)) as excerpt from (select doc_id, cast(unnest(range(0, len(l))) as bigint) as n, unnest(l) as line from (select doc_id, string_split(text, chr(10)) as l from documents))) where excerpt <> ''",
     "str_body_offset": "select doc_id, cast(case when starts_with(text, '---') and p > 0 then p + 3 + 3 else 0 end as bigint) as \"offset\" from (select doc_id, text, strpos(substr(text, 4), chr(10) || '---') as p from documents)",
     "frontmatter_split": "select doc_id, case when starts_with(text, '---') and p > 0 then substr(text, p + 7) else text end as body from (select doc_id, text, strpos(substr(text, 4), chr(10) || '---') as p from documents)",
     "win_line_offset": "select doc_id, cast(len(string_split(b, chr(10))) as bigint) as line, cast(length(string_split(b, chr(10))[-1]) + 1 as bigint) as \"column\" from (select doc_id, substr(text, 1, strpos(text, '](') - 1) as b from documents where strpos(text, '](') > 0)",
@@ -375,7 +403,7 @@ from (select article_id, canonicalUrl as u, list_reduce(list_prepend(cast(0 as b
     "str_code_alias": _B + f"select id, n, {_ALIAS} as lang from (select id, n, lower(lang) as lang from c)",
     "str_code_trim": _B + r"select id, n, regexp_replace(regexp_replace(code, '\n{3,}', chr(10) || chr(10), 'g'), '\s+\z', '') as code from c",
     "md_fix_fences": _CODE_LANG + "select id, n, case when given = '' then lang else given end as lang, given = '' as fixed from d",
-    "win_mermaid_index": _B + "select id, n, lang, row_number() over (partition by id, lang order by n) - 1 as nth from (select id, n, lower(lang) as lang from c) where lang in ('mermaid', 'text')",
+    "win_mermaid_index": _B + "select id, n, lang, row_number() over (partition by id, lang order by n) - 1 as nth from (select id, n, lower(lang) as lang from c) where lang in ('mermaid', 'html', 'yaml')",
     "win_line_number": _B + "select id, n, cast(unnest(range(1, len(l) + 1)) as bigint) as line_no, unnest(l) as line from (select id, n, string_split(code, chr(10)) as l from c)",
     "filter_toc_depth": _H + "select * from x where depth between 2 and 3",
     "win_toc_parent": _H + "select a.id, a.pos, a.depth, max(b.pos) as parent from x a left join x b on a.id = b.id and b.pos < a.pos and b.depth < a.depth group by all",
@@ -385,11 +413,12 @@ from (select article_id, canonicalUrl as u, list_reduce(list_prepend(cast(0 as b
     "win_blank_streak": "select doc_id, n, line from (select doc_id, n, line, lag(line) over (partition by doc_id order by n) as b from (select doc_id, cast(unnest(range(0, len(l))) as bigint) as n, unnest(l) as line from (select doc_id, string_split(text, chr(10)) as l from documents))) where not (trim(line) = '' and trim(coalesce(b, 'x')) = '')",
     "filter_log_level": f"select log_id, ingested_at, level from log_entry where {_LEVEL} >= 2",
     "sensitive_key": "select log_id, ingested_at, key, regexp_matches(key || case when log_id % 2 = 0 then 'Token' else '' end, '(?i)" + "|".join(code.SENSITIVE) + "') as sensitive from (select log_id, ingested_at, unnest(map_keys(fields)) as key from log_entry where fields is not null)",
-    "str_redact_value": rf"select article_id, regexp_replace(regexp_replace(regexp_replace({_SECRET}, '(?i)([?&])(token|secret|password|auth|apikey|api_key|key)=([^&\s]+)', '\1\2=[REDACTED]', 'g'), '(?i)Bearer\s([\w\-.~+/=]{{6}})[\w\-.~+/=]+([\w\-.~+/=]{{4}})', 'Bearer \1...\2', 'g'), '([a-zA-Z0-9_-]+)=([^;,\s&=]{{6}})[^;,\s&=]+([^;,\s&=]{{4}})', '\1=\2...\3', 'g') as value from article",
+    "str_redact_value": rf"select article_id, regexp_replace(regexp_replace(regexp_replace({_SECRET}, '(?i)([?&])(token|secret|password|auth|apikey|api_key|key)=([^&\s]+)', '\1\2=[REDACTED]', 'g'), '(?i)Bearer\s+([\w\-.~+/=]{{6}})[\w\-.~+/=]+([\w\-.~+/=]{{4}})', 'Bearer \1...\2', 'g'), '([a-zA-Z0-9_-]+)=([^;,\s&=]{{6}})[^;,\s&=]+([^;,\s&=]{{4}})', '\1=\2...\3', 'g') as value from article",
     "str_fields_pretty": "select log_id, ingested_at, array_to_string(list_transform(map_entries(fields), lambda e: ' ' || e.key || '=' || coalesce(e.value, 'null')), '') as pretty from log_entry where fields is not null",
     "str_duration": "select log_id, ingested_at, case when durationMs < 1000 then durationMs || 'ms' when durationMs < 60000 then printf('%.2fs', durationMs / 1000.0) else printf('%.2fm', durationMs / 60000.0) end as label from log_entry where durationMs is not null",
     "str_to_boolean": "select log_id, ingested_at, case when status = 'ok' then true when status = 'partial' then false when lower(trim(status)) in ('1', 'true', 'yes', 'y', 'on') then true when lower(trim(status)) in ('0', 'false', 'no', 'n', 'off') then false end as flag from log_entry",
-    "agg_sync_counters": "select script, count(*) filter (event = 'sync.page') as pages, count(*) filter (event = 'image.skipped') as skipped from (select distinct on (log_id) * from log_entry) group by script",
+    "agg_sync_counters": """select *, case when errors > 0 then 'partial' else 'ok' end as status from (select runId, count(*) filter (event = 'sync.page') as total_pages, count(*) filter (event = 'sync.page' and status = 'ok') as processed,
+ count(*) filter (event = 'image.skipped') as skipped, count(*) filter (lower(level) = 'error') as errors from (select distinct on (log_id) * from log_entry) group by runId)""",
     "agg_img_counts": "select count(*) filter (event = 'image.saved') as succeeded, count(*) filter (event = 'image.skipped') as failed, count(*) filter (starts_with(event, 'image.')) as total from log_entry",
     "math_srcset_score": "select article_id, case when article_id % 3 = 0 then cast(article_id % 900 as double) when article_id % 3 = 1 then 1500.0 else -1.0 end as score from article",
     "sort_srcset": "select article_id, canonicalUrl || '/l' as url from article",

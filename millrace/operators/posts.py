@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -75,11 +78,9 @@ def pages(posts: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
 
 def pagination(current: Column, total: Column, window: int = 5) -> Column:
     """Page numbers and gaps (``ellipsis``) as an array of strings; null where the arguments are out of range."""
-    half = window // 2
-    start0, end0 = F.greatest(current - half, F.lit(1)), F.least(current + half, total)
-    short = (end0 - start0 + 1) < window
-    end = F.when(short & (start0 == 1), F.least(F.lit(window), total)).otherwise(end0)
-    start = F.when(short & (start0 != 1) & (end0 == total), F.greatest(total - window + 1, F.lit(1))).otherwise(start0)
+    # Half a window to either side of the current page, moved inside 1..total where that is less than a window.
+    start = F.greatest(F.lit(1), F.least(current - window // 2, total - F.lit(window) + 1))
+    end = F.least(total, F.greatest(current + window // 2, F.lit(window)))
     text = lambda a: F.transform(a, lambda x: x.cast("string"))
     gap, none = F.array(F.lit("ellipsis")), F.array().cast("array<string>")
     inner = F.filter(F.sequence(start, end), lambda i: (i > 1) & (i < total))
@@ -113,6 +114,24 @@ def last_update() -> Column:
     return F.coalesce("updatedAt", "updated", "lastmod")
 
 
+def menu_active(path: Column, href: Column, external: bool = False, columns_index: str = "/columns", columns: tuple[str, ...] = ("/small", "/quick")) -> Column:
+    """Whether a menu item is that of the page at ``path``: the start page itself; else a page or one below it; the index of columns also on a column's own routes."""
+    if external:
+        return F.lit(False)
+    closed = lambda c: F.when(c.endswith("/"), c).otherwise(F.concat(c, F.lit("/")))
+    here, item = closed(path), closed(href)
+    in_column = reduce(or_, (here.startswith(f"{c}/") for c in columns), F.lit(False))
+    return F.when(href == "/", here == "/").otherwise(here.startswith(item) | ((href == F.lit(columns_index)) & in_column))
+
+
+def _menu(posts: DataFrame) -> DataFrame:
+    """Which items of a menu are those of the pages of posts, of columns and of the start page."""
+    routes = F.array(F.concat(F.lit("/"), "slug", F.lit("/")), F.concat(F.lit("/columns/"), "slug"))
+    paths = posts.select(F.explode(routes).alias("path")).unionByName(posts.select(F.lit("/").alias("path")).distinct())
+    items = (("home", "/", False), ("section", "/small", False), ("columns", "/columns", False), ("outside", "https://small.example/", True))
+    return paths.select("path", *(menu_active(F.col("path"), F.lit(href), external).alias(name) for name, href, external in items))
+
+
 def _date_display(posts: DataFrame) -> DataFrame:
     day = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit(""))
     later = (last_update() > F.col("date")) & (F.to_date(last_update()) != F.to_date("date"))
@@ -140,12 +159,21 @@ def _page_items(posts: DataFrame) -> DataFrame:
     return pages(posts).select("page").distinct().select("page", F.array_join(pagination(F.col("page"), total), " ").alias("items"))
 
 
-def _captions(posts: DataFrame) -> DataFrame:
-    """Paragraphs of one image with the caption behind it."""
-    block = posts.select("slug", F.posexplode(F.split("body", "\n\n")).alias("n", "text"))
-    behind = F.lead("text").over(Window.partitionBy("slug").orderBy("n"))
-    image = F.trim("text").rlike(r"^!\[[^\]]*\]\([^)]+\)$")
-    return block.select("slug", F.col("n").cast("long").alias("block_no"), image.alias("image"), F.when(caption(behind), behind).alias("caption")).where("image").select("slug", "block_no", "caption")
+IMAGE = r"^!\[[^\]]*\]\([^)]+\)$"
+
+
+def image_captions(rows: DataFrame, id_column: str, body: str) -> DataFrame:
+    """(id, block_no, caption): the paragraphs that are one image, with the caption in the paragraph behind, else null."""
+    block = rows.select(id_column, F.posexplode(F.split(body, "\n\n")).alias("n", "text"))
+    behind = F.lead("text").over(Window.partitionBy(id_column).orderBy("n"))
+    return block.select(id_column, F.col("n").cast("long").alias("block_no"), F.trim("text").rlike(IMAGE).alias("image"), F.when(caption(behind), behind).alias("caption")).where("image").select(id_column, "block_no", "caption")
+
+
+def _captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The images of the articles; short paragraphs begin like a caption in every other article, as the tables have hardly any."""
+    article = read_table(spark, sf_dir, "article", "article_id", "markdown")
+    named = F.when(F.col("article_id") % 2 == 0, F.regexp_replace("markdown", r"\n\n([^\n#>!*`-][^\n]{0,99})(?=\n\n)", "\n\nFigure 1: $1")).otherwise(F.col("markdown"))
+    return image_captions(article.select("article_id", named.alias("markdown")), "article_id", "markdown")
 
 
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +207,7 @@ QUERIES = {
     "project_card": _query("slug", "title", "tags", "cover", "body")(lambda p: cards(p).withColumn("first_tags", F.array_join("first_tags", "|"))),
     "project_share": _query("slug", "title")(lambda p: p.select("slug", F.concat(F.lit("["), "title", F.lit("]("), post_url(F.col("slug"), F.lit("/")), F.lit(")")).alias("markdown"), F.concat("title", F.lit("\n"), post_url(F.col("slug"), F.lit("/"))).alias("plain"))),
     "project_posts_json": _query("slug", "title")(lambda p: p.select("slug", F.to_json(F.struct("slug", "title")).alias("json"))),
-    "menu_active": _query("slug")(lambda p: p.select("slug", F.concat(F.lit("/"), "slug", F.lit("/")).alias("path")).select("path", F.col("path").startswith("/1").alias("active"))),
+    "menu_active": _query("slug")(_menu),
     "date_updated": _query("slug", "updatedAt", "updated", "lastmod")(lambda p: p.select("slug", last_update().alias("updated"))),
     "date_format": _query("slug", "date", "lastmod")(lambda p: p.select("slug", F.date_format("date", "yyyy-MM-dd").alias("day"), F.coalesce(F.date_format("lastmod", "yyyy-MM-dd"), F.lit("")).alias("lastmod_day"))),
     "date_display": _query("slug", "date", "updatedAt", "updated", "lastmod")(_date_display),
@@ -191,7 +219,7 @@ QUERIES = {
     "delete_match_dirs": lambda s, d: read_table(s, d, "post", "slug", "id").where((F.col("slug") == "small") | F.col("slug").startswith("small-")).select("slug", "id").distinct(),
     "delete_resolve": lambda s, d: read_table(s, d, "post", "slug", "id").where(F.col("slug").isNotNull()).groupBy("slug").agg(F.count_distinct("id").alias("n_paths"), F.min("id").alias("path")).where(F.col("n_paths") == 1).select("slug", "path"),
     "delete_cover_path": lambda s, d: read_table(s, d, "post", "cover").where(F.col("cover").isNotNull()).select("cover", F.when(F.col("cover").rlike("^https?://") | F.col("cover").contains(".."), F.lit(None).cast("string")).otherwise(F.concat(F.lit("public/"), F.regexp_replace("cover", "^/+", ""))).alias("path")).distinct(),
-    "join_caption": _query("slug", "body")(_captions),
+    "join_caption": _captions,
 }
 
 P = """with p as (select * from (select *, row_number() over (partition by slug order by updated desc nulls last, id) as v from post
@@ -233,7 +261,8 @@ from (select slug, list_concat(coalesce(tags, []), ['gpu', 'imported']) as l fro
     "project_card": P + """select slug, title, coalesce(array_to_string(list_slice(tags, 1, 3), '|'), '') as first_tags, cast(greatest(len(coalesce(tags, [])) - 3, 0) as bigint) as more_tags, cover is not null as has_cover, words, case when words > 0 then greatest(1, cast(ceil(words / 450.0) as bigint)) else 0 end as minutes
 from (select *, cast(len(regexp_extract_all(b, '\\p{Han}')) + len(regexp_extract_all(b, '[A-Za-z0-9]+')) as bigint) as words from (select *, regexp_replace(coalesce(body, ''), '<[^>]+>', ' ', 'g') as b from p))""",
     "project_share": P + "select slug, '[' || title || '](/' || slug || '/)' as markdown, title || chr(10) || '/' || slug || '/' as plain from p",
-    "menu_active": P + "select '/' || slug || '/' as path, starts_with('/' || slug || '/', '/1') as active from p",
+    "menu_active": P + """select path, path = '/' as home, starts_with(c, '/small/') as section, starts_with(c, '/columns/') or starts_with(c, '/small/') or starts_with(c, '/quick/') as columns, false as outside
+ from (select path, case when ends_with(path, '/') then path else path || '/' end as c from (select '/' || slug || '/' as path from p union all select '/columns/' || slug from p union all select '/'))""",
     "date_updated": P + "select slug, coalesce(updatedAt, updated, lastmod) as updated from p",
     "date_format": P + "select slug, strftime(\"date\", '%Y-%m-%d') as day, coalesce(strftime(lastmod, '%Y-%m-%d'), '') as lastmod_day from p",
     "date_display": P + "select slug, strftime(\"date\", '%Y-%m-%d') as published_label, case when u > \"date\" and strftime(u, '%Y-%m-%d') <> strftime(\"date\", '%Y-%m-%d') then strftime(u, '%Y-%m-%d') else '' end as updated_label from (select *, coalesce(updatedAt, updated, lastmod) as u from p)",
@@ -244,7 +273,8 @@ from (select *, cast(len(regexp_extract_all(b, '\\p{Han}')) + len(regexp_extract
     "delete_match_dirs": "select distinct slug, id from post where slug = 'small' or starts_with(slug, 'small-')",
     "delete_resolve": "select slug, min(id) as path from post where slug is not null group by slug having count(distinct id) = 1",
     "delete_cover_path": "select distinct cover, case when regexp_matches(cover, '^https?://') or contains(cover, '..') then null else 'public/' || ltrim(cover, '/') end as path from post where cover is not null",
-    "join_caption": P + """select slug, cast(n as bigint) as block_no, case when length(nxt) <= 120 and not regexp_matches(nxt, '^[#\\-*>`]') and trim(nxt) <> '' and regexp_matches(trim(nxt), '(?i)^(figure\\s+\\d+|fig\\.\\s*\\d+|table\\s+\\d+|image\\s+\\d+|图\\s*\\d+|表\\s*\\d+|\\d+[:.：]\\s*)') then nxt end as caption
-from (select slug, n, txt, lead(txt) over (partition by slug order by n) as nxt from (select slug, unnest(range(0, len(b))) as n, unnest(b) as txt from (select slug, string_split(body, chr(10) || chr(10)) as b from p where body is not null)))
+    "join_caption": """select article_id, cast(n - 1 as bigint) as block_no, case when length(nxt) <= 120 and not regexp_matches(nxt, '^[#\\-*>`]') and trim(nxt) <> '' and regexp_matches(trim(nxt), '(?i)^(figure\\s+\\d+|fig\\.\\s*\\d+|table\\s+\\d+|image\\s+\\d+|图\\s*\\d+|表\\s*\\d+|\\d+[:.：]\\s*)') then nxt end as caption
+from (select article_id, n, txt, lead(txt) over (partition by article_id order by n) as nxt from (select article_id, n, case when article_id % 2 = 0 and n > 1 and n < size and regexp_matches(txt, '\\A[^\\n#>!*`-][^\\n]{0,99}\\z') then 'Figure 1: ' || txt else txt end as txt
+ from (select article_id, unnest(range(1, len(b) + 1)) as n, unnest(b) as txt, len(b) as size from (select article_id, string_split(markdown, chr(10) || chr(10)) as b from article where markdown is not null))))
 where regexp_matches(trim(txt), '^!\\[[^\\]]*\\]\\([^)]+\\)$')""",
 }

@@ -172,11 +172,23 @@ def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("slug", "title", "date", "updated", F.array_join("tags", "|").alias("tags"), "action")
 
 
+def existing_dates(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+    """``incoming`` (key, slug, source_id, source_date) with post_id and kept_date: that of the stored post of its slug, else of its id, else its source's.
+
+    ``stored`` has slug, source_id, post_id and date. A stored side with several rows for a slug or an id
+    counts with its first post and date, found by an aggregate before either join.
+    """
+    by = lambda c, name: stored.where(F.col(c).isNotNull()).groupBy(c).agg(F.min("post_id").alias(f"{name}_post"), F.min("date").alias(f"{name}_date"))
+    both = incoming.join(by("slug", "slug"), "slug", "left").join(by("source_id", "id"), "source_id", "left")
+    return both.select("key", "slug", F.coalesce("slug_post", "id_post").alias("post_id"), F.coalesce("slug_date", "id_date", "source_date").alias("kept_date"))
+
+
 def _join_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles with the stored post of their address's slug, and the date that is kept."""
-    posts = read_table(spark, sf_dir, "post", "slug", "id", "date").groupBy("slug").agg(F.min("id").alias("post_id"), F.min("date").alias("stored"))
-    article = read_table(spark, sf_dir, "article", "article_id", "canonicalUrl", "imported_at").withColumn("slug", F.regexp_extract("canonicalUrl", "([^/?#]+)(?:[?#].*)?$", 1))
-    return article.join(posts, "slug", "left").select("article_id", "slug", "post_id", F.coalesce("stored", "imported_at").alias("kept_date"))
+    """Articles with the stored post of their address's slug, or of their id in its file name, and the date that is kept."""
+    last = lambda c: F.regexp_extract(c, "([^/?#]+)(?:[?#].*)?$", 1)
+    posts = read_table(spark, sf_dir, "post", "slug", "id", "date", "source_url").select("slug", last("source_url").alias("source_id"), F.col("id").alias("post_id"), "date")
+    article = read_table(spark, sf_dir, "article", "article_id", "canonicalUrl", "imported_at").select(F.col("article_id").alias("key"), F.regexp_replace(last("canonicalUrl"), r"\.html?$", "").alias("slug"), last("canonicalUrl").alias("source_id"), F.col("imported_at").alias("source_date"))
+    return existing_dates(article, posts).withColumnRenamed("key", "article_id")
 
 
 def _slug_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,15 +223,45 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit status of tags as configuration keys: how they are used and what is wrong with them."""
-    tag = read_table(spark, sf_dir, "post", "id", "tags").select(F.explode("tags").alias("raw")).withColumn("key", F.lower(F.trim("raw"))).where(F.col("key") != "")
-    seen = tag.groupBy("key").agg(F.count("*").alias("n_uses"), F.count_distinct("raw").alias("n_forms"))
-    return seen.select("key", "n_uses", "n_forms", audit_status(F.col("n_uses"), F.col("n_forms") == 1, F.col("n_forms") - 1).alias("status"))
+    """Audit status of the articles' tags as configured keys, by how the posts use them.
+
+    A key is used by every post that has it in any form; a form other than the key's own is an issue.
+    """
+    cleaned = lambda c: F.lower(F.trim(c))
+    keys = read_table(spark, sf_dir, "article", "tags").select(F.explode("tags").alias("raw")).select(cleaned("raw").alias("key")).where(F.col("key") != "").distinct()
+    tag = read_table(spark, sf_dir, "post", "tags").select(F.explode("tags").alias("raw")).withColumn("key", cleaned("raw"))
+    seen = tag.groupBy("key").agg(F.count("*").alias("n_uses"), F.count_if(F.col("raw") == F.col("key")).alias("n_proper"))
+    joined = keys.join(seen, "key", "left").select("key", F.coalesce("n_uses", F.lit(0)).alias("n_uses"), F.coalesce("n_proper", F.lit(0)).alias("n_proper"))
+    return joined.select("key", "n_uses", "n_proper", audit_status(F.col("n_uses"), F.col("n_proper") == F.col("n_uses"), F.col("n_uses") - F.col("n_proper"), F.col("n_proper") > 0).alias("status"))
+
+
+def audit_status(uses: Column, proper: Column, issues: Column, read: Column) -> Column:
+    """UNUSED without uses, USED with proper ones only, SHADOWED with issues but also read as it is, else READ_ONLY."""
+    return F.when(uses == 0, "UNUSED").when(proper, "USED").when((issues > 0) & read, "SHADOWED").otherwise("READ_ONLY")
+
+
+def batch_outcomes(all_nodes: DataFrame) -> DataFrame:
+    """(batch_id, total, filled, cached): nodes of each batch, those with a value, and whether an earlier batch has the same content.
+
+    The first batch of equal content, by id, asks the translator; later ones are answered from the cache.
+    """
+    content = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node_id", "value"))), lambda n: F.concat(n["node_id"], F.lit(":"), n["value"])), "|"), 256)
+    one = all_nodes.groupBy("batch_id").agg(F.count("*").alias("total"), F.count_if(F.length("value") > 0).alias("filled"), content.alias("key"))
+    first = one.groupBy("key").agg(F.min("batch_id").alias("first"))
+    return one.join(first, "key").select("batch_id", "total", "filled", (F.col("batch_id") != F.col("first")).alias("cached"))
+
+
+def failed_nodes(all_nodes: DataFrame) -> DataFrame:
+    """(batch_id, node_id), each once: the nodes of the batches that failed."""
+    failed = batch_outcomes(all_nodes).where(F.col("filled") < F.col("total")).select("batch_id")
+    return all_nodes.join(failed, "batch_id", "left_semi").select("batch_id", "node_id").distinct()
 
 
-def audit_status(uses: Column, proper: Column, issues: Column) -> Column:
-    """UNUSED without uses, USED with a proper one, SHADOWED with issues, else READ_ONLY."""
-    return F.when(uses == 0, "UNUSED").when(proper, "USED").when(issues > 0, "SHADOWED").otherwise("READ_ONLY")
+def batch_counters(all_nodes: DataFrame) -> DataFrame:
+    """One row: batches, those that succeeded (every node has a value), failed, and came from the cache."""
+    whole = F.col("filled") == F.col("total")
+    out = batch_outcomes(all_nodes)
+    return out.agg(F.count("*").alias("total_batches"), F.count_if(whole).alias("success_batches"), F.count_if(~whole).alias("failed_batches"), F.count_if(whole & F.col("cached")).alias("cache_hits"))
 
 
 def _config_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,11 +284,11 @@ QUERIES = {
     "win_node_index": lambda s, d: _nodes(s, d).select("batch_id", "pos", F.concat(F.lit("node_"), F.col("pos").cast("string"), F.lit("_"), "kind").alias("node")),
     "win_greedy_batch": lambda s, d: batched(_batches(s, d)),
     "agg_batch_chars": lambda s, d: batched(_batches(s, d)).groupBy("batch_id", "part").agg(F.sum("size").alias("chars")),
-    "agg_batch_counters": lambda s, d: _nodes(s, d).groupBy("kind").agg(F.count("*").alias("total"), F.count_if(F.length("value") > 0).alias("filled")),
+    "agg_batch_counters": lambda s, d: batch_counters(_nodes(s, d)),
     "join_patch": lambda s, d: apply_patches(_nodes(s, d), _even(_nodes(s, d))).select("batch_id", "node_id", "value"),
     "join_patch_fallback": lambda s, d: with_fallback(_nodes(s, d), _even(_nodes(s, d))),
     "set_merge_patches": lambda s, d: patches(_batches(s, d).where("seq % 2 = 0"), "mock").unionByName(patches(_batches(s, d).where("seq % 2 = 1"), "identity")),
-    "set_unique_nodeids": lambda s, d: _nodes(s, d).where(F.col("value") == "").select("node_id").distinct(),
+    "set_unique_nodeids": lambda s, d: failed_nodes(_nodes(s, d)),
     "udf_translate_mock": lambda s, d: patches(_batches(s, d), "mock").select("batch_id", "node_id", "value"),
     "udf_translate_identity": lambda s, d: patches(_batches(s, d), "identity").select("batch_id", "node_id", "value"),
     "str_cache_key": lambda s, d: _batches(s, d).select("batch_id", cache_key(F.col("nodes"), "model-1").alias("key")),
@@ -261,12 +303,15 @@ QUERIES = {
 _NODES = """with n as (select batch_id, cast(unnest(range(0, len(nodes))) as bigint) as pos, unnest(nodes) as node from translation_batch where nodes is not null),
 v as (select batch_id, pos, node.nodeId as node_id, node.kind as kind, coalesce(node.text, node.latex, '') as value from n)
 """
-_VERSIONS = """with w as (select slug, title, "date", updated, tags, row_number() over (partition by slug order by updated nulls first, id) as n from post where slug is not null),
-c as (select * from w where n = 1), i as (select * from w where n = 2)
+_VERSIONS = """with recursive w as (select slug, title, "date", updated, coalesce(tags, []) as tags, tags as raw, row_number() over (partition by slug order by updated nulls first, id) as n from post where slug is not null),
+m as (select slug, title, "date", updated, raw as tags, n, 'kept' as action from w where n = 1
+ union all select m.slug, case when w.updated is distinct from m.updated then w.title else m.title end, coalesce(m."date", w."date"), w.updated,
+  case when w.updated is distinct from m.updated then list_concat(coalesce(m.tags, []), w.tags) else m.tags end, w.n, case when w.updated is distinct from m.updated or m.action = 'replaced' then 'replaced' else 'unchanged' end from m join w on w.slug = m.slug and w.n = m.n + 1)
 """
 _UNION = "list_transform(list_filter(list_zip(l, range(1, len(l) + 1)), lambda z: list_position(l, z[1]) = z[2]), lambda z: z[1])"
-_AUDITED = """with t as (select lower(trim(raw)) as key, raw from (select unnest(tags) as raw from post) where lower(trim(raw)) <> ''),
-a as (select key, count(*) as n_uses, count(distinct raw) as n_forms from t group by key), s as (select key, n_uses, n_forms, case when n_forms = 1 then 'USED' else 'SHADOWED' end as status from a)
+_AUDITED = """with k as (select distinct lower(trim(raw)) as key from (select unnest(tags) as raw from article) where lower(trim(raw)) <> ''),
+a as (select lower(trim(raw)) as key, count(*) as n_uses, count(*) filter (raw = lower(trim(raw))) as n_proper from (select unnest(tags) as raw from post) group by 1),
+s as (select k.key, coalesce(n_uses, 0) as n_uses, coalesce(n_proper, 0) as n_proper, case when n_uses is null then 'UNUSED' when n_uses = n_proper then 'USED' when n_proper > 0 then 'SHADOWED' else 'READ_ONLY' end as status from k left join a on a.key = k.key)
 """
 _BATCHES = """with recursive n as (select batch_id, cast(unnest(range(0, len(nodes))) as bigint) as pos, cast(unnest(list_transform(nodes, lambda x: length(coalesce(x.text, x.latex, '')))) as bigint) as size from translation_batch where len(nodes) > 0),
 r as (select batch_id, pos, size, cast(0 as bigint) as part, size as used from n where pos = 0
@@ -279,16 +324,16 @@ ORACLE = {
     "math_valid": _NODES + f"""select batch_id, node_id, case when contains(value, '$$') then 'Contains $$ delimiter' when contains(value, '$') then 'Contains $ delimiter' when contains(value, '\\[') or contains(value, '\\]') then 'Contains \\[ or \\] delimiter' when regexp_matches(value, '<[^>]+>') then 'Contains HTML tags'
  when {_COUNT('{')} <> {_COUNT('}')} then 'Unbalanced braces: ' || ({_COUNT('{')} - {_COUNT('}')}) when {_COUNT('[')} <> {_COUNT(']')} then 'Unbalanced square brackets: ' || ({_COUNT('[')} - {_COUNT(']')}) when {_COUNT('(')} <> {_COUNT(')')} then 'Unbalanced parentheses: ' || ({_COUNT('(')} - {_COUNT(')')}) end as problem
 from (select *, regexp_replace(value, '\\\\.', '', 'g') as b from v) where kind = 'math'""",
-    "incremental_upsert": _VERSIONS + f"""select slug, title, "date", updated, array_to_string(tags, '|') as tags, action from (
- select c.slug, case when i.slug is not null and c.updated is distinct from i.updated then i.title else c.title end as title, coalesce(c."date", i."date") as "date", case when i.slug is not null then i.updated else c.updated end as updated,
- case when i.slug is null or c.updated is not distinct from i.updated then c.tags else (select {_UNION} from (select list_concat(coalesce(c.tags, []), coalesce(i.tags, [])) as l)) end as tags,
- case when i.slug is null then 'kept' when c.updated is not distinct from i.updated then 'unchanged' else 'replaced' end as action from c left join i on c.slug = i.slug)""",
-    "join_existing": """with p as (select slug, min(id) as post_id, min("date") as stored from post group by slug), a as (select article_id, imported_at, regexp_extract(canonicalUrl, '([^/?#]+)(?:[?#].*)?$', 1) as slug from article)
-select article_id, a.slug, post_id, coalesce(stored, imported_at) as kept_date from a left join p on a.slug = p.slug""",
+    "incremental_upsert": _VERSIONS + f"""select slug, title, "date", updated, case when action = 'replaced' then (select array_to_string({_UNION}, '|') from (select tags as l)) else array_to_string(tags, '|') end as tags, action
+ from (select *, max(n) over (partition by slug) as top from m) where n = top""",
+    "join_existing": """with p as (select slug, min(id) as post_id, min("date") as stored from post where slug is not null group by slug),
+ q as (select regexp_extract(source_url, '([^/?#]+)(?:[?#].*)?$', 1) as source_id, min(id) as post_id, min("date") as stored from post where source_url is not null group by 1),
+ a as (select article_id, imported_at, regexp_extract(canonicalUrl, '([^/?#]+)(?:[?#].*)?$', 1) as source_id from article), b as (select *, regexp_replace(source_id, '\\.html?$', '') as slug from a)
+select article_id, b.slug, coalesce(p.post_id, q.post_id) as post_id, coalesce(p.stored, q.stored, imported_at) as kept_date from b left join p on b.slug = p.slug left join q on b.source_id = q.source_id""",
     "agg_slug_owner": "select slug, coalesce(notion.id, 'import:' || source_url, 'file:' || id) as owner from (select *, row_number() over (partition by slug order by id, updated nulls first) as n from post where slug is not null) where n = 1",
     "join_image_map": "select article_id, url, min(pos) as pos, max(lp) as local_path from (select article_id, cast(unnest(range(0, len(images))) as bigint) as pos, unnest(images).url as url, unnest(images).localPath as lp from article) where url is not null group by article_id, url",
     "log_spans": """with l as (select distinct on (log_id) log_id, try_cast(ts as timestamptz) as moment, runId, event from log_entry), f as (select * from l where moment is not null and runId is not null and event in ('fetch.start', 'fetch.done')),
-s as (select *, last_value(case when event = 'fetch.start' then moment end ignore nulls) over (partition by runId, date_trunc('hour', moment) order by moment, log_id rows between unbounded preceding and 1 preceding) as started from f)
+s as (select *, last_value(case when event = 'fetch.start' then moment end ignore nulls) over (partition by runId order by moment, log_id rows between unbounded preceding and 1 preceding) as started from f)
 select log_id, cast(trunc((epoch_us(moment) - epoch_us(started)) / 1000.0) as bigint) as span_ms from s where event = 'fetch.done' and started is not null""",
     "audit_status": _AUDITED + "select * from s",
     "agg_audit_summary": _AUDITED + "select status, count(*) as n from s group by status",
@@ -296,11 +341,13 @@ select log_id, cast(trunc((epoch_us(moment) - epoch_us(started)) / 1000.0) as bi
 select k.key, script, count(*) as n from w join k on k.key = w.key group by all""",
     "join_column": "select article_id, tz from article join site using (site)",
     "win_node_index": _NODES + "select batch_id, pos, 'node_' || pos || '_' || kind as node from v",
-    "agg_batch_counters": _NODES + "select kind, count(*) as total, count(*) filter (length(value) > 0) as filled from v group by kind",
+    "agg_batch_counters": _NODES + """, o as (select batch_id, bool_and(length(value) > 0) as whole, string_agg(node_id || ':' || value, '|' order by pos) as content from v group by batch_id),
+ c as (select *, batch_id <> min(batch_id) over (partition by content) as cached from o)
+ select count(*) as total_batches, count(*) filter (whole) as success_batches, count(*) filter (not whole) as failed_batches, count(*) filter (whole and cached) as cache_hits from c""",
     "join_patch": _NODES + "select batch_id, node_id, case when pos % 2 = 0 then '[ZH] ' || value else value end as value from v",
     "join_patch_fallback": _NODES + "select batch_id, node_id, kind, case when pos % 2 = 0 then '[ZH] ' || value else value end as value, case when pos % 2 = 0 then 'high' when kind = 'math' then 'low' end as confidence from v",
     "set_merge_patches": "with n as (select batch_id, seq, unnest(nodes) as node from translation_batch) select batch_id, node.nodeId as node_id, node.kind as kind, case when seq % 2 = 1 then case when node.kind = 'math' then node.latex else node.text end when node.kind = 'math' then regexp_replace(node.latex, '\\$+', '', 'g') else '[ZH] ' || node.text end as value, coalesce(node.confidence, 'low') as confidence from n where seq is not null",
-    "set_unique_nodeids": _NODES + "select distinct node_id from v where value = ''",
+    "set_unique_nodeids": _NODES + "select distinct v.batch_id, v.node_id from v join (select batch_id from v group by batch_id having not bool_and(length(value) > 0)) f on f.batch_id = v.batch_id",
     "udf_translate_mock": _NODES + "select batch_id, node.nodeId as node_id, case when node.kind = 'math' then regexp_replace(node.latex, '\\$+', '', 'g') else '[ZH] ' || node.text end as value from n",
     "udf_translate_identity": _NODES + "select batch_id, node.nodeId as node_id, case when node.kind = 'math' then node.latex else node.text end as value from n",
     "str_cache_key": "select batch_id, sha256(array_to_string(list_transform(nodes, lambda n: n.nodeId || ':' || coalesce(n.text, n.latex, '')), '|') || 'model-1') as key from translation_batch",
