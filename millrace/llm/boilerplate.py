@@ -34,6 +34,8 @@ from millrace.sources import read_table
 
 #: Bound on the labelled pages that the model is fitted on.
 LABELLED_PAGES = 1500
+#: About how many of the pages name their article, at the least.
+NAMED_SHARE = 0.25
 #: Bound on its features.
 MAX_FEATURES = 30_000
 #: Ridge on its weights: labels are few for rare words.
@@ -279,8 +281,8 @@ def fit(pages: list[str], seed: int = 7, rounds: int = 120) -> Model:
 def train(df: DataFrame, html: str, bound: int = LABELLED_PAGES) -> Model:
     """Fit on at most ``bound`` pages whose markup names the article, those of least hash."""
     named = "|".join(("<main\\b", *sorted(ARTICLE_NAMES)))
-    sample = df.select(F.col(html).alias("html")).where(F.col("html").rlike(f"(?i){named}"))
-    return fit([r["html"] for r in least_hashes(sample, F.col("html"), bound)])
+    found = least_hashes(df.select(F.col(html).alias("html")), F.col("html"), bound, F.col("html").rlike(f"(?i){named}"), NAMED_SHARE)
+    return fit([r["html"] for r in found])
 
 
 def main_blocks(df: DataFrame, id_column: str, html: str, model: Model | None = None) -> DataFrame:

@@ -38,7 +38,7 @@ def page_residue(html: str, model: boilerplate.Model) -> str | None:
     p = boilerplate.page(html)
     if not p.blocks:
         return None
-    apply = transducer().apply
+    apply = transducer().form
     if has_placeholder("\n\n".join(apply(b.plain) for b in p.blocks)):
         return "placeholder"
     chosen = boilerplate.body(p, model)
@@ -54,7 +54,7 @@ def page_residue(html: str, model: boilerplate.Model) -> str | None:
 
 def _covered(found: list[Block]) -> str | None:
     """Kind of the phrases that cover ``found``; a title above them isn't content."""
-    texts = [transducer().apply(b.plain.strip()) for b in found]
+    texts = [transducer().form(b.plain.strip()) for b in found]
     shares = coverage("\n\n".join(texts))
     if shares and sum(shares.values()) < COVERAGE:
         prose = [t for b, t in zip(found, texts, strict=True) if b.name not in HEADINGS]

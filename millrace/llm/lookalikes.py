@@ -135,6 +135,7 @@ class Transducer(dict):
         followers = {c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M"}
         followers |= {c for c, out in self.mapping.items() if not out} | set(FOLLOWERS)
         self.pattern = re.compile(rf"[{_classes(starts | followers)}][{_classes(followers)}]*")
+        self.single = frozenset(c for c in starts | followers if self.mapping.get(c, c) != c)
         # For readers of letters and digits alone, signs and spaces needn't be mapped.
         self.lettered = frozenset(c for c in starts | followers if c in self.mapping and (not self.mapping[c] or any(o.isalnum() or o in "\u3099\u309a" for o in self.mapping[c])))
 
@@ -155,6 +156,14 @@ class Transducer(dict):
             text = text.replace(c, self.mapping[c])
         return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
 
+    def form(self, text: str) -> str:
+        """The same as ``apply``, for texts with few different characters to change: they are replaced one after another."""
+        if text.isascii():
+            return text
+        for c in self.single.intersection(text):
+            text = text.replace(c, self.mapping[c])
+        return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+
     def apply(self, text: str) -> str:
         if text.isascii():
             return text

@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import pandas as pd
@@ -199,10 +200,11 @@ reemplace este texto
 サンプルテキスト
 """,
 }
-#: Sentence patterns by kind and language: (a|b|) is a choice, the empty one leaves the part out.
+#: Sentence patterns by kind and language: (a|b|) is a choice, the empty one leaves the part out; ~ divides
+#: a sentence into phrases that are found each by itself.
 PATTERNS = {
     "error": """
-(sorry, |we're sorry, |we are sorry, |oops! |)(but |)(the|this|that) (page|site|article|post|content|document|file|resource|address|url|link|item) (you requested|you are looking for|you're looking for|you were looking for|you asked for|you tried to open|requested|) (could not be found|couldn't be found|cannot be found|can't be found|was not found|is not found|does not exist|doesn't exist|no longer exists|does not exist anymore|is not available|isn't available|is no longer available|is unavailable|is temporarily unavailable|is currently unavailable|has been removed|has been deleted|has been moved|has moved|may have been removed|may have been deleted|may have been moved|may have moved|might have been removed|might have been deleted|might have been moved)
+(sorry, but|we're sorry, but|we are sorry, but|oops! sorry) ~ (the|this|that) (page|site|article|post|content|document|file|resource|address|url|link|item) (you requested|you are looking for|you're looking for|you were looking for|you asked for|you tried to open|requested|) ~ (could not be found|couldn't be found|cannot be found|can't be found|was not found|is not found|does not exist|doesn't exist|no longer exists|does not exist anymore|is not available|isn't available|is no longer available|is unavailable|is temporarily unavailable|is currently unavailable|has been removed|has been deleted|has been moved|has moved|may have been removed|may have been deleted|may have been moved|may have moved|might have been removed|might have been deleted|might have been moved)
 (page|file|document|article|resource) (not found|unavailable|no longer available|does not exist)
 (has been|was|may have been|might have been|had its name|is) (removed|deleted|moved|renamed|changed|temporarily unavailable|no longer available)
 (it looks like |) nothing (was found|could be found) (at this location|here)
@@ -236,8 +238,8 @@ une erreur (inattendue |) (est survenue|s'est produite)
 (por favor, |) (inténtalo|inténtelo|intente|intenta|vuelve a intentarlo|vuelva a intentarlo) (de nuevo |otra vez |) (más tarde|en unos minutos|)
 volver (al inicio|a la página de inicio|a la portada)
 (este|el) (contenido|artículo) (ya no está disponible|ya no existe|ha sido eliminado|fue eliminado)
-(对不起,|抱歉,|很抱歉,|) (您|你|) (要找的|访问的|请求的|查看的|要访问的|所访问的|) (页面|网页|内容|文章|链接) (不存在|找不到了|找不到|无法找到|已被删除|已被移除|已删除|已失效|已不存在|无法访问) (或已被移除|或已被删除|或已移动|)
-(该|此|本) (内容|文章|页面|帖子|网页) (已被|已经被|已|) (作者|发布者|管理员|) (删除|移除|下架|屏蔽|隐藏)
+(对不起,|抱歉,|很抱歉,|) (您|你|) (要找的|访问的|请求的|查看的|要访问的|所访问的|) (页面|网页|内容|文章|链接) ~ (不存在|找不到了|找不到|无法找到|已被删除|已被移除|已删除|已失效|已不存在|无法访问) (或已被移除|或已被删除|或已移动|)
+(该|此|本) (内容|文章|页面|帖子|网页) ~ (已被|已经被|已|) (作者|发布者|管理员|) (删除|移除|下架|屏蔽|隐藏)
 (网络|服务器|系统|页面|) (出错了|发生错误|出现错误|开小差了|异常|繁忙)
 (请|) (稍后|稍候) (重试|再试|再试一次|访问)
 (返回|回到) (首页|主页|上一页)
@@ -292,7 +294,7 @@ url (を|が) (ご確認ください|間違っている可能性があります|
 (アクセスが拒否されました|アクセス権限がありません|閲覧権限がありません)
 """,
     "barrier": """
-(you must|you need to|you have to|please) (be logged in|be signed in|log in|login|sign in|subscribe|register) to (view|read|see|access|continue|continue reading|go on reading) (this|the|) (content|article|page|full article|full text|)
+(you must|you need to|you have to|please) (be logged in|be signed in|log in|login|sign in|subscribe|register) to (view|read|see|access|continue|continue reading|go on reading) ~ (this|the|) (content|article|page|full article|full text|)
 (please |) (complete|pass|solve) the (security check|captcha|verification) to (continue|proceed|access this site|access this page)
 (attention required|security check|just a moment)
 (please |) (confirm|prove|verify) (that |) you are (a human|human|not a robot)
@@ -320,7 +322,7 @@ are you a (robot|human|bot)
 """,
     "script": """
 (please |) (turn|switch) (javascript|scripts) on (in your browser|) (and|, then) (reload|refresh) (the page|this page|)
-(please |) (enable|activate|allow|turn on|switch on) (javascript|scripts|it|javascript and cookies) (in your browser|in your browser settings|) (to use this site|to view this page|to view this site|to continue|to proceed|to use this app|and reload the page|and reload|and try again|)
+(please |) (enable|activate|allow|turn on|switch on) (javascript|scripts|it|javascript and cookies) (in your browser|in your browser settings|) ~ (to use this site|to view this page|to view this site|to continue|to proceed|to use this app|and reload the page|and reload|and try again|)
 (your browser does not support|your browser doesn't support|this browser does not support) (javascript|scripts) (or it is disabled|or it has been disabled|)
 (this page|this site|this website|this app|this application|our site) (requires|needs|works best with|relies on|depends on) (javascript|scripts) (to work|to function|to run|to be enabled|enabled|)
 (javascript|scripting) (is|has been|must be|needs to be|seems to be|appears to be) (disabled|enabled|turned off|switched off|turned on|required|blocked) (in your browser|to view this page|to use this site|)
@@ -431,7 +433,7 @@ def phrases() -> Iterator[tuple[str, str]]:
             yield kind, phrase
     for kind, lines in PATTERNS.items():
         for pattern in filter(None, lines.split("\n")):
-            for phrase in expanded(pattern):
+            for phrase in chain.from_iterable(map(expanded, pattern.split("~"))):
                 if len(phrase) >= (4 if _BESIDE_WIDE.search(phrase) else 9):  # shorter ones are words of any text
                     yield kind, phrase
 
@@ -571,7 +573,7 @@ def coverage(form: str) -> dict[str, float]:
 
 def is_notice(text: str) -> bool:
     """Error page, barrier or script-required notice in place of content."""
-    shares = coverage(transducer().apply(text))
+    shares = coverage(transducer().form(text))
     return sum(shares.get(k, 0.0) for k in ("error", "barrier", "script")) >= COVERAGE
 
 
@@ -584,7 +586,7 @@ def residue_kind(text: str | None) -> str | None:
     """placeholder, error, barrier, script or filler, or None; ``text`` holds no code any more."""
     if not text:
         return None
-    form = transducer().apply(text)
+    form = transducer().form(text)
     if has_placeholder(form):
         return "placeholder"
     shares = coverage(form)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.sources import read_table
 
 #: Files that a sample is taken from, those of least hash: a sample doesn't read a whole table.
-FILES = 16
+FILES = 4
 
 
 def sample_files(spark: SparkSession, sf_dir: str, table: str, *columns: str, files: int = FILES) -> DataFrame:
@@ -20,13 +20,14 @@ def sample_files(spark: SparkSession, sf_dir: str, table: str, *columns: str, fi
     return df if len(names) <= files else spark.read.schema(df.schema).parquet(*names[:files])
 
 
-def least_hashes(df: DataFrame, key: Column, bound: int) -> list[Row]:
-    """At most ``bound`` rows of ``df``, those whose key has the least hash; only about so many reach the driver."""
-    h = F.xxhash64(key)
-    n = df.count()
-    if n > bound:
-        # A little more than the share that is wanted, so that hardly ever too few pass.
-        share = min(1.0, 1.2 * bound / n + 100 / n)
-        df = df.where(h <= F.lit(int(-(2**63) + share * (2**64 - 1))))
-    rows = df.withColumn("__hash", h).collect()
-    return sorted(rows, key=lambda r: r["__hash"])[:bound]
+def least_hashes(df: DataFrame, key: Column, bound: int, wanted: Column | None = None, share: float = 1.0) -> list[Row]:
+    """At most ``bound`` rows of ``df`` that are ``wanted``, those whose key has the least hash; only about so many reach the driver.
+
+    ``share`` is about how many of the rows are wanted: with fewer than that, fewer than ``bound`` rows come.
+    The condition is tested on the rows of least hash only, so counting needs no column of the table.
+    """
+    h, n = F.xxhash64(key), df.count()
+    part = min(1.0, (1.2 * bound / n + 100 / n) / share) if n else 1.0
+    if part < 1.0:
+        df = df.where(h <= F.lit(int(-(2**63) + part * (2**64 - 1))))
+    return (df if wanted is None else df.where(wanted)).withColumn("__hash", h).orderBy("__hash").limit(bound).collect()

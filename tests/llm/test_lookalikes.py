@@ -40,6 +40,12 @@ def test_letters_agree(text):
     assert keep(transducer().letters_of(text)) == keep(canonical(text))
 
 
+@settings(max_examples=1000, deadline=None)
+@given(st.text(max_size=30) | st.text(alphabet="aéeе\u0301\u0327\u200bﾊﾟﾞ가각\u1100\u1161\u11a8　，ſﬁ⼀", max_size=12))
+def test_both_ways_give_one_form(text):
+    assert transducer().form(text) == transducer().apply(text)
+
+
 def test_conflicts():
     assert merge([("a", "b"), ("a", "b")]) == {"a": "b"}
     with pytest.raises(Conflict):
