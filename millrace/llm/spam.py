@@ -43,12 +43,16 @@ _TAG = re.compile(r"(?<![\w&/])#[^\s#.,;|]{2,}")
 _PARTS = re.compile(r"[^\s|,/;·•、，][^|,/;·•、，]{0,40}[|,/;·•、，]")
 _LETTERS = re.compile(r"[^\W\d_]")
 _SPACELESS = re.compile("[぀-ヿ㐀-鿿]")
+_RUNS_ON = re.compile("[぀-\U0010ffff]")
 
 
 def _units(text: str) -> list[str]:
     """Words, and pairs of letters of runs without spaces; numbers are one word."""
+    words = _WORD.findall(text)
+    if text.isascii() or not _RUNS_ON.search(text):
+        return ["0" if w[0].isdigit() else w for w in words]
     out = []
-    for w in _WORD.findall(text):
+    for w in words:
         if w[0].isdigit():
             out.append("0")
         elif w[0] >= "぀" and len(w) > 1:
@@ -58,13 +62,18 @@ def _units(text: str) -> list[str]:
     return out
 
 
-def repeats_itself(sentence: str) -> bool:
-    """A sentence that only repeats a phrase: repeated pairs of words cover a third of it or more, or a word a quarter."""
+def repeats_itself(sentence: str, spaced: bool = False) -> bool:
+    """A sentence that only repeats a phrase: repeated pairs of words cover a third of it or more, or a word a quarter.
+
+    ``spaced`` says that it has no letters of scripts without spaces.
+    """
     words = _WORD.findall(sentence)
     n = len(words)
+    if spaced and (n < 5 or n - len(set(words)) < 2):
+        return False
     if sum(map(len, words)) < 6:
         return False
-    if _SPACELESS.search(sentence):  # phrases are runs of letters
+    if not spaced and _SPACELESS.search(sentence):  # phrases are runs of letters
         run = "".join(words)
         grams = [run[i : i + 4] for i in range(len(run) - 3)]
         once = len(set(grams))
@@ -102,6 +111,7 @@ def spam_share(text: str | None) -> float:
     if "```" in text or "~~~" in text or "$$" in text:
         body = _CODE.sub("", text)
         total += len("".join(text.split())) - len("".join(body.split()))
+    spaced = body.isascii() or not _SPACELESS.search(body)
     for line in body.lower().split("\n"):
         line = line.strip()
         if not line:
@@ -119,7 +129,7 @@ def spam_share(text: str | None) -> float:
             bare = rest
         size = len(bare)
         total += size
-        tags = _TAG.findall(bare)
+        tags = _TAG.findall(bare) if "#" in bare else None
         if tags and 2 * sum(map(len, tags)) > size:
             bad += size
             continue
@@ -127,7 +137,7 @@ def spam_share(text: str | None) -> float:
             sentence = piece.strip()
             if not sentence:
                 continue
-            if repeats_itself(sentence):
+            if repeats_itself(sentence, spaced):
                 bad += len(sentence)
             elif not _ended(sentence):
                 fragments.append((_units(sentence), len(sentence), sentence[-1] in "|,/·" or len(_PARTS.findall(sentence)) > 2))
