@@ -10,22 +10,29 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.dom import AnyOf, Element, parse, select
+from millrace.functions.dom import AnyOf, Element, matcher, parse, select
 from millrace.plans.parallel import spread
 from millrace.sources import read_table
 
 LEAST_TEXT = 100
 # What may be a page's article, and what is noise inside it.
-MAIN = ("article", "main", "[data-article]", ".article", ".article-body", ".post", ".post-content", ".blog-post", ".markdown", ".mdx", ".prose", ".content", ".entry-content")
+MAIN = ("article", "main article", "main", "[data-article]", ".article", ".article-body", ".post", ".post-content", ".blog-post", ".markdown", ".mdx", ".prose", ".content", ".entry-content")
 NOISE = (
     "nav footer aside .toc #toc .table-of-contents .TableOfContents .toc-container .TableOfContents__root .breadcrumb .breadcrumbs .comment .comments #comments "
     '[data-component="comments"] .related .related-posts .post-navigation .next-post .prev-post .subscribe .newsletter .cookie .cookie-banner .share .social .ad .ads .advert .promo'
 ).split()
 ZHIHU = (".Post-RichText", ".RichText", "article", ".ztext", '[data-za-detail-view-element_name="Article"]', ".Post-Main .RichContent")
 WECHAT = ("#js_content", ".rich_media_content")
+ZHIHU_TITLE, ZHIHU_AUTHOR = ("h1.Post-Title", "h1.RichText-Title", ".Post-Title", "article h1"), (".AuthorInfo-name", ".ContentItem-author .UserLink-link", ".UserLink-link", '[rel="author"]')
+META_TITLE, META_AUTHOR = ('meta[property="og:title"]', 'meta[name="title"]'), ('meta[name="author"]', 'meta[property="article:author"]')
+META_DATE = ('meta[property="article:published_time"]', 'meta[name="publish_date"]', 'meta[name="date"]')
+META_UPDATED, TIME_UPDATED = ('meta[property="article:modified_time"]', 'meta[name="lastmod"]'), ('time[datetime][itemprop="dateModified"]',)
+PAGE_TITLE, PAGE_AUTHOR = ("main h1", "article h1", "h1"), ('[rel="author"]', ".author", ".post-author", ".byline")
 UNSEEN = ("script", "style", "noscript", "template")
 LAZY = ("data-src", "data-original", "data-backup-src", "data-actualsrc", "src", "data-actual-url")
-_IS_MAIN, _IS_DIV = AnyOf(MAIN), AnyOf(("div",))
+#: An article below main is an article, so it needs no test of its own.
+_SIMPLE = tuple(x for x in MAIN if " " not in x)
+_IS_MAIN, _IS_DIV, _MATCHERS = AnyOf(_SIMPLE), AnyOf(("div",)), tuple(map(matcher, _SIMPLE))
 FIELDS = ("title", "author", "published", "updated", "html", "base_url", "source_title")
 
 
@@ -55,14 +62,19 @@ def first_attribute(root: Element, selectors: tuple[str, ...], name: str) -> str
 
 
 def main_element(root: Element) -> Element | None:
-    """The longest text of the usual places, at least LEAST_TEXT long; else of any div; the first of equals."""
-    for test in (_IS_MAIN, _IS_DIV):
+    """The longest text of the usual places, at least LEAST_TEXT long; else of any div.
+
+    Places are tried in their order, and the first of equals is kept.
+    """
+    for test, places in ((_IS_MAIN, _MATCHERS), (_IS_DIV, ())):
+        found = [e for e in root.walk() if test(e)]
+        # The order of places first, that of the document second; sorting keeps the latter.
+        found.sort(key=lambda e: next((i for i, m in enumerate(places) if m(e)), 0))
         best, most = None, 0
-        for e in root.walk():
-            if test(e):
-                n = len(e.text().strip())
-                if n >= LEAST_TEXT and n > most:
-                    best, most = e, n
+        for e in found:
+            n = len(e.text().strip())
+            if n >= LEAST_TEXT and n > most:
+                best, most = e, n
         if best is not None:
             return best
     return None
@@ -72,10 +84,10 @@ def generic(html: str, url: str) -> tuple:
     root = parse(html)
     drop(root, UNSEEN)
     parts = urlsplit(url)
-    title = first_text(root, ("main h1", "article h1", "h1")) or first_attribute(root, ('meta[property="og:title"]', 'meta[name="title"]'), "content") or first_text(root, ("title",)) or parts.hostname
-    author = first_attribute(root, ('meta[name="author"]', 'meta[property="article:author"]'), "content") or first_text(root, ('[rel="author"]', ".author", ".post-author", ".byline"))
-    published = first_attribute(root, ('meta[property="article:published_time"]', 'meta[name="publish_date"]', 'meta[name="date"]'), "content") or first_attribute(root, ("time[datetime]",), "datetime")
-    updated = first_attribute(root, ('meta[property="article:modified_time"]', 'meta[name="lastmod"]'), "content") or first_attribute(root, ('time[datetime][itemprop="dateModified"]',), "datetime")
+    title = first_text(root, PAGE_TITLE) or first_attribute(root, META_TITLE, "content") or first_text(root, ("title",)) or parts.hostname
+    author = first_attribute(root, META_AUTHOR, "content") or first_text(root, PAGE_AUTHOR)
+    published = first_attribute(root, META_DATE, "content") or first_attribute(root, ("time[datetime]",), "datetime")
+    updated = first_attribute(root, META_UPDATED, "content") or first_attribute(root, TIME_UPDATED, "datetime")
     main = main_element(root) or next(select(root, "body"), root)
     drop(main, NOISE)
     return title, author, published, updated, main.inner(), f"{parts.scheme}://{parts.netloc}", parts.hostname
@@ -108,15 +120,31 @@ def _by_selectors(html: str, selectors: tuple[str, ...]) -> str | None:
 
 
 def zhihu(html: str, url: str) -> tuple:
+    """Title, author and date by the places of this site's pages, then by the page's own data; no article leaves all null."""
     inner = _by_selectors(html, ZHIHU)
+    if not inner:
+        return (None,) * len(FIELDS)
     root = parse(html)
-    return first_text(root, (".Post-Title", "h1")), first_text(root, (".AuthorInfo-name", ".byline")), None, None, clean_zhihu(inner) if inner else None, None, None
+    title = first_text(root, ZHIHU_TITLE) or first_attribute(root, META_TITLE, "content") or first_text(root, ("title",)) or "Zhihu Article"
+    author = first_attribute(root, META_AUTHOR, "content") or first_text(root, ZHIHU_AUTHOR)
+    published = first_attribute(root, ('meta[itemprop="datePublished"]', *META_DATE), "content") or first_attribute(root, ("time[datetime]",), "datetime")
+    return title, author, published, None, clean_zhihu(inner), None, None
+
+
+def keywords(html: str) -> list[str]:
+    """Keywords of a page's own data, each once."""
+    given = next((e.attrs["content"] for e in parse(html).walk() if e.name == "meta" and e.attrs.get("name", "").lower() == "keywords" and e.attrs.get("content")), "")
+    return list(dict.fromkeys(filter(None, (w.strip() for w in re.split("[,，]", given)))))
 
 
 def medium(html: str, url: str) -> tuple:
     root = parse(html)
     article = next(select(root, "article"), None)
-    return first_text(root, ("h1",)), first_attribute(root, ('meta[name="author"]',), "content"), first_attribute(root, ('meta[property="article:published_time"]',), "content"), None, article.inner() if article else None, None, None
+    if article is None or not article.inner().strip():
+        return (None,) * len(FIELDS)
+    title = first_text(root, ("h1",)) or first_text(root, ("title",)) or "Medium Article"
+    author = first_attribute(root, META_AUTHOR[:1], "content") or first_text(root, ('a[rel="author"]',))
+    return title, author, first_attribute(root, META_DATE, "content"), None, article.inner(), None, None
 
 
 def lazy_images(root: Element) -> None:
@@ -132,7 +160,11 @@ def wechat(html: str, url: str) -> tuple:
     root = parse(html)
     lazy_images(root)
     inner = next((e.inner() for s in WECHAT for e in select(root, s)), None)
-    return first_text(root, ("#activity-name", "h1")), first_text(root, ("#js_name", ".byline")), first_text(root, ("#publish_time",)), None, inner, None, None
+    if not (inner or "").strip():
+        return (None,) * len(FIELDS)
+    title = first_text(root, ("#activity-name",)) or first_text(root, ("h1",)) or first_text(root, ("title",)) or "WeChat Article"
+    author = first_text(root, ("#js_name",)) or first_text(root, (".profile_nickname",))
+    return title, author, first_text(root, ("#publish_time",)), None, inner, None, None
 
 
 def image_source(attrs: dict[str, str], base: str | None) -> str:
@@ -330,7 +362,8 @@ def _with_math(html: str) -> str:
 
 QUERIES = {
     "extract_generic": _extract(generic, *FIELDS),
-    "extract_zhihu": _extract(zhihu, "title", "author", "html"),
+    "extract_zhihu": _extract(zhihu, "title", "author", "published", "html"),
+    "page_keywords": _strings(lambda h: "|".join(keywords(h))),
     "extract_medium": _extract(medium, "title", "author", "published", "html"),
     "extract_wechat": _extract(wechat, "title", "author", "published", "html"),
     "extract_main": _strings(_main_html),

@@ -9,6 +9,9 @@ from dataclasses import dataclass, fields
 from functools import lru_cache
 from typing import ClassVar
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 YES, NO = ("1", "true", "yes", "y", "on"), ("0", "false", "no", "n", "off")
 
 
@@ -78,6 +81,21 @@ def css_variables(colours: dict, prefix: str = "--color") -> list[str]:
     return out
 
 
+def variable_lines(colours: Column, prefix: str = "--color") -> Column:
+    """``--color-a: value;`` lines of a map column of flattened names, in its order."""
+    return F.transform(F.map_entries(colours), lambda e: F.concat(F.lit(f"{prefix}-"), e["key"], F.lit(": "), e["value"], F.lit(";")))
+
+
+def settings_of(sites: DataFrame) -> DataFrame:
+    """Settings that are rows of a table, with ``valid``: whether each field is one of those allowed."""
+    return sites.withColumn("valid", F.col("date_order").isin("mdy", "dmy", "ymd") & F.col("source").isNotNull())
+
+
+def run_id_column() -> Column:
+    """``run_id`` for each row."""
+    return F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 8)
+
+
 def run_id() -> str:
     """Eight random hex digits that name a run."""
     return secrets.token_hex(4)

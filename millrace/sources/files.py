@@ -5,7 +5,7 @@ from __future__ import annotations
 from pathlib import PurePosixPath
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import blank, split_front_matter
@@ -64,6 +64,11 @@ def html_file(spark: SparkSession, path: str) -> DataFrame:
     return files
 
 
+def snapshot_allowed_for(provider: Column) -> Column:
+    """``snapshot_allowed`` of a column of providers."""
+    return provider == "zhihu"
+
+
 def snapshot_allowed(provider: str) -> bool:
     """Whether pages of this provider may come from a saved file."""
     return provider == "zhihu"

@@ -50,8 +50,13 @@ def write_log_lines(lines: DataFrame, path: str) -> None:
     lines.select(F.col("line").alias("value")).write.mode("append").text(path)
 
 
+def report_lines(df: DataFrame, key: str) -> DataFrame:
+    """(key, line): each row as a line of a Markdown table, made in the executors; ``key`` orders the lines."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
+    return df.select(key, F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
 def report(counts: DataFrame, title: str) -> str:
-    """A small aggregate as a Markdown table; meant for results of a few rows."""
-    rows = counts.limit(1000).collect()
+    """An aggregate as a Markdown table, whole; for results that fit the driver, else write ``report_lines``."""
     head = "| " + " | ".join(counts.columns) + " |\n|" + "---|" * len(counts.columns)
-    return f"# {title}\n\n{head}\n" + "\n".join("| " + " | ".join(str(v) for v in r) + " |" for r in rows) + "\n"
+    return f"# {title}\n\n{head}\n" + "\n".join("| " + " | ".join(str(v) for v in r) + " |" for r in counts.toLocalIterator()) + "\n"

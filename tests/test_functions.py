@@ -6,9 +6,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from millrace.functions import code, slugs, text, urls
+from millrace.functions.dom import parse
 from millrace.operators.documents import best_source, image_placeholder, logs_at_least
 from millrace.operators.markdown import fence_segments, fix_math, inline_segments, node_rows, suspicious_emphasis
-from millrace.operators.pages import clean_zhihu, generic, image_source, to_markdown
+from millrace.operators.pages import clean_zhihu, generic, image_source, keywords, main_element, medium, to_markdown, wechat, zhihu
 from millrace.operators.posts import pagination, related
 from millrace.operators.sync import greedy_batches, upsert
 
@@ -249,3 +250,29 @@ def test_images_and_zhihu():
     assert image_source({"src": "i.png"}, "https://a.example/p/q") == "https://a.example/p/i.png"
     assert clean_zhihu('<h3>a</h3><h4>b</h4><a href="https://zhida.zhihu.com/search?zd_token=1">t</a><script>x</script>') == "<h2>a</h2><h3>b</h3>t"
     assert clean_zhihu("<h1>a</h1>") == "<h1>a</h1>"
+
+
+LONG = "The cache keeps rows for long articles. " * 5
+
+
+def test_main_element_by_the_order_of_places():
+    assert main_element(parse(f"<main><article>{LONG}</article></main>")).name == "article"
+    assert main_element(parse(f"<div class=post>{LONG}</div><main>{LONG}</main>")).name == "main"
+    assert main_element(parse(f"<div class=post>{LONG}more</div><main>{LONG}</main>")).classes() == ["post"]
+    assert main_element(parse(f"<div>short</div><div id=a>{LONG}</div><div id=b>{LONG}</div>")).attrs["id"] == "a"
+    assert main_element(parse("<article>short</article>")) is None
+
+
+def test_site_adapters():
+    head = '<title>Tab</title><meta name="author" content="Ann"><meta name="publish_date" content="2024-03-01">'
+    page = f'<head>{head}<meta name="Keywords" content="a, b，a"></head><article><h1 class="Post-Title">Head</h1>{LONG}</article><p class="byline">By Bob</p>'
+    assert zhihu(page, "")[:3] == ("Head", "Ann", "2024-03-01")
+    assert zhihu(f'<title>Tab</title><time datetime="2024-05-06">x</time><div class="RichText">{LONG}</div><a class="UserLink-link">Cy</a>', "")[:3] == ("Tab", "Cy", "2024-05-06")
+    assert zhihu('<meta itemprop="datePublished" content="2023-01-01"><meta name="date" content="2024-01-01"><article>x</article>', "")[:3] == ("Zhihu Article", None, "2023-01-01")
+    assert zhihu("<p>no article</p>", "") == (None,) * 7
+    assert keywords(page) == ["a", "b"]
+    assert medium(page, "")[:3] == ("Head", "Ann", "2024-03-01")
+    assert medium('<title>Tab</title><article>x</article><a rel="author">Di</a>', "")[:3] == ("Tab", "Di", None)
+    assert medium(head, "") == (None,) * 7
+    assert wechat('<title>Tab</title><p class="byline">By Bob</p><b class="profile_nickname">Ed</b><i id="publish_time">1 May</i><div id="js_content">x</div>', "")[:3] == ("Tab", "Ed", "1 May")
+    assert wechat(page, "") == (None,) * 7
