@@ -343,6 +343,40 @@ _SECRET = "canonicalUrl || '?token=' || md5(canonicalUrl) || ' Bearer  ' || md5(
 _URL_EXT = "nullif(lower(regexp_extract(regexp_replace(u, '[?#].*$', ''), '(?i)(\\.(?:jpe?g|png|webp|gif|bmp|avif|svg))$', 1)), '')"
 _IMG = "(select article_id, case when article_id % 3 = 0 then '.webp' end as m, coalesce(images[1].url, canonicalUrl) as u from article)"
 _VISIBLE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>', '', 'g'), '(?is)<style\b[^>]*>.*?</style>', '', 'g'), '(?is)<noscript\b[^>]*>.*?</noscript>', '', 'g'), '(?is)<template\b[^>]*>.*?</template>', '', 'g'), '<[^>]+>', ' ', 'g')"
+def _kept(u: str, test: str) -> str:
+    """SQL of an address's parameters that pass a test of their name ``k``."""
+    return f"list_filter(list_filter(string_split(regexp_extract({u}, '\\?([^#]*)', 1), '&'), lambda p: p <> ''), lambda p: {test.replace('k', 'string_split(p, ' + chr(39) + '=' + chr(39) + ')[1]')})"
+
+
+def _rebuilt(u: str, kept: str) -> str:
+    return f"case when contains({u}, '?') then regexp_extract({u}, '^([^?#]*)', 1) || case when len({kept}) > 0 then '?' || array_to_string({kept}, '&') else '' end || regexp_extract({u}, '(#.*)$', 1) else {u} end"
+
+
+_TRACKED = "(" + ", ".join(f"'{x}'" for x in urls.TRACKING) + ")"
+_IMPORTED = _kept("u", f"not (starts_with(lower(k), 'utm_') or lower(k) in {_TRACKED})")
+_IMPORTED = f"list_transform(list_sort(list_transform(list_zip({_IMPORTED}, range(1, len({_IMPORTED}) + 1)), lambda z: {{'k': string_split(z[1], '=')[1], 'i': z[2], 'p': z[1]}})), lambda s: s.p)"
+
+
+def _redacted(x: str) -> str:
+    """SQL of a value without its secrets."""
+    return rf"regexp_replace(regexp_replace(regexp_replace({x}, '(?i)([?&])(token|secret|password|auth|apikey|api_key|key)=([^&\s]+)', '\1\2=[REDACTED]', 'g'), '(?i)Bearer\s+([\w\-.~+/=]{{6}})[\w\-.~+/=]+([\w\-.~+/=]{{4}})', 'Bearer \1...\2', 'g'), '([a-zA-Z0-9_-]+)=([^;,\s&=]{{6}})[^;,\s&=]+([^;,\s&=]{{4}})', '\1=\2...\3', 'g')"
+
+
+_IS_SENSITIVE = "regexp_matches(e.key, '(?i)" + "|".join(code.SENSITIVE) + "')"
+_FIELDS = f"list_transform(map_entries(fields), lambda e: cast(to_json(e.key) as varchar) || ':' || coalesce(cast(to_json(case when {_IS_SENSITIVE} then '[REDACTED]' else {_redacted('e.value')} end) as varchar), 'null'))"
+_MORE_ORACLE = {
+    "str_sanitize_url": f"select article_id, {_rebuilt('u', _kept('u', f'k not in {_TRACKED}'))} as url from (select article_id, canonicalUrl || '?a=1&utm_source=x&b=2#c' as u from article)",
+    "str_import_url": f"select article_id, {_rebuilt('u', _IMPORTED)} as url from (select article_id, trim(canonicalUrl || case when contains(canonicalUrl, '?') then '&' else '?' end || 'UTM_Source=feed&view=full&share_code=abc') as u from article)",
+    "sort_query_params": "select article_id, regexp_extract(canonicalUrl, '^([^?#]*)', 1) || '?a=3&b=2&b=1&z=1' as url from article",
+    "str_import_owner": f"select article_id, 'import:' || lower(trim(source)) || ':' || {_rebuilt('u', _IMPORTED)} as owner from (select article_id, source, trim(canonicalUrl) as u from article)",
+    "str_latin_slug": f"select article_id, case when {slug_sql('title')} <> '' then {slug_sql('title')} else {slug_sql('spelled')} end as slug from (select article_id, title, replace(replace(replace(replace(replace(title, '缓', ' huan '), '存', ' cun '), '图', ' tu '), '片', ' pian '), '的', ' de ') as spelled from article)",
+    "map_redact_fields": f"select log_id, ingested_at, '{{' || array_to_string(list_append({_FIELDS}, '\"authToken\":\"[REDACTED]\"'), ',') || '}}' as fields from log_entry where fields is not null",
+    "map_redact_nested": f"select log_id, ingested_at, '{{' || array_to_string({_FIELDS.replace(_IS_SENSITIVE, 'false')}, ',') || '}}' as fields from log_entry where fields is not null",
+    "map_sanitize_error": f"""select log_id, ingested_at, '{{' || concat_ws(',', '"message":' || cast(to_json({_redacted("msg")}) as varchar), '"name":' || cast(to_json(event) as varchar)) || '}}' as error from log_entry where lower(level) = 'error'""",
+    "map_serialize_error": """select log_id, ingested_at, '{' || concat_ws(',', '"message":' || cast(to_json(msg) as varchar), '"cause":{' || concat_ws(',', '"message":' || cast(to_json(event) as varchar), '"cause":{' || coalesce('"message":' || cast(to_json(script) as varchar), '') || '}') || '}') || '}' as error from log_entry where lower(level) = 'error'""",
+    "sink_jsonl_log": f"""select log_id, ingested_at, '{{' || concat_ws(',', '"ts":' || cast(to_json(ts) as varchar), '"level":' || cast(to_json(level) as varchar), '"msg":' || cast(to_json({_redacted("msg")}) as varchar), '"runId":' || cast(to_json(runId) as varchar), '"script":' || cast(to_json(script) as varchar), '"event":' || cast(to_json(event) as varchar), '"durationMs":' || durationMs, '"status":' || cast(to_json(status) as varchar),
+ case when fields is not null then '"fields":{{' || array_to_string({_FIELDS}, ',') || '}}' end) || '}}' as line from log_entry""",
+}
 ORACLE = {
     "zhihu_blocked": f"""select page_id, case when a >= 100 then null when regexp_matches(title, '{BLOCKED["login"][0]}') or regexp_matches(path, '{BLOCKED["login"][1]}') or regexp_matches(v, '{BLOCKED["login"][2]}') then 'login'
  when regexp_matches(title, '{BLOCKED["captcha"][0]}') or regexp_matches(path, '{BLOCKED["captcha"][1]}') or regexp_matches(v, '{BLOCKED["captcha"][2]}') then 'captcha'
@@ -427,4 +461,4 @@ from (select article_id, canonicalUrl as u, list_reduce(list_prepend(cast(0 as b
     "project_source_url": f"select article_id, 'https://' || site || '/blob/' || sha1(site) || '/' || {slug_sql('title')} || '.md' as url from article",
     "project_frontmatter": f"select coalesce(nullif(trim(title), ''), 'Untitled') as title, coalesce(author, {_HOST}) as author, article_id from article",
     "image_placeholder": "select article_id, article_id % 4 = 0 or s = 0 or (s < 61440 and (w < 200 or h < 150)) as placeholder from (select article_id, article_id * 40 % 90000 as s, article_id % 400 as w, article_id % 300 as h from article)",
-}
+} | _MORE_ORACLE

@@ -277,4 +277,5 @@ from (select *, cast(len(regexp_extract_all(b, '\\p{Han}')) + len(regexp_extract
 from (select article_id, n, txt, lead(txt) over (partition by article_id order by n) as nxt from (select article_id, n, case when article_id % 2 = 0 and n > 1 and n < size and regexp_matches(txt, '\\A[^\\n#>!*`-][^\\n]{0,99}\\z') then 'Figure 1: ' || txt else txt end as txt
  from (select article_id, unnest(range(1, len(b) + 1)) as n, unnest(b) as txt, len(b) as size from (select article_id, string_split(markdown, chr(10) || chr(10)) as b from article where markdown is not null))))
 where regexp_matches(trim(txt), '^!\\[[^\\]]*\\]\\([^)]+\\)$')""",
+    "project_posts_json": P + """select slug, '{"slug":' || cast(to_json(slug) as varchar) || ',"title":' || cast(to_json(title) as varchar) || '}' as json from p""",
 }

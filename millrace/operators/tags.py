@@ -91,6 +91,9 @@ _ROWS = P + """, r as (select slug, "date", pos, trim(tag) as tag from (select s
 _INDEX = _ROWS + f""", i as (select tag as name, count(*) as c, greatest(max("date"), timestamptz '1970-01-01 00:00:00+00') as latest, min((-epoch_us("date"), slug, pos)) as seen from r group by tag),
 t as (select name, case when n = 1 then base else base || '-' || n end as slug, c as "count", latest from (select *, row_number() over (partition by base order by seen) as n from (select *, {tag_slug_sql("regexp_replace(name, '\\s+', ' ', 'g')")} as base from i)))
 """
+_UNIQUE = f"""with w as (select id, coalesce(nullif({slug_sql("title")}, ''), 'post') as wanted from (select distinct id, title from post where title is not null)),
+h as (select id, case when row_number() over (partition by wanted order by id) = 1 then wanted else wanted || '-' || substr(sha256(id), 1, 6) end as slug from w)
+select id, case when k = 1 then slug else slug || '-' || k end as slug from (select id, slug, row_number() over (partition by slug order by id) as k from h)"""
 ORACLE = {
     "agg_tag_index": _INDEX + 'select name, slug, "count", latest from t',
     "win_slug_disambiguate": _INDEX + "select name, slug from t",
@@ -103,4 +106,6 @@ ORACLE = {
     "sort_tags_recent": _INDEX + "select name, row_number() over (order by latest desc, name) as position from t",
     "sort_tags_client": _INDEX + 'select name, row_number() over (order by "count" desc, slug) as position from t',
     "str_slugify_tag": _ROWS + f"select distinct tag, {tag_slug_sql("regexp_replace(tag, '\\s+', ' ', 'g')")} as slug from r",
+    "project_tags_json": _INDEX + """select name, '{"name":' || cast(to_json(name) as varchar) || ',"slug":' || cast(to_json(slug) as varchar) || ',"count":' || "count" || ',"latestDate":"' || strftime(latest, '%Y-%m-%dT%H:%M:%S.%g') || 'Z"}' as json from t""",
+    "win_unique_slug": _UNIQUE,  # a query of posts, whose SQL needs that of a slug
 }
