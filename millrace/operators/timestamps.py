@@ -12,12 +12,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.instants import parse_instant
-from millrace.plans.storage import scratch_path
+from millrace.plans.storage import file_system, hadoop_path, scratch_path
 from millrace.sources import read_table
 
 KEYS = ("raw", "tz", "date_order")
@@ -42,28 +41,35 @@ def _same(left: DataFrame, right: DataFrame) -> Column:
 class InstantDictionary:
     """The table of distinct raw values at ``path``; a missing table is an empty one.
 
-    ``extend`` is incremental: it parses only triples that aren't in the table and appends them in
-    one commit. Parsing is a pure function, so a repeated or retried append changes no result;
-    ``read`` therefore drops repeated keys.
+    ``extend`` is incremental: it parses only triples that aren't in the table and appends them in one
+    commit, so a key is there once and nothing is deduplicated when it is read. One job at a time may
+    extend a dictionary; a task that runs twice commits its rows once.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or scratch_path(spark, "instants")
 
+    def exists(self) -> bool:
+        return file_system(self.spark, self.path).exists(hadoop_path(self.spark, self.path))
+
     def read(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(DICTIONARY_SCHEMA).parquet(self.path)
-        except AnalysisException:  # nothing was written so far
+        if not self.exists():
             return self.spark.createDataFrame([], DICTIONARY_SCHEMA)
+        return self.spark.read.schema(DICTIONARY_SCHEMA).parquet(self.path)
 
     def extend(self, values: DataFrame) -> DataFrame:
         """Parse what is new in ``values`` (columns raw, tz, date_order) and return the whole dictionary."""
         distinct = values.select(*KEYS).where(F.col("raw").isNotNull()).distinct()
-        known = self.read()
-        if not known.isEmpty():
+        if self.exists():
+            known = self.read()
             distinct = distinct.join(known, _same(distinct, known), "left_anti")
         distinct.mapInPandas(_parse, DICTIONARY_SCHEMA).write.mode("append").parquet(self.path)
-        return self.read().dropDuplicates(list(KEYS))
+        return self.read()
+
+
+def session_dictionary(spark: SparkSession) -> InstantDictionary:
+    """The dictionary in spark.millrace.instants, which lasts from run to run; a fresh one where that isn't set."""
+    return InstantDictionary(spark, spark.conf.get("spark.millrace.instants", None))
 
 
 def normalise_timestamps(df: DataFrame, column: str, tz: str, date_order: str, output: str = "instant", dictionary: InstantDictionary | None = None) -> DataFrame:
@@ -74,7 +80,7 @@ def normalise_timestamps(df: DataFrame, column: str, tz: str, date_order: str, o
     zone. An empty table gives an empty one. Columns called like the dictionary's own keep their
     values, as the dictionary's are renamed before the join.
     """
-    dictionary = dictionary or InstantDictionary(df.sparkSession)
+    dictionary = dictionary or session_dictionary(df.sparkSession)
     parsed = dictionary.extend(df.select(F.col(column).alias("raw"), F.col(tz).alias("tz"), F.col(date_order).alias("date_order")))
     renamed = parsed.select(*(F.col(c).alias(f"__instant_{c}") for c in (*KEYS, "micros")))
     keys = dict(zip(KEYS, (column, tz, date_order), strict=True))

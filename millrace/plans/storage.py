@@ -40,8 +40,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system that ``path`` is on."""
+    return hadoop_path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete the written intermediate tables of all jobs; for when no result that reads them is pending."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/millrace")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    folder = f"{shared_dir(spark)}/millrace"
+    file_system(spark, folder).delete(hadoop_path(spark, folder), True)

@@ -76,6 +76,25 @@ def test_upsert_stream(spark, tmp_path):
     assert got == {"a": ("A2", "d", ["x", "y"]), "b": ("B", "d", [])}
 
 
+def test_upsert_stream_rewrites_touched_buckets_only(spark, tmp_path):
+    schema = "slug string, title string, date string, updated string, tags array<string>"
+    source, table, check = (str(tmp_path / n) for n in ("in", "table", "check"))
+    stream = lambda: spark.readStream.schema(schema).parquet(source)
+    many = [(f"s{i}", "A", "d", "1", []) for i in range(500)]
+    for n in range(5):
+        spark.createDataFrame(many if n == 0 else [("s7", f"B{n}", "d", f"{n + 1}", [])], schema).coalesce(1).write.mode("append").parquet(source)
+        wait(upsert_stream(stream(), table, check))
+        assert current_generation(spark, table).count() == 500
+    folders = {p.name: [b for b in p.iterdir() if b.name.startswith("bucket=")] for p in (tmp_path / "table").iterdir() if p.name.startswith("generation=")}
+    assert len(folders["generation=0"]) >= 60  # the other buckets are still those of the first batch
+    assert set(folders) == {"generation=0", "generation=3", "generation=4"}
+    assert all(len(f) == 1 for name, f in folders.items() if name != "generation=0")
+    assert len(list((tmp_path / "table" / "_manifests").glob("*.json"))) == 2
+    assert current_generation(spark, table).where("slug = 's7'").first()["title"] == "B4"
+    # as the batch before left it, for one that runs again
+    assert current_generation(spark, table, 4).where("slug = 's7'").first()["title"] == "B3"
+
+
 def test_log_stream(spark, tmp_path):
     schema = "log_id long, ts string, level string"
     source = str(tmp_path / "logs")

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from millrace.functions.instants import parse_instant
-from millrace.operators.timestamps import InstantDictionary, iso_micros, normalise_timestamps
+from millrace.operators.timestamps import InstantDictionary, iso_micros, normalise_timestamps, p4_found
 
 SHANGHAI, NEW_YORK, PARIS, SYDNEY = "Asia/Shanghai", "America/New_York", "Europe/Paris", "Australia/Sydney"
 
@@ -89,6 +89,19 @@ def test_dictionary_is_incremental(spark, tmp_path):
     assert d.read().count() == 2  # nothing was parsed twice
 
 
+def test_a_second_run_parses_nothing(spark, data, tmp_path):
+    spark.conf.set("spark.millrace.instants", str(tmp_path / "d"))
+    try:
+        first = p4_found(spark, data).count()
+        rows = InstantDictionary(spark, str(tmp_path / "d")).read()
+        n = rows.count()
+        assert n == rows.distinct().count() > 0
+        assert p4_found(spark, data).count() == first
+        assert InstantDictionary(spark, str(tmp_path / "d")).read().count() == n
+    finally:
+        spark.conf.unset("spark.millrace.instants")
+
+
 def test_iso_in_another_session_zone(spark):
     spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
     try:
