@@ -30,4 +30,7 @@ def least_hashes(df: DataFrame, key: Column, bound: int, wanted: Column | None =
     part = min(1.0, (1.2 * bound / n + 100 / n) / share) if n else 1.0
     if part < 1.0:
         df = df.where(h <= F.lit(int(-(2**63) + part * (2**64 - 1))))
-    return (df if wanted is None else df.where(wanted)).withColumn("__hash", h).orderBy("__hash").limit(bound).collect()
+    rows = (df if wanted is None else df.where(wanted)).withColumn("__hash", h)
+    # The hashes alone tell how far the sample goes, so that no more rows than it has are fetched.
+    least = sorted(r[0] for r in rows.select("__hash").collect())[:bound]
+    return sorted(rows.where(F.col("__hash") <= least[-1]).collect(), key=lambda r: r["__hash"])[:bound] if least else []
