@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.dom import AnyOf, Element, matcher, parse, select
@@ -321,6 +321,26 @@ def converted(df: DataFrame, id_column: str, html: str, base: str) -> DataFrame:
     return spread(narrow).mapInPandas(run, "id long, markdown string, images array<string>")
 
 
+def _escaped(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def _snapshots(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """The pages as a site of that kind serves them: its own places in front, filled from the page's title and id."""
+    name, number = F.concat(F.lit("T "), _escaped(F.coalesce("title", F.lit(""))), F.lit(".")), F.col("page_id").cast("string")
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    front = {
+        "zhihu": text('<meta name="author" content="A ', number, '"><meta itemprop="datePublished" content="2024-', number, '"><h1 class="Post-Title"> ', name, '</h1><div class="Post-RichText"><h3>', name, '</h3><p><a href="https://zhida.zhihu.com/search?zhida_source=entity">x</a></p><script>y</script></div>'),
+        "medium": text("<title>", name, '</title><meta name="publish_date" content="2024-', number, '"><article><p>', name, '</p></article><a rel="author"> A ', number, " </a>"),
+        "wechat": text('<h1 id="activity-name">', name, '</h1><b class="profile_nickname">A ', number, '</b><i id="publish_time">2024-', number, '</i><div id="js_content"><img data-src="https://a.example/', number, '.png"><p>', name, "</p></div>"),
+    }
+    return read_table(spark, sf_dir, "extracted_article", "page_id", "title", "url", "html", "baseUrl").withColumn("html", F.concat(front[kind], F.coalesce("html", F.lit(""))))
+
+
+def _extract_snapshot(how: Callable[[str, str], tuple], kind: str):
+    return lambda s, d: extracted(_snapshots(s, d, kind), "page_id", "html", "url", how).select("id", "title", "author", "published", "html")
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "extracted_article", "page_id", "url", "html", "baseUrl")
 
@@ -329,15 +349,16 @@ def _extract(how: Callable[[str, str], tuple], *columns: str):
     return lambda s, d: extracted(_pages(s, d), "page_id", "html", "url", how).select("id", *columns)
 
 
-def _strings(f: Callable[[str], str | None]):
-    """A query of one string per page."""
+def _strings(f: Callable[[str], str | None], front: tuple[str, str] | None = None):
+    """A query of one string per page; ``front`` is put in front of it, with the page's id between its parts."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 yield pd.DataFrame({"page_id": pdf["page_id"], "value": [f(h) if isinstance(h, str) else None for h in pdf["html"]]})
 
-        return spread(_pages(spark, sf_dir).select("page_id", "html")).mapInPandas(run, "page_id long, value string")
+        html = F.col("html") if front is None else F.concat(F.lit(front[0]), F.col("page_id").cast("string"), F.lit(front[1]), "html")
+        return spread(_pages(spark, sf_dir).select("page_id", html.alias("html"))).mapInPandas(run, "page_id long, value string")
 
     return query
 
@@ -362,25 +383,37 @@ def _with_math(html: str) -> str:
 
 QUERIES = {
     "extract_generic": _extract(generic, *FIELDS),
-    "extract_zhihu": _extract(zhihu, "title", "author", "published", "html"),
-    "page_keywords": _strings(lambda h: "|".join(keywords(h))),
-    "extract_medium": _extract(medium, "title", "author", "published", "html"),
-    "extract_wechat": _extract(wechat, "title", "author", "published", "html"),
+    "extract_zhihu": _extract_snapshot(zhihu, "zhihu"),
+    "page_keywords": _strings(lambda h: "|".join(keywords(h)), ('<meta name="Keywords" content="caches, k', '，caches">')),
+    "extract_medium": _extract_snapshot(medium, "medium"),
+    "extract_wechat": _extract_snapshot(wechat, "wechat"),
     "extract_main": _strings(_main_html),
     "agg_max_text": _strings(lambda h: (lambda e: str(len(e.text().strip())) if e else None)(main_element(parse(h)))),
     "strip_noise": _strings(_without_noise),
     "pick_first_text": _strings(lambda h: first_text(parse(h), ("main h1", "article h1", "h1", "h2"))),
     "pick_first_attr": _strings(lambda h: first_attribute(parse(h), ('meta[name="author"]', 'meta[property="article:published_time"]'), "content")),
     "zhihu_clean_html": _strings(clean_zhihu),
-    "wechat_lazy_img": _strings(lambda h: (lambda r: (lazy_images(r), r.inner())[1])(parse(h))),
+    "wechat_lazy_img": _strings(lambda h: (lambda r: (lazy_images(r), "|".join(e.attrs.get("src", "") for e in select(r, "img")))[1])(parse(h)), ('<img src="data:image/svg+xml,x" data-src="https://a.example/', '.png">')),
     "html_to_md": lambda s, d: converted(_pages(s, d), "page_id", "html", "baseUrl").select("id", "markdown", F.size("images").cast("long").alias("n_images")),
-    "html_math": _strings(_with_math),
+    "html_math": _strings(_with_math, ('<div class="ztext-math" data-tex="x_', '"></div><span class="ztext-math"> y </span>')),
     "html_text": _strings(lambda h: parse(h).text()),
     "html_has_class": _strings(lambda h: str(sum("byline" in e.classes() for e in parse(h).walk()))),
     "html_img_src": _strings(lambda h: "|".join(image_source(e.attrs, "https://base.example/") for e in select(parse(h), "img"))),
 }
+_ESCAPED = "replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_UNESCAPED = "replace(replace(replace(replace(replace({x}, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')"
+_TITLED = """(select page_id, 'T ' || coalesce(title, '') || '.' as t, trim(regexp_replace(regexp_extract(x, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')) as h, trim(regexp_extract(x, '<meta name="author" content="([^"]*)"', 1)) as a, trim(regexp_extract(x, '<meta property="article:published_time" content="([^"]*)"', 1)) as d
+ from (select page_id, title, regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g') as x from extracted_article))"""
 ORACLE = {
     "html_has_class": "select page_id, cast(len(regexp_extract_all(html, 'class=\"byline\"')) as varchar) as value from extracted_article",
     "html_img_src": "select page_id, array_to_string(list_transform(regexp_extract_all(html, '<img src=\"([^\"]*)\"', 1), lambda x: 'https://base.example' || x), '|') as value from extracted_article",
     "pick_first_attr": "select page_id, coalesce(nullif(trim(replace(regexp_extract(html, '<meta name=\"author\" content=\"([^\"]*)\"', 1), '&amp;', '&')), ''), nullif(trim(regexp_extract(html, '<meta property=\"article:published_time\" content=\"([^\"]*)\"', 1)), '')) as value from extracted_article",
+    "extract_zhihu": f"select page_id as id, t as title, 'A ' || page_id as author, '2024-' || page_id as published, '<h2>' || {_ESCAPED} || '</h2><p>x</p>' as html from {_TITLED}",
+    "extract_medium": f"select page_id as id, coalesce(nullif(trim(h), ''), t) as title, coalesce(nullif(a, ''), 'A ' || page_id) as author, coalesce(nullif(d, ''), '2024-' || page_id) as published, '<p>' || {_ESCAPED} || '</p>' as html from {_TITLED}",
+    "extract_wechat": f"select page_id as id, t as title, 'A ' || page_id as author, '2024-' || page_id as published, '<img data-src=\"https://a.example/' || page_id || '.png\" src=\"https://a.example/' || page_id || '.png\"><p>' || {_ESCAPED} || '</p>' as html from {_TITLED}",
+    "page_keywords": "select page_id, 'caches|k' || page_id as value from extracted_article where html is not null",
+    "html_math": "select page_id, '$$x_' || page_id || '$$' || chr(10) || '$y$' as value from extracted_article where html is not null",
+    "wechat_lazy_img": "select page_id, concat_ws('|', 'https://a.example/' || page_id || '.png', nullif(array_to_string(regexp_extract_all(html, '<img src=\"([^\"]*)\"', 1), '|'), '')) as value from extracted_article",
+    "html_text": f"select page_id, {_UNESCAPED.format(x='v')} as value from (select page_id, regexp_replace(html, '(?s)<!--.*?-->|<[^>]*>', '', 'g') as v from extracted_article)",
+    "pick_first_text": f"select page_id, nullif(trim({_UNESCAPED.format(x='v')}, ' ' || chr(10)), '') as value from (select page_id, regexp_replace(coalesce(nullif(regexp_extract(x, '(?is)<h1[^>]*>(.*?)</h1>', 1), ''), regexp_extract(x, '(?is)<h2[^>]*>(.*?)</h2>', 1)), '<[^>]*>', '', 'g') as v from (select page_id, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') as x from extracted_article))",
 }
