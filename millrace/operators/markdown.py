@@ -287,7 +287,7 @@ QUERIES = {
     "str_inline_code": _rows(inline_segments, "kind string, content string"),
     "str_math_delims": lambda s, d: read_table(s, d, "article", "article_id", "markdown").select("article_id", fixed_math("markdown").alias("markdown")),
     "md_extract_nodes": _rows(node_rows, "node_id string, kind string, value string, context string"),
-    "md_node_text": _rows(lambda m: [(v,) for _, k, v, c in node_rows(m) if c == "heading"], "value string"),
+    "md_node_text": _rows(lambda m: [(v,) for name, _, v, _ in node_rows(m) if name.endswith("_heading")], "value string"),
     "str_underscore_guard": _rows(suspicious_emphasis, "line int, col int, raw string"),
     "md_fix_captions": _caption_blocks,
     "md_pipeline": lambda s, d: pipeline(spread(read_table(s, d, "article", "article_id", "markdown")), "article_id", "markdown"),
@@ -301,9 +301,18 @@ q as (select id, n, t, coalesce(regexp_matches(trim(lag(t) over (partition by id
 _PIPELINE = _RATIOS.replace("select article_id, regexp_replace", "select article_id, regexp_replace", 1) + r"""select article_id as id, language, cast(coalesce(len(list_filter(regexp_extract_all(markdown, '(?ms)^ {0,3}```([^\n`]*)\n(.*?)(?:^ {0,3}```[`~]*[ \t]*$|\z)'), lambda x: regexp_matches(x, '\A {0,3}```[ \t]*\n'))), 0) as bigint) as code_fences_fixed,
  cast(coalesce(len(regexp_extract_all(case when starts_with(markdown, '---') and p > 0 then substr(markdown, p + 7) else markdown end, '\n{3,}')), 0) as bigint) as empty_lines_compressed
  from l join (select article_id as i, markdown, strpos(substr(markdown, 4), chr(10) || '---') as p from article) on i = article_id"""
+# Front matter and body, and the body's fences by the marker that the tables use.
+_FENCED = r"(?ms)^[ \t]*```[^\n]*\n.*?(?:^[ \t]*```[^\n]*(?:\n|\z)|\z)"
+_SPLIT = r"""with a as (select article_id, markdown, case when starts_with(markdown, '---') then strpos(substr(markdown, 4), chr(10) || '---') else 0 end as p from article where markdown is not null),
+b as (select article_id, case when p > 0 then substr(markdown, 1, p + 6) else '' end as head, case when p > 0 then substr(markdown, p + 7) else markdown end as body from a)
+"""
 ORACLE = {
     "frontmatter_parse": r"""select article_id, cast(row_number() over (partition by article_id order by pos) - 1 as integer) as n, regexp_extract(line, '^([\w-]+):', 1) as key, case when v in ('true', 'false') then v else to_json(v)::varchar end as value
 from (select *, trim(regexp_extract(line, '^[\w-]+:(.*)$', 1)) as v from (select article_id, unnest(range(0, len(l))) as pos, unnest(l) as line from (select article_id, string_split(substr(markdown, 5, strpos(substr(markdown, 4), chr(10) || '---') - 2), chr(10)) as l from article where starts_with(markdown, '---') and strpos(substr(markdown, 4), chr(10) || '---') > 0)) where regexp_matches(line, '^[\w-]+:'))""",
     "md_pipeline_fences": _PIPELINE,
     "md_fix_captions": _CAPTIONS + "select id, n, case when fixed then '_' || trim(t) || '_' else t end as text, fixed from q",
+    "win_fence_state": _SPLIT + rf""", s as (select article_id, list_filter(list_prepend({{'kind': 'frontmatter', 'content': head}}, flatten(list_transform(list_zip(regexp_split_to_array(body, '{_FENCED}'), list_append(regexp_extract_all(body, '{_FENCED}'), '')), lambda z: [{{'kind': 'text', 'content': coalesce(z[1], '')}}, {{'kind': 'code', 'content': coalesce(z[2], '')}}]))), lambda x: x.content <> '') as l from b)
+select article_id, cast(n as integer) as n, x.kind as kind, x.content as content from (select article_id, unnest(range(0, len(l))) as n, unnest(l) as x from s)""",
+    "md_node_text": _SPLIT + rf""", s as (select article_id, list_transform(list_filter(list_transform(regexp_split_to_array(regexp_replace(body, '{_FENCED}', chr(10) || chr(10), 'g'), '\n[ \t]*\n'), lambda x: trim(x, chr(10))), lambda x: regexp_matches(x, '\A#{{1,6}}[ \t]+')), lambda x: regexp_extract(x, '\A#{{1,6}}[ \t]+([^\n]*)', 1)) as l from b)
+select article_id, cast(unnest(range(0, len(l))) as integer) as n, unnest(l) as value from s where len(l) > 0""",
 }
