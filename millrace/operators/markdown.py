@@ -307,8 +307,8 @@ _SPLIT = r"""with a as (select article_id, markdown, case when starts_with(markd
 b as (select article_id, case when p > 0 then substr(markdown, 1, p + 6) else '' end as head, case when p > 0 then substr(markdown, p + 7) else markdown end as body from a)
 """
 ORACLE = {
-    "frontmatter_parse": r"""select article_id, cast(row_number() over (partition by article_id order by pos) - 1 as integer) as n, regexp_extract(line, '^([\w-]+):', 1) as key, case when v in ('true', 'false') then v else to_json(v)::varchar end as value
-from (select *, trim(regexp_extract(line, '^[\w-]+:(.*)$', 1)) as v from (select article_id, unnest(range(0, len(l))) as pos, unnest(l) as line from (select article_id, string_split(substr(markdown, 5, strpos(substr(markdown, 4), chr(10) || '---') - 2), chr(10)) as l from article where starts_with(markdown, '---') and strpos(substr(markdown, 4), chr(10) || '---') > 0)) where regexp_matches(line, '^[\w-]+:'))""",
+    "frontmatter_parse": r"""select article_id, cast(row_number() over (partition by article_id order by pos) - 1 as integer) as n, regexp_extract(line, '^([^\s:#][^:#]*):', 1) as key, case when v in ('true', 'false') then v else to_json(v)::varchar end as value
+from (select *, trim(regexp_extract(line, '^[^\s:#][^:#]*:(.*)$', 1)) as v from (select article_id, unnest(range(0, len(l))) as pos, unnest(l) as line from (select article_id, string_split(substr(markdown, 5, strpos(substr(markdown, 4), chr(10) || '---') - 2), chr(10)) as l from article where starts_with(markdown, '---') and strpos(substr(markdown, 4), chr(10) || '---') > 0)) where regexp_matches(line, '^[^\s:#][^:#]*:'))""",
     "md_pipeline_fences": _PIPELINE,
     "md_fix_captions": _CAPTIONS + "select id, n, case when fixed then '_' || trim(t) || '_' else t end as text, fixed from q",
     "win_fence_state": _SPLIT + rf""", s as (select article_id, list_filter(list_prepend({{'kind': 'frontmatter', 'content': head}}, flatten(list_transform(list_zip(regexp_split_to_array(body, '{_FENCED}'), list_append(regexp_extract_all(body, '{_FENCED}'), '')), lambda z: [{{'kind': 'text', 'content': coalesce(z[1], '')}}, {{'kind': 'code', 'content': coalesce(z[2], '')}}]))), lambda x: x.content <> '') as l from b)
