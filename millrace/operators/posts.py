@@ -49,9 +49,16 @@ def validated(posts: DataFrame) -> DataFrame:
 
 
 def by_month(posts: DataFrame) -> DataFrame:
-    """(month, n_posts, slugs), newest month and newest post first."""
-    listed = F.sort_array(F.collect_list(F.struct("date", "slug")), asc=False)
-    return posts.groupBy(F.date_format("date", "yyyy-MM").alias("month")).agg(F.count("*").alias("n_posts"), F.transform(listed, lambda s: s["slug"]).alias("slugs"))
+    """(month, n_posts, position, slug): the posts of each month, newest first.
+
+    A month has any number of posts, so they stay rows: their positions are those of the global order less
+    the posts of later months, of which there is one number a month. Posts without a date have none.
+    """
+    dated = posts.where(F.col("date").isNotNull()).withColumn("month", F.date_format("date", "yyyy-MM"))
+    months = dated.groupBy("month").agg(F.count("*").alias("n_posts"))
+    ahead = F.coalesce(F.sum("n_posts").over(Window.orderBy(F.desc("month")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = numbered(dated.select("month", "date", "slug"), [F.desc("date"), F.desc("slug")], "at")
+    return rows.join(months.withColumn("ahead", ahead), "month").select("month", "n_posts", (F.col("at") - F.col("ahead")).alias("position"), "slug")
 
 
 def related(posts: DataFrame, limit: int = RELATED) -> DataFrame:
@@ -195,7 +202,7 @@ QUERIES = {
     "limit_tags3": _query("slug", "tags")(lambda p: p.select("slug", F.array_join(F.slice(F.coalesce("tags", F.array().cast("array<string>")), 1, 3), "|").alias("first_tags"))),
     "win_prev_next": _query("slug", "date")(lambda p: with_neighbours(p, newest_first(), "slug", "prev_slug", "next_slug").select("slug", "prev_slug", "next_slug")),
     "win_page_number": _query("slug", "date")(lambda p: pages(p).select("slug", "position", "page")),
-    "agg_year_month": _query("slug", "date")(lambda p: by_month(p).select("month", "n_posts", F.array_join("slugs", "|").alias("slugs"))),
+    "agg_year_month": _query("slug", "date")(by_month),
     "agg_post_count": _query("slug")(lambda p: p.agg(F.count("*").alias("n_posts"))),
     "agg_total_pages": _query("slug")(_total_pages),
     "agg_latest_date": _query("date")(lambda p: p.agg(F.greatest(F.max("date"), F.lit("1970-01-01").cast("timestamp")).alias("latest"))),
@@ -248,7 +255,7 @@ ORACLE = {
     "limit_tags3": P + "select slug, coalesce(array_to_string(list_slice(tags, 1, 3), '|'), '') as first_tags from p",
     "win_prev_next": P + 'select slug, lag(slug) over (order by "date" desc, slug) as prev_slug, lead(slug) over (order by "date" desc, slug) as next_slug from p',
     "win_page_number": P + 'select slug, position, cast(floor((position - 1) / 6) as bigint) + 1 as page from (select slug, row_number() over (order by "date" desc, slug) as position from p)',
-    "agg_year_month": P + "select strftime(\"date\", '%Y-%m') as month, count(*) as n_posts, string_agg(slug, '|' order by \"date\" desc, slug desc) as slugs from p group by 1",
+    "agg_year_month": P + "select month, count(*) over (partition by month) as n_posts, row_number() over (partition by month order by \"date\" desc, slug desc) as position, slug from (select strftime(\"date\", '%Y-%m') as month, \"date\", slug from p)",
     "agg_post_count": P + "select count(*) as n_posts from p",
     "agg_total_pages": P + "select greatest(1, cast(ceil(count(*) / 6.0) as bigint)) as total_pages from p",
     "agg_latest_date": P + "select greatest(max(\"date\"), timestamptz '1970-01-01 00:00:00+00') as latest from p",

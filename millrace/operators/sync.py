@@ -152,20 +152,23 @@ def _stored_and_incoming(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, D
 
     That row merges as the later versions do one after another: the newest title and version, the first
     date there is, and the tags of all in order. A version equal to the one in front is not applied.
+    Versions are in the order of ``updated``, so those that are applied are the first of each of its values:
+    everything is an aggregate that combines before it shuffles, and a slug may have any number of versions.
     """
     columns = ["slug", "title", "date", "updated", "tags"]
     versions = read_table(spark, sf_dir, "post", *columns, "id").where(F.col("slug").isNotNull())
-    order = Window.partitionBy("slug").orderBy(F.asc_nulls_first("updated"), "id")
-    numbered = versions.withColumn("n", F.row_number().over(order)).withColumn("applied", ~F.col("updated").eqNullSafe(F.lag("updated").over(order)))
-    none = F.array().cast("array<string>")
-    tags = F.array_sort(F.collect_list(F.when(F.col("applied"), F.struct("n", F.coalesce("tags", none).alias("tags")))))
-    later = numbered.where("n > 1").groupBy("slug").agg(
-        F.max_by("title", F.when(F.col("applied"), F.col("n"))).alias("title"),
-        F.min_by("date", F.when(F.col("date").isNotNull(), F.col("n"))).alias("date"),
-        F.max("updated").alias("updated"),
-        F.array_distinct(F.flatten(F.transform(tags, lambda x: x["tags"]))).alias("tags"),
-    )
-    return numbered.where("n = 1").select(*columns), later
+    # One row for each slug and version; in a struct null is the least, as in the order of versions.
+    one = versions.groupBy("slug", "updated").agg(F.min(F.struct("id", "title", "tags", "date")).alias("row"), F.min(F.when(F.col("date").isNotNull(), F.struct("id", "date"))).alias("dated"), F.count("*").alias("n"))
+    first = one.groupBy("slug").agg(F.min(F.struct("updated", "row")).alias("first"), F.max("updated").alias("newest"), F.min(F.when(F.col("dated").isNotNull(), F.struct("updated", "dated"))).alias("dated"), F.sum("n").alias("n"))
+    current = first.select("slug", "first.row.title", "first.row.date", "first.updated", "first.row.tags")
+    applied = one.join(first.select("slug", F.col("first.updated").alias("stored")), "slug").where(~F.col("updated").eqNullSafe(F.col("stored")))
+    tag = applied.select("slug", "updated", F.posexplode("row.tags").alias("pos", "tag")).groupBy("slug", "tag").agg(F.min(F.struct("updated", "pos")).alias("seen"))
+    ordered = F.array_sort(F.collect_list(F.struct("seen", "tag")))  # the different tags of a slug
+    tags = tag.groupBy("slug").agg(F.transform(ordered, lambda t: t["tag"]).alias("tags"))
+    titles = applied.groupBy("slug").agg(F.max(F.struct("updated", "row.title")).alias("last"))
+    many = first.where("n > 1").join(titles, "slug", "left").join(tags, "slug", "left")
+    return current.select(*columns), many.select("slug", F.col("last.title").alias("title"), F.col("dated.dated.date").alias("date"), F.col("newest").alias("updated"), "tags")
+
 
 def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = upsert(*_stored_and_incoming(spark, sf_dir))
