@@ -167,11 +167,12 @@ OCTAVES = 8
 #: Lengths are comparable within a power of two; all pages shorter than twice 2 ** LEAST_LENGTH words are.
 LEAST_LENGTH = 6
 #: A language and length with fewer pages is held against all pages of the length, or else all pages.
-LEAST_PAGES = 20
+LEAST_PAGES = 100
 #: A slope, residual or divergence is extreme beyond the median plus so many times the distance from the
-#: median to the quartile. A page that is spam for little more than half has nearly the curve of prose, so
-#: the curve flags early, and the exact check takes back what is honest.
-EXTREME = 2.5
+#: median to the quartile of the other side, which spam doesn't move. A page that is spam for little more
+#: than half has nearly the curve of prose, so the curve flags early, and the exact check takes back what
+#: is honest.
+EXTREME = 4.0
 
 
 def language_group(lang: str | None, text: str) -> str:
@@ -263,8 +264,9 @@ def curves(df: DataFrame, id_column: str, text: str, lang: str) -> DataFrame:
     quartiles = by_group(measured, *(F.percentile_approx(c, [0.25, 0.5, 0.75], 1000) for c in ("pair_slope", "pair_residual", "pair_divergence", "slope")))
 
     def beyond(c: str, q: str, sign: int) -> Column:
-        middle, quarter = F.col(q)[1], F.col(q)[1 + sign]
-        return (F.col(c) - middle) * sign > EXTREME * F.greatest((quarter - middle) * sign, F.lit(1e-2))
+        # The quartile of the other side: spam can't move it, even where it is up to half of a group.
+        middle, quarter = F.col(q)[1], F.col(q)[1 - sign]
+        return (F.col(c) - middle) * sign > EXTREME * F.greatest((middle - quarter) * sign, F.lit(1e-2))
 
     flagged = beyond("pair_slope", "a0", -1) | beyond("pair_residual", "a1", 1) | beyond("pair_divergence", "a2", 1) | beyond("slope", "a3", -1) | beyond("slope", "a3", 1)
     out = measured.join(quartiles, ["lang", "length"])

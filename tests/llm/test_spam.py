@@ -99,7 +99,7 @@ def test_divergence_has_every_word(spark):
 
 def test_the_curve_flags_by_itself(spark, data):
     """Most spam is flagged, and most other pages aren't, by the curve alone and at any length."""
-    out = p10_curves(spark, "/root/testdata/sf0.01").toPandas()
+    out = p10_curves(spark, "/root/testdata/sf0.1").toPandas()  # enough pages of most languages and lengths
     spam = out["share"] > 0.5
     assert out["flagged"][spam].mean() >= 0.95
     assert out["flagged"][~spam].mean() <= 0.3
