@@ -22,7 +22,7 @@ from functools import lru_cache
 from hashlib import blake2b
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -230,8 +230,10 @@ def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"id": ids, "field": fields, "form": forms, "stored": stored})
 
 
-#: A form with at most so many rows gives all its pairs; a larger one the links of its classes.
-ALL_PAIRS = 1000
+#: None: every form gives all its pairs. A caller that only needs connected classes may set a number; forms with more rows then give links.
+ALL_PAIRS: int | None = None
+#: Rows of a chunk. Pairs are made chunk by chunk, so that those of a large form are spread over all tasks.
+CHUNK = 100
 
 
 def look_alikes(df: DataFrame, id_column: str, fields: list[str]) -> DataFrame:
@@ -268,25 +270,65 @@ def look_alike_classes(df: DataFrame, id_column: str, fields: list[str]) -> Data
     return members.join(variants, ["field", "form", "stored"]).join(classes, ["field", "form"]).select("id", "field", "class_id", "variant_id")
 
 
+def _placed(members: DataFrame) -> DataFrame:
+    """Members by the place of their stored value among the ``total`` rows of the form, which are sorted by it.
+
+    The rows of a value are at ``start`` to ``end``, each in a chunk of about CHUNK rows. ``again`` marks ids
+    with several values in the field. Only variants are sorted; their rows are placed by a hash.
+    """
+    form = Window.partitionBy("field", "form")
+    variants = members.groupBy("field", "form", "stored").agg(F.count("*").alias("n"))
+    variants = variants.withColumn("end", F.sum("n").over(form.orderBy("stored").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("total", F.sum("n").over(form))
+    start = F.col("end") - F.col("n")
+    chunk = F.floor((start + F.pmod(F.xxhash64("id"), F.col("n"))) / CHUNK)
+    again = F.count("*").over(Window.partitionBy("field", "id")) > 1
+    placed = members.join(variants, ["field", "form", "stored"]).select("id", "field", "form", start.alias("start"), "end", "total", chunk.alias("chunk"), again.alias("again"))
+    return spread(materialise(placed, "places"))
+
+
+def _crossed(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id_a, id_b, field) for each placed row of ``a`` and each one of ``b`` whose stored value comes later in the form.
+
+    A row goes once to each chunk that has such rows, so the work follows the number of pairs, also where
+    most rows of a form are exact copies. A merge join, as the size of the repeated rows can't be estimated.
+    """
+    chunk_of = lambda place: F.floor(place / CHUNK)
+    later = F.sequence(chunk_of(F.col("end")), chunk_of(F.col("total") - 1))
+    earlier = F.sequence(F.lit(0).cast("long"), chunk_of(F.col("start") - 1))
+    a = a.where(F.col("end") < F.col("total")).select("field", "form", F.col("chunk").alias("chunk_a"), F.explode(later).alias("chunk_b"), F.col("id").alias("a"), "end")
+    b = b.where(F.col("start") > 0).select("field", "form", F.explode(earlier).alias("chunk_a"), F.col("chunk").alias("chunk_b"), F.col("id").alias("b"), "start")
+    pairs = a.join(b.hint("merge"), ["field", "form", "chunk_a", "chunk_b"]).where((F.col("end") <= F.col("start")) & (F.col("a") != F.col("b")))
+    return pairs.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "field")
+
+
+def _all_pairs(members: DataFrame) -> DataFrame:
+    """(id_a, id_b, field): all pairs of ``members``; only those of ids with several values may repeat and are sorted out."""
+    placed = _placed(members)
+    once, again = placed.where(~F.col("again")), placed.where("again")
+    return _crossed(once, once).unionByName(_crossed(again, placed).unionByName(_crossed(once, again)).distinct())
+
+
+def _links(members: DataFrame) -> DataFrame:
+    """(id_a, id_b, field): each of ``members`` with the representative of another stored value of its form."""
+    first, second = _representatives(members)
+    other = F.when(F.col("stored") == F.col("first.stored"), F.col("second")).otherwise(F.col("first.least"))
+    links = members.join(first.join(second, ["field", "form"]), ["field", "form"]).select("id", other.alias("other"), "field").where(F.col("id") != F.col("other"))
+    return links.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b"), "field").distinct()
+
+
 def look_alike_pairs(df: DataFrame, id_column: str, fields: list[str]) -> DataFrame:
     """(id_a, id_b, field): two rows whose values in ``field`` differ as stored and have one form.
 
-    A form with more than ALL_PAIRS rows, i.e. a group of mostly exact copies, isn't expanded into all
-    pairs: each of its rows is linked to the representative of another stored value, so the links are
-    linear and connect the whole class; ``look_alike_classes`` has every pair of it in its variants.
-    Null and empty values, and values equal as stored, give no pair; ids are compared as numbers;
-    repeated rows of one id give a pair once. An empty table gives none.
+    All such pairs, however many rows have the form: n rows stored in two ways give up to n * n / 4.
+    ``look_alike_classes`` says the same in n rows. Null and empty values, and values equal as stored, give
+    no pair; ids are compared as numbers; repeated rows of one id give a pair once. An empty table gives none.
+    Only where ALL_PAIRS is set, a form with more rows gives links: linear, and connecting its whole class.
     """
     members = look_alikes(df, id_column, fields).where(F.col("id").isNotNull())
-    few = members.where(F.col("n_rows") <= ALL_PAIRS)
-    a = few.select("field", "form", F.col("id").alias("id_a"), F.col("stored").alias("stored_a"))
-    b = few.select("field", "form", F.col("id").alias("id_b"), F.col("stored").alias("stored_b"))
-    pairs = a.join(b, ["field", "form"]).where((F.col("id_a") < F.col("id_b")) & (F.col("stored_a") != F.col("stored_b"))).select("id_a", "id_b", "field")
-    many = members.where(F.col("n_rows") > ALL_PAIRS)
-    first, second = _representatives(many)
-    other = F.when(F.col("stored") == F.col("first.stored"), F.col("second")).otherwise(F.col("first.least"))
-    links = many.join(first.join(second, ["field", "form"]), ["field", "form"]).select("id", other.alias("other"), "field").where(F.col("id") != F.col("other"))
-    return pairs.unionByName(links.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b"), "field")).distinct()
+    if ALL_PAIRS is None:
+        return _all_pairs(members)
+    few, many = members.where(F.col("n_rows") <= ALL_PAIRS), members.where(F.col("n_rows") > ALL_PAIRS)
+    return _all_pairs(few).unionByName(_links(many)).distinct()
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

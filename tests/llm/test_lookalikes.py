@@ -78,6 +78,27 @@ def test_classes(spark, monkeypatch):
     assert {i for pair in links for i in pair} == set(classes)
 
 
+def brute_pairs(rows, field="title"):
+    return sorted({(min(a, b), max(a, b), field) for a, x in rows for b, y in rows if a is not None and b is not None and a != b and x and y and x != y and canonical(x) == canonical(y)})
+
+
+def test_pairs_of_a_large_form(spark):
+    """All pairs, also of a form with more than 1,000 rows, once each."""
+    rows = [(i, "Warm day") for i in range(1050)] + [(i, ("Ｗａｒｍ day", "Wаrm day")[i % 2]) for i in range(1050, 1055)] + [(7, "Wаrm day"), (None, "Ｗarm day"), (2000, "Other"), (2001, "Оther")]
+    df = spark.createDataFrame(rows, "article_id long, title string")
+    assert sorted(tuple(r) for r in look_alike_pairs(df, "article_id", ["title"]).collect()) == brute_pairs(rows)
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 100])
+def test_pairs_across_chunks(spark, monkeypatch, chunk):
+    """One result wherever the chunks end: variants of one row and of many, ids with several values and forms."""
+    monkeypatch.setattr(lookalikes, "CHUNK", chunk)
+    rows = [(i, "Warm\u200b day" if i < 9 else "W" + "\u200b" * (i - 8) + "arm day") for i in range(14)] + [(i, "Other" if i % 3 else "Оther") for i in range(20, 32)]
+    rows += [(3, "Wаrm day"), (4, "Other"), (21, "Warm day"), (22, "Wаrm day"), (22, "Warm day"), (22, "Оther"), (-5, "Warm day"), (None, "Warm day")]
+    df = spark.createDataFrame(rows, "article_id long, title string")
+    assert sorted(tuple(r) for r in look_alike_pairs(df, "article_id", ["title"]).collect()) == brute_pairs(rows)
+
+
 def test_brute_force(spark, data):
     import duckdb
 
